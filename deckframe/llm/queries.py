@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deckframe.llm import line_dedup, mixing
 from deckframe.llm import quality_rules as quality
 
 
@@ -14,6 +15,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the boilerplate of its source, which stands for the host."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    df, before, gone = line_dedup.dedup_lines(docs)
+    return df.select("doc_id", "text", F.col(before).alias("n_lines"), F.col(gone).alias("n_removed"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     df, q = quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
@@ -21,8 +34,42 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op7_mixing": op7_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
 #: DuckDB SQL of those that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_line_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
+        l AS (SELECT DISTINCT rid, source, line FROM (SELECT rid, source, unnest(string_split(text, chr(10))) AS line FROM d)
+              WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+        t AS (SELECT source, count(*) AS pages FROM d GROUP BY source HAVING count(*) >= {line_dedup.MIN_SITE_PAGES}),
+        b AS (SELECT l.source, l.line FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source GROUP BY l.source, l.line, t.pages
+              HAVING count(*) >= {line_dedup.MIN_LINE_PAGES} AND count(*) > CAST({line_dedup.MAX_RATIO} AS DOUBLE) * t.pages),
+        s AS (SELECT source, list(line) AS gone FROM b GROUP BY source),
+        k AS (SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS every,
+                list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(s.gone, []), x)) AS kept
+              FROM d LEFT JOIN s ON d.source IS NOT DISTINCT FROM s.source)
+        SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text,
+          CAST(coalesce(len(every), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(every), 0) - coalesce(len(kept), 0) AS BIGINT) AS n_removed FROM k""",
+    "op7_mixing": f"""
+        WITH b AS (SELECT doc_id, source, CAST(coalesce(len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')), 0) AS BIGINT) AS size
+                   FROM documents),
+        s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM b GROUP BY source),
+        s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s0),
+        s2 AS (SELECT *, CAST([{", ".join(map(str, mixing.WEIGHTS))}][(place - 1) % {len(mixing.WEIGHTS)} + 1] AS DOUBLE) AS weight,
+                 {mixing.MAX_COPIES} * CAST(source_size AS DOUBLE) AS cap FROM s1),
+        s3 AS (SELECT *, cap / weight AS fill, CAST({mixing.BUDGET} AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE) AS words FROM s2),
+        s4 AS (SELECT *, (words - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level FROM s3
+               WINDOW w AS (ORDER BY fill, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        s AS (SELECT source, place, source_size, least(cap, coalesce(weight * min(level) FILTER (WHERE level <= fill) OVER (), cap)) AS target, words FROM s4),
+        q AS (SELECT b.doc_id, b.size, s.*, md5(coalesce(CAST(b.doc_id AS VARCHAR), '')) AS key FROM b JOIN s ON b.source IS NOT DISTINCT FROM s.source),
+        c AS (SELECT *, row_number() OVER () AS rid, sum(size) OVER (PARTITION BY place ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum FROM q),
+        v AS (SELECT rid, size, place, key, doc_id, words, CAST(cum + i * source_size AS DOUBLE) / target AS v
+              FROM c, range({mixing.MAX_COPIES}) r(i) WHERE target > 0 AND size > 0),
+        g AS (SELECT rid, size, words, sum(size) OVER (ORDER BY v, place, key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM v),
+        t AS (SELECT rid, sum(size) AS taken FROM g WHERE upto <= words GROUP BY rid)
+        SELECT c.doc_id, c.size, c.source_size, c.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken FROM c LEFT JOIN t USING (rid)""",
+}
