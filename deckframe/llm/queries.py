@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckframe.llm import line_dedup, mixing
+from deckframe.llm import line_dedup, mixing, simhash
 from deckframe.llm import quality_rules as quality
 
 
@@ -22,6 +22,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "text", F.col(before).alias("n_lines"), F.col(gone).alias("n_removed"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    df = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -35,6 +41,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_simhash": op3_simhash,
     "op7_mixing": op7_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
