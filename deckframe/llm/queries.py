@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckframe.llm import line_dedup, mixing, simhash, substring_dedup
+from deckframe.llm import chat, line_dedup, mixing, simhash, substring_dedup, url_rules, warc
 from deckframe.llm import quality_rules as quality
 
 
@@ -22,12 +22,22 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "text", F.col(before).alias("n_lines"), F.col(gone).alias("n_removed"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its archive record says after a round trip."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     df = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and verdict of every page's URL."""
+    return url_rules.judge_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels")).drop("confidence")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -38,6 +48,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation that no other continues, rendered."""
+    return chat.render(_table(spark, sf_dir, "conversations"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     df, q = quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
@@ -46,12 +61,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
+    "op6_url_rules": op6_url_rules,
     "op7_mixing": op7_mixing,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
 }
 
+_HAND = ", ".join(f"('{h}', '{p}', '{v}')" for v, h, p in url_rules.RULES)
+
 #: DuckDB SQL of those that SQL can express.
 SQL: dict[str, str] = {
     "op1_line_dedup": f"""
@@ -85,4 +105,36 @@ SQL: dict[str, str] = {
         g AS (SELECT rid, size, words, sum(size) OVER (ORDER BY v, place, key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM v),
         t AS (SELECT rid, sum(size) AS taken FROM g WHERE upto <= words GROUP BY rid)
         SELECT c.doc_id, c.size, c.source_size, c.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken FROM c LEFT JOIN t USING (rid)""",
+    "op2_warc": f"""
+        WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS size FROM pages),
+        l AS (SELECT *, CASE WHEN size >= {warc.MIN_BYTES} THEN max(page_id) OVER (PARTITION BY digest) END AS last FROM p)
+        SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+          CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to FROM l""",
+    "op6_url_rules": f"""
+        WITH u AS (SELECT row_number() OVER () AS rid, page_id, lower(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)) AS host,
+                     regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        t AS (SELECT *, list_sort(list_distinct(list_concat(
+                list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+                list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g'))))) AS own FROM u),
+        m AS (SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+        e AS (SELECT own, bad FROM t JOIN m ON page_id = doc_id WHERE len(own) > 0 OR bad),
+        n AS (SELECT ceil(CAST({url_rules.MIN_SUPPORT} AS DOUBLE) * count(*)) AS least FROM e),
+        s AS (SELECT list_filter(own, lambda x, i: (mask >> CAST(i - 1 AS INT)) & 1 = 1) AS items, count(*) AS freq, count(*) FILTER (WHERE bad) AS hits
+              FROM (SELECT own, bad, unnest(range(1, CAST(1 << len(own) AS INT))) AS mask FROM e) GROUP BY 1),
+        r AS (SELECT items, hits / freq AS confidence FROM s, n WHERE hits >= least AND freq >= least AND hits / freq >= {url_rules.MIN_CONFIDENCE} AND hits > 0),
+        f AS (SELECT t.rid FROM t JOIN r ON list_has_all(t.own, r.items) GROUP BY t.rid),
+        g AS (SELECT u.rid, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM u, (VALUES {_HAND}) x(h, p, verdict)
+              WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY u.rid)
+        SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN f.rid IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+        FROM u LEFT JOIN g ON u.rid = g.rid LEFT JOIN f ON u.rid = f.rid""",
+    "op9_chat_format": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, md5(text)) AS turns FROM t GROUP BY conv_id),
+        p AS (SELECT conv_id, n_turns, k, md5(CAST(turns[1:k] AS VARCHAR)) AS prefix FROM (SELECT *, unnest(range(1, n_turns + 1)) AS k FROM c)),
+        gone AS (SELECT a.conv_id FROM p a JOIN p b ON a.k = b.k AND a.prefix = b.prefix
+                 WHERE a.k = a.n_turns AND (b.n_turns > a.n_turns OR (b.n_turns = a.n_turns AND b.conv_id < a.conv_id)))
+        SELECT conv_id, CAST(n_turns AS INT) AS n_turns,
+          array_to_string(list_transform(turns, lambda x: '<|' || x.r || '|>' || chr(10) || x.t || '<|end|>' || chr(10)), '') AS rendered
+        FROM c WHERE conv_id NOT IN (SELECT conv_id FROM gone)""",
 }
