@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckframe.llm import chat, line_dedup, mixing, simhash, substring_dedup, url_rules, warc
+from deckframe.llm import chat, decontaminate, line_dedup, mixing, simhash, substring_dedup, url_rules, warc
 from deckframe.llm import quality_rules as quality
 
 
@@ -33,6 +33,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that every document holds."""
+    df = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return df.select("doc_id", "n_passages", "n_retrieved", "contaminated", F.transform("hits", lambda h: h["item_id"]).alias("item_ids"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path and verdict of every page's URL."""
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels")).drop("confidence")
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
+    "op5_decontaminate": op5_decontaminate,
     "op6_url_rules": op6_url_rules,
     "op7_mixing": op7_mixing,
     "op8_substring_dedup": op8_substring_dedup,
