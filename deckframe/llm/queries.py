@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deckframe.llm import chat, decontaminate, line_dedup, mixing, simhash, substring_dedup, url_rules, warc
+from deckframe.llm import quality_classifier as classifier
 from deckframe.llm import quality_rules as quality
 
 
@@ -33,6 +34,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that every document holds."""
     df = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_decontaminate": op5_decontaminate,
     "op6_url_rules": op6_url_rules,
     "op7_mixing": op7_mixing,
