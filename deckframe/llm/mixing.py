@@ -51,7 +51,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget:
     df = df.withColumn("words", budget * F.sum("source_size").over(everything).cast("double"))
     df = df.withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     df = df.withColumn("level", (F.col("words") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.col("open"))
-    level = F.min(F.when(F.col("level") <= F.col("full"), F.col("level"))).over(everything)
+    # with the sources before it full, the level does not fill this one; of such levels the first is the highest
+    level = F.max(F.when(F.col("level") <= F.col("full"), F.col("level"))).over(everything)
     df = df.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("weight") * level, F.col("cap"))))
     return df.select("source", "place", "source_size", "target")
 

@@ -111,7 +111,7 @@ SQL: dict[str, str] = {
         s3 AS (SELECT *, cap / weight AS fill, CAST({mixing.BUDGET} AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE) AS words FROM s2),
         s4 AS (SELECT *, (words - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level FROM s3
                WINDOW w AS (ORDER BY fill, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        s AS (SELECT source, place, source_size, least(cap, coalesce(weight * min(level) FILTER (WHERE level <= fill) OVER (), cap)) AS target, words FROM s4),
+        s AS (SELECT source, place, source_size, least(cap, coalesce(weight * max(level) FILTER (WHERE level <= fill) OVER (), cap)) AS target, words FROM s4),
         q AS (SELECT b.doc_id, b.size, s.*, md5(coalesce(CAST(b.doc_id AS VARCHAR), '')) AS key FROM b JOIN s ON b.source IS NOT DISTINCT FROM s.source),
         c AS (SELECT *, row_number() OVER () AS rid, sum(size) OVER (PARTITION BY place ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum FROM q),
         v AS (SELECT rid, size, place, key, doc_id, words, CAST(cum + i * source_size AS DOUBLE) / target AS v
