@@ -1 +1 @@
-
+"""Column functions: boxes, colours and statistics."""

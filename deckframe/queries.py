@@ -5,6 +5,270 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from deckframe.functions.stats import Z95, tail_sql
+from deckframe.operators import audits, judging, layout
+from deckframe.plans.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, views: str, function: Callable[..., DataFrame], sql: str | None = None) -> None:
+    """Register ``function`` over ``views`` (names, in the order of its arguments) and its SQL."""
+    QUERIES[name] = lambda spark, sf_dir: function(*(view(spark, sf_dir, v) for v in views.split()))
+    if sql:
+        SQL[name] = with_views(sql)
+
+
+# --- layout ---------------------------------------------------------------------------------------------------------
+
+_IOU = """greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))
+    / (a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)))"""
+_FRONT = "etype NOT IN ('background', 'canvas')"
+_PAIRS = f"""SELECT a.slide_id, a.pos, b.pos AS other, {_IOU} AS iou FROM {{elements}} a JOIN {{elements}} b ON a.slide_id = b.slide_id AND a.pos < b.pos
+    WHERE a.{_FRONT} AND b.{_FRONT}"""
+_OVERFLOW = """CASE WHEN coalesce(measured_w, 0) <> 0 OR coalesce(measured_h, 0) <> 0
+      THEN greatest(CASE WHEN measured_w <> 0 THEN greatest(0, measured_w - w) ELSE 0 END, CASE WHEN measured_h <> 0 THEN greatest(0, measured_h - h) ELSE 0 END)
+    ELSE greatest(0, length(text) - coalesce(greatest(0, capacity), greatest(1, floor(w / greatest(1, font * CAST(0.55 AS DOUBLE)))) * greatest(1, floor(h / greatest(1, font * CAST(1.25 AS DOUBLE))))))
+      * font * CAST(0.55 AS DOUBLE) END"""
+
+
+def _lab(r: str, g: str, b: str) -> list[str]:
+    d = lambda v: f"CAST({v!r} AS DOUBLE)"
+    lin = lambda c: f"(CASE WHEN {c} / {d(255.0)} <= {d(0.04045)} THEN {c} / {d(255.0)} / {d(12.92)} ELSE pow(({c} / {d(255.0)} + {d(0.055)}) / {d(1.055)}, {d(2.4)}) END)"
+    r, g, b = lin(r), lin(g), lin(b)
+    x = f"(({r} * {d(0.4124564)} + {g} * {d(0.3575761)} + {b} * {d(0.1804375)}) / {d(0.95047)})"
+    y = f"({r} * {d(0.2126729)} + {g} * {d(0.7151522)} + {b} * {d(0.0721750)})"
+    z = f"(({r} * {d(0.0193339)} + {g} * {d(0.1191920)} + {b} * {d(0.9503041)}) / {d(1.08883)})"
+    f = lambda t: f"(CASE WHEN {t} > {d(216.0 / 24389.0)} THEN pow({t}, {d(1.0 / 3.0)}) ELSE ({t} * {d(24389.0 / 27.0)} + 16) / {d(116.0)} END)"
+    return [f"(116 * {f(y)} - 16)", f"(500 * ({f(x)} - {f(y)}))", f"(200 * ({f(y)} - {f(z)}))"]
+
+
+def _delta(a: tuple[str, str, str], b: tuple[str, str, str]) -> str:
+    return "sqrt(" + " + ".join(f"pow({p} - {q}, 2)" for p, q in zip(_lab(*a), _lab(*b), strict=True)) + ")"
+
+
+_OWN = ("r", "g", "b")
+_NEAREST = "least(" + ", ".join(_delta(_OWN, tuple(map(str, p))) for p in layout.PALETTE) + ")"
+
+
+def _group_findings(detector: str, off: str, group: str, value: str, members: int, least: float) -> str:
+    return f"""SELECT slide_id, '{detector}' AS detector, pos, CAST({off} AS DOUBLE) AS severity FROM {{elements}} WHERE {off} >= {least}
+      UNION ALL SELECT slide_id, '{detector}', pos, off FROM (SELECT slide_id, pos, count(*) OVER w AS n, abs({value} - median({value}) OVER w) AS off
+        FROM {{elements}} WHERE coalesce({off} < {least}, TRUE) AND {group} IS NOT NULL WINDOW w AS (PARTITION BY slide_id, {group})) q WHERE n >= {members} AND off >= {least}"""
+
+
+_OFFSET = "greatest(abs(x - expected_x), abs(y - expected_y))"
+_MARGIN = "greatest(32 - x, 32 - y, x + w - 1888, y + h - 1048)"
+FINDINGS = {
+    "overflow": f"SELECT slide_id, 'overflow' AS detector, pos, CAST({_OVERFLOW} AS DOUBLE) AS severity FROM {{elements}} WHERE (etype IN ('title', 'text', 'bullet', 'caption') OR length(text) > 0) AND {_OVERFLOW} >= 1",
+    "overlap": f"SELECT slide_id, 'overlap' AS detector, pos, iou AS severity FROM ({_PAIRS}) q WHERE iou >= CAST(0.05 AS DOUBLE)",
+    "alignment": _group_findings("alignment", _OFFSET, "align_group", "x", 3, 4),
+    "font": _group_findings("font", "abs(font - expected_font)", "font_group", "font", 2, 1),
+    "palette": f"""SELECT slide_id, 'palette' AS detector, pos, round(off, 6) AS severity
+        FROM (SELECT slide_id, pos, coalesce({_delta(_OWN, ("er", "eg", "eb"))}, {_NEAREST}) AS off FROM {{elements}}) q WHERE off >= 1.5""",
+    "color_group": f"""SELECT slide_id, 'color_group' AS detector, pos, round(off, 6) AS severity FROM (
+          SELECT e.slide_id, e.pos, {_delta(("e.r", "e.g", "e.b"), ("m.m.r", "m.m.g", "m.m.b"))} AS off FROM {{elements}} e JOIN (
+            SELECT slide_id, color_group, sum(c) AS n, arg_max({{{{'r': r, 'g': g, 'b': b}}}}, {{{{'c': c, 'p': -p}}}}) AS m FROM (
+              SELECT slide_id, color_group, r, g, b, count(*) AS c, min(pos) AS p FROM {{elements}} WHERE color_group IS NOT NULL GROUP BY ALL) x GROUP BY slide_id, color_group) m
+          ON e.slide_id = m.slide_id AND e.color_group = m.color_group WHERE m.n >= 3) q WHERE off >= 1.5""".replace("{{{{", "<<").replace("}}}}", ">>").replace("{{", "{").replace("}}", "}").replace("<<", "{").replace(">>", "}"),
+    "margin": f"SELECT slide_id, 'margin' AS detector, pos, {_MARGIN} AS severity FROM {{elements}} WHERE {_MARGIN} > 0",
+}
+for _name, _function in zip(FINDINGS, (layout.overflow_findings, layout.overlap_findings, layout.alignment_findings, layout.font_findings, layout.palette_findings, layout.color_group_findings, layout.margin_findings), strict=True):
+    query(f"{_name}_findings", "elements", _function, FINDINGS[_name])
+_ALL = " UNION ALL ".join(f"SELECT * FROM ({x}) {n}_q" for n, x in FINDINGS.items())
+query("lint_summary", "elements", lambda e: layout.lint(e).groupBy("detector").agg(F.count("*").alias("n"), F.countDistinct("slide_id").alias("slides"), F.round(F.max("severity"), 6).alias("worst")), f"SELECT detector, count(*) AS n, count(DISTINCT slide_id) AS slides, round(max(severity), 6) AS worst FROM ({_ALL}) a GROUP BY detector")
+query("linter_score", "elements", layout.lint_scores, f"""SELECT s.slide_id, coalesce(n, 0) AS n_findings, greatest(CAST(0 AS DOUBLE), 1 - CAST(0.15 AS DOUBLE) * coalesce(n, 0)) AS score
+    FROM (SELECT DISTINCT slide_id FROM {{elements}}) s LEFT JOIN (SELECT slide_id, count(*) AS n FROM ({_ALL}) a GROUP BY slide_id) f ON s.slide_id = f.slide_id""")
+_WHITE = _delta(_OWN, ("255", "255", "255"))
+_CHEATS = f"""SELECT slide_id, 'overflow_hidden' AS kind, pos FROM {{elements}} WHERE hidden AND length(text) > 0
+    UNION ALL SELECT slide_id, 'tiny_text', pos FROM {{elements}} WHERE length(text) > 0 AND font < 6
+    UNION ALL SELECT slide_id, 'faint_text', pos FROM {{elements}} WHERE length(text) > 0 AND opacity < CAST(0.2 AS DOUBLE)
+    UNION ALL SELECT slide_id, 'low_contrast', pos FROM {{elements}} WHERE length(text) > 0 AND {_WHITE} < 8
+    UNION ALL SELECT slide_id, 'off_canvas', pos FROM {{elements}} WHERE x >= 1920 OR y >= 1080 OR x + w <= 0 OR y + h <= 0
+    UNION ALL SELECT p.slide_id, 'covering_overlay', p.pos FROM (SELECT slide_id, unnest([pos, other]) AS pos FROM ({_PAIRS}) q WHERE iou >= CAST(0.85 AS DOUBLE)) p
+      JOIN {{elements}} e ON p.slide_id = e.slide_id AND p.pos = e.pos WHERE e.fill AND length(e.text) = 0
+    UNION ALL SELECT slide_id, 'texture_background', NULL FROM {{slides}} WHERE texture"""
+query("cheat_flags", "elements slides", layout.cheats, _CHEATS)
+query("hacking_score", "elements slides", lambda e, s: layout.cheats(e, s).groupBy("slide_id").agg(F.count("*").alias("n")).select("slide_id", "n", F.greatest(F.lit(0.0), 1 - 0.2 * F.col("n")).alias("score")), f"SELECT slide_id, count(*) AS n, greatest(CAST(0 AS DOUBLE), 1 - CAST(0.2 AS DOUBLE) * count(*)) AS score FROM ({_CHEATS}) c GROUP BY slide_id")
+_BOX_IOU = _IOU
+_LEGAL = f"""SELECT a.* FROM {{boxes}} a WHERE a.x >= 20 AND a.y >= 20 AND a.x1 <= 1900 AND a.y1 <= 1060
+    AND NOT EXISTS (SELECT 1 FROM {{boxes}} b WHERE a.slide_id = b.slide_id AND a.pos <> b.pos AND {_BOX_IOU} > CAST(0.1 AS DOUBLE))"""
+query("legal_boxes", "boxes", layout.legal_boxes, _LEGAL)
+_OVER = """SELECT slide_id, pos, over, over / h AS share FROM (
+      SELECT r.slide_id, r.pos, r.h, greatest(CAST(0 AS DOUBLE), max(s.y1) - r.y1) AS over FROM (
+        SELECT a.slide_id, a.pos, a.x, a.x1, a.y, a.y1, a.h, min(b.y) AS lowest FROM {boxes} a LEFT JOIN {boxes} b
+          ON a.slide_id = b.slide_id AND b.y >= a.y1 AND b.x < a.x1 AND a.x < b.x1 GROUP BY ALL) r
+      JOIN {spans} s ON r.slide_id = s.slide_id AND (s.x + s.x1) / 2 >= r.x AND (s.x + s.x1) / 2 <= r.x1 AND s.y >= r.y - 2 AND s.y < coalesce(r.lowest, 1080)
+      GROUP BY r.slide_id, r.pos, r.y1, r.h) q WHERE over >= 3 AND over / h >= CAST(0.04 AS DOUBLE)"""
+query("box_overflow", "boxes spans", layout.box_overflow, _OVER)
+
+
+def _prevalence(boxes: DataFrame, spans: DataFrame) -> DataFrame:
+    """Legal boxes and those with overflow, by deck and over all: a rollup."""
+    hits = layout.box_overflow(boxes, spans).select("slide_id", "pos", F.lit(True).alias("hit"))
+    df = layout.legal_boxes(boxes).join(hits, ["slide_id", "pos"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return df.rollup("deck_id").agg(F.count("*").alias("boxes"), F.count_if("hit").alias("hits"), F.countDistinct(F.when(F.col("hit"), F.col("slide_id"))).alias("slides_hit"), F.count_if(F.col("hit") & F.col("no_autofit")).alias("hard"))
+
+
+query("prevalence_rollup", "boxes spans", _prevalence, f"""SELECT deck_id, count(*) AS boxes, count(*) FILTER (WHERE hit) AS hits, count(DISTINCT CASE WHEN hit THEN slide_id END) AS slides_hit,
+    count(*) FILTER (WHERE hit AND no_autofit) AS hard FROM (SELECT l.*, o.pos IS NOT NULL AS hit FROM ({_LEGAL}) l LEFT JOIN ({_OVER}) o ON l.slide_id = o.slide_id AND l.pos = o.pos) q GROUP BY ROLLUP (deck_id)""")
+
+# --- judges ---------------------------------------------------------------------------------------------------------
+
+_facts = judging.classify
+_FACTS = """(SELECT *, CASE raw_modality WHEN 'Bprime' THEN 'B_prime' ELSE raw_modality END AS modality, coalesce(expected, 'NO_DEFECT') AS type,
+    CASE WHEN expected IS NULL THEN predicted IS NULL ELSE predicted IS NOT DISTINCT FROM expected END AS correct FROM {probe})"""
+_Z = f"CAST({Z95!r} AS DOUBLE)"
+
+
+def _low(k: str, n: str, sign: str) -> str:
+    edge = "greatest(0, " if sign == "-" else "least(1, "
+    rest = "0" if sign == "-" else "1"
+    p, m = f"({k}) / CAST(nullif({n}, 0) AS DOUBLE)", f"CAST(nullif({n}, 0) AS DOUBLE)"
+    return f"coalesce({edge}({p} + {_Z} * {_Z} / (2 * {m}) {sign} {_Z} * sqrt({p} * (1 - {p}) / {m} + {_Z} * {_Z} / (4 * {m} * {m}))) / (1 + {_Z} * {_Z} / {m})), {rest})"
+
+
+def _div(a: str, b: str) -> str:
+    return f"coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0)"
+
+
+_RATES = f"""{_div("tp", "n_pos")} AS recall, {_div("(n_neg - tn)", "n_neg")} AS fpr, {_div("tp", "(tp + n_neg - tn)")} AS precision,
+    coalesce(2 * {_div("tp", "(tp + n_neg - tn)")} * {_div("tp", "n_pos")} / nullif({_div("tp", "(tp + n_neg - tn)")} + {_div("tp", "n_pos")}, 0), 0) AS f1,
+    ({_div("tp", "n_pos")} + {_div("tn", "n_neg")}) / 2 AS bal_acc, round(({_low("tp", "n_pos", "-")} + {_low("tn", "n_neg", "-")}) / 2, 9) AS ba_low,
+    round(({_low("tp", "n_pos", "+")} + {_low("tn", "n_neg", "+")}) / 2, 9) AS ba_high"""
+
+
+def _counts(hit: str = "has_defect") -> str:
+    return f"""count(*) FILTER (WHERE NOT is_clean AND {hit}) AS tp, count(*) FILTER (WHERE NOT is_clean) AS n_pos,
+      count(*) FILTER (WHERE is_clean AND NOT {hit}) AS tn, count(*) FILTER (WHERE is_clean) AS n_neg"""
+
+
+_METRICS = f"""SELECT c.model, c.modality, c.task, c.type, c.template, c.resolution, n, {_div("k", "n")} AS accuracy, CASE WHEN c.type = 'NO_DEFECT' THEN 0 ELSE {_div("tp", "n")} END AS recall,
+      CASE WHEN c.type = 'NO_DEFECT' THEN 0 ELSE {_div("tp", "(tp + coalesce(fp, 0))")} END AS precision,
+      CASE WHEN c.type = 'NO_DEFECT' OR tp = 0 THEN 0 ELSE 2 * ({_div("tp", "(tp + coalesce(fp, 0))")}) * ({_div("tp", "n")}) / (({_div("tp", "(tp + coalesce(fp, 0))")}) + ({_div("tp", "n")})) END AS f1, coalesce(fp, 0) AS fp
+    FROM (SELECT model, modality, task, type, template, resolution, count(*) AS n, count(*) FILTER (WHERE correct) AS k, count(*) FILTER (WHERE predicted = type) AS tp FROM {_FACTS} f GROUP BY ALL) c
+    LEFT JOIN (SELECT model, modality, task, predicted AS type, count(*) AS fp FROM {_FACTS} f WHERE predicted IS NOT NULL AND predicted IS DISTINCT FROM expected GROUP BY ALL) w
+    ON c.model = w.model AND c.modality = w.modality AND c.task = w.task AND c.type = w.type"""
+query("probe_metrics", "probe", lambda p: judging.aggregate_metrics(_facts(p)), _METRICS)
+query("attribution", "probe", lambda p: judging.attribute_failures(_facts(p)), f"""
+    WITH f AS (SELECT * FROM {_FACTS} q), a AS (SELECT model, sample_id, arg_max(expected, ord) AS type, arg_max(correct, ord) AS a FROM f WHERE task = 'T1' AND expected IS NOT NULL AND modality = 'A' GROUP BY 1, 2),
+    b AS (SELECT model, sample_id, arg_max(correct, ord) AS b FROM f WHERE task = 'T1' AND expected IS NOT NULL AND modality = 'B' GROUP BY 1, 2),
+    r AS (SELECT model, sample_id, arg_max(repaired, ord) AS repaired FROM f WHERE task = 'T3' AND modality = 'A' AND repaired IS NOT NULL GROUP BY 1, 2),
+    j AS (SELECT a.model, a.type, a.a, b.b, r.repaired FROM a JOIN b ON a.model = b.model AND a.sample_id = b.sample_id LEFT JOIN r ON a.model = r.model AND a.sample_id = r.sample_id),
+    g AS (SELECT model, type, count(*) AS n, count(*) FILTER (WHERE NOT a AND b) AS perception, count(*) FILTER (WHERE NOT a AND NOT b) AS reasoning, count(*) FILTER (WHERE a) AS image_success,
+      count(*) FILTER (WHERE a AND NOT coalesce(repaired, TRUE)) AS execution FROM j GROUP BY model, type)
+    SELECT *, {_div("perception", "n")} AS perception_rate, {_div("reasoning", "n")} AS reasoning_rate, {_div("execution", "image_success")} AS execution_rate FROM g""")
+_GAPS = f"""SELECT model, type, template, n_left, n_right, {_div("h_left", "n_left")} AS left_accuracy, {_div("h_right", "n_right")} AS right_accuracy, {_div("h_right", "n_right")} - {_div("h_left", "n_left")} AS gap
+    FROM (SELECT model, type, template, count(*) FILTER (WHERE modality = 'A') AS n_left, count(*) FILTER (WHERE modality = 'B') AS n_right, count(*) FILTER (WHERE modality = 'A' AND correct) AS h_left,
+      count(*) FILTER (WHERE modality = 'B' AND correct) AS h_right FROM {_FACTS} f WHERE task = 'T1' GROUP BY ALL) q WHERE n_left > 0 AND n_right > 0"""
+query("modality_gaps", "probe", lambda p: judging.modality_gaps(_facts(p)), _GAPS)
+_FREE, _HELD = _div("fw", "n_free"), _div("tw", "n_held")
+_COLLAPSE = f"""SELECT model, type, {_FREE} AS freeform_error, {_HELD} AS template_error, {_FREE} - {_HELD} AS reduction, coalesce(({_FREE} - {_HELD}) / nullif({_FREE}, 0), 0) AS relative_reduction
+    FROM (SELECT model, type, count(*) FILTER (WHERE template = 'freeform' AND NOT correct) AS fw, count(*) FILTER (WHERE template = 'freeform') AS n_free,
+      count(*) FILTER (WHERE template = 'template' AND NOT correct) AS tw, count(*) FILTER (WHERE template = 'template') AS n_held FROM {_FACTS} f GROUP BY ALL) q WHERE n_free > 0 AND n_held > 0"""
+query("template_collapse", "probe", lambda p: judging.template_collapse(_facts(p)), _COLLAPSE)
+query("variance_gates", "probe", lambda p: judging.variance_gates(_facts(p)).withColumn("effect", F.round("effect", 9)).withColumn("sigma", F.round("sigma", 9)), f"""
+    SELECT model, type, na AS "n_A", nb AS "n_B", round(mb - ma, 9) AS effect, round(s, 9) AS sigma, CASE WHEN CASE WHEN s = 0 THEN mb <> ma ELSE abs(mb - ma) >= 2 * s END THEN 'conclusive' ELSE 'inconclusive' END AS verdict
+    FROM (SELECT *, sqrt(ma * (1 - ma) / na + mb * (1 - mb) / nb) AS s FROM (SELECT model, type, count(*) FILTER (WHERE modality = 'A') AS na, count(*) FILTER (WHERE modality = 'B') AS nb,
+      avg(CAST(correct AS INT)) FILTER (WHERE modality = 'A') AS ma, avg(CAST(correct AS INT)) FILTER (WHERE modality = 'B') AS mb FROM {_FACTS} f WHERE task = 'T1' GROUP BY ALL) q WHERE na > 0 AND nb > 0) r""")
+query("psychometric", "probe", lambda p: judging.psychometric(_facts(p)), f"""
+    SELECT model, modality, type, min(CASE WHEN rate >= 0.5 THEN severity END) AS threshold, count(*) AS n_bins, max(rate) AS best_rate FROM (
+      SELECT model, modality, type, severity, CAST(count(*) FILTER (WHERE predicted = expected) AS DOUBLE) / count(*) AS rate FROM {_FACTS} f WHERE expected IS NOT NULL GROUP BY ALL) q GROUP BY ALL""")
+query("repair_rates", "probe", lambda p: judging.repair_rates(_facts(p)), f"SELECT model, type, template, count(*) AS n, avg(CAST(repaired AS INT)) AS pass_rate FROM {_FACTS} f WHERE task = 'T3' AND repaired IS NOT NULL GROUP BY ALL")
+query("distribution", "probe", lambda p: judging.distribution(_facts(p)), f"""
+    SELECT type, task, template, count(*) AS n, avg(severity) AS mean_severity, min(severity) AS min_severity, max(severity) AS max_severity FROM {_FACTS} f GROUP BY GROUPING SETS ((type), (task), (template), ())""")
+query("hypotheses", "probe", lambda p: judging.hypotheses(judging.modality_gaps(_facts(p)), judging.template_collapse(_facts(p))), f"""
+    SELECT 'H1' AS hypothesis, CASE WHEN min(gap) IS NULL THEN 'inconclusive' WHEN min(gap) >= 0.2 THEN 'pass' ELSE 'fail' END AS verdict FROM ({_GAPS}) g WHERE type LIKE 'G%'
+    UNION ALL SELECT 'H1_tpl', CASE WHEN min(relative_reduction) IS NULL THEN 'inconclusive' WHEN min(relative_reduction) >= 0.5 THEN 'pass' ELSE 'fail' END FROM ({_COLLAPSE}) c WHERE type IN ('G3', 'G4', 'G5', 'G6')""")
+_CELLS = f"SELECT *, {_RATES} FROM (SELECT model, cond, defect, {_counts()} FROM {{elicit}} WHERE NOT failure GROUP BY ALL) q"
+query("confusion_cells", "elicit", judging.confusion_cells, _CELLS)
+query("confusion_cells_miss", "elicit", lambda e: judging.confusion_cells(e, "miss", "named_target"), f"SELECT *, {_RATES} FROM (SELECT model, cond, defect, {_counts('(named_target AND NOT failure)')} FROM {{elicit}} GROUP BY ALL) q")
+query("stratum_rollup", "elicit", judging.stratum_cells, f"""SELECT *, {_RATES} FROM (SELECT defect, CASE WHEN grouping(stratum) = 1 THEN 'all' ELSE stratum END AS stratum, {_counts()} FROM {{elicit}} WHERE NOT failure
+    GROUP BY GROUPING SETS ((defect), (defect, stratum))) q""")
+query("micro_macro", "elicit", lambda e: judging.micro_macro(judging.confusion_cells(e)), f"""SELECT model, cond, avg(bal_acc) AS macro, (coalesce(sum(tp) / nullif(sum(n_pos), 0), 0) + coalesce(sum(tn) / nullif(sum(n_neg), 0), 0)) / 2 AS micro
+    FROM ({_CELLS}) c GROUP BY model, cond""")
+query("best_cells", "elicit", lambda e: judging.best_cells(judging.confusion_cells(e)), f"SELECT model, defect, cond, bal_acc FROM (SELECT *, row_number() OVER (PARTITION BY model, defect ORDER BY bal_acc DESC, cond) AS r FROM ({_CELLS}) c) q WHERE r = 1")
+_OK = "bal_acc >= CAST({0} AS DOUBLE) AND precision >= CAST({0} AS DOUBLE)"
+query("coverage_configs", "elicit", lambda e: judging.coverage(judging.confusion_cells(e), 0.45).withColumn("covered_types", F.array_join("covered_types", ",")), f"""SELECT model, cond, count(*) FILTER (WHERE {_OK.format(0.45)}) AS covered, count(*) AS types, avg(bal_acc) AS mean_bal_acc,
+    coalesce(string_agg(CASE WHEN {_OK.format(0.45)} THEN defect END, ',' ORDER BY defect), '') AS covered_types FROM ({_CELLS}) c GROUP BY model, cond""")
+_AFC_RIGHT = "(pick0 = 'a' AND pick1 = 'b')"
+_AFC_BOTH = "(pick0 IN ('a', 'b') AND pick1 IN ('a', 'b'))"
+query("afc_metrics", "afc", judging.afc_metrics, f"""SELECT *, {_div("strict_hits", "decisive")} AS strict, {_div("probe", "judgements")} AS loose, {_div("first_picks", "(probe + partner)")} AS pick_first,
+    {_div("ties", "judgements")} AS tie_rate, CASE WHEN mode = 'clean' THEN {_div("alike", "n_pairs")} END AS invention FROM (
+    SELECT defect, mode, count(*) AS n_pairs, count(pick0) + count(pick1) AS judgements, count(*) FILTER (WHERE pick0 = 'a') + count(*) FILTER (WHERE pick1 = 'b') AS probe,
+      count(*) FILTER (WHERE pick0 = 'b') + count(*) FILTER (WHERE pick1 = 'a') AS partner, count(*) FILTER (WHERE pick0 = 'tie') + count(*) FILTER (WHERE pick1 = 'tie') AS ties,
+      count(*) FILTER (WHERE pick0 = 'a') + count(*) FILTER (WHERE pick1 = 'a') AS first_picks, count(*) FILTER (WHERE {_AFC_BOTH}) AS decisive, count(*) FILTER (WHERE {_AFC_RIGHT}) AS strict_hits,
+      count(*) FILTER (WHERE {_AFC_BOTH} AND pick0 <> pick1) AS alike FROM {{afc}} GROUP BY defect, mode) q""")
+_AFC_BAL = f"""SELECT defect, tp, n_pos, tn, n_neg, {_RATES} FROM (SELECT defect, count(*) FILTER (WHERE mode = 'paired' AND {_AFC_RIGHT}) AS tp, count(*) FILTER (WHERE mode = 'paired') AS n_pos,
+      count(*) FILTER (WHERE mode <> 'paired' AND NOT coalesce({_AFC_BOTH} AND pick0 <> pick1, FALSE)) AS tn, count(*) FILTER (WHERE mode <> 'paired') AS n_neg FROM {{afc}} GROUP BY defect) q"""
+query("afc_balanced", "afc", judging.afc_balanced, f"SELECT * EXCLUDE (fpr, precision, f1) FROM ({_AFC_BAL}) q")
+query("decomposition", "elicit afc", lambda e, a: judging.decompose(judging.confusion_cells(e), judging.afc_balanced(a)), f"""
+    WITH s AS (SELECT defect, cond, (coalesce(sum(tp) / nullif(sum(n_pos), 0), 0) + coalesce(sum(tn) / nullif(sum(n_neg), 0), 0)) / 2 AS ba FROM ({_CELLS}) c GROUP BY defect, cond),
+    w AS (SELECT defect, max(ba) FILTER (WHERE cond = 'C0') AS c0, max(ba) FILTER (WHERE cond = 'NAMED') AS named FROM s GROUP BY defect),
+    j AS (SELECT w.defect, c0, named, a.bal_acc AS afc, named - c0 AS naming, a.bal_acc - named AS pairing FROM w JOIN ({_AFC_BAL}) a ON w.defect = a.defect)
+    SELECT *, CASE WHEN greatest(naming, pairing) <= 0 THEN 'none' WHEN naming >= pairing THEN 'naming' ELSE 'pairing' END AS gate FROM j""")
+_DISCORDANT = """SELECT x.defect, count(*) FILTER (WHERE NOT x.ok AND y.ok) AS b, count(*) FILTER (WHERE x.ok AND NOT y.ok) AS c FROM
+    (SELECT defect, sample_id, bool_and(has_defect <> is_clean) AS ok FROM {elicit} WHERE NOT failure AND cond = 'C0' GROUP BY ALL) x JOIN
+    (SELECT defect, sample_id, bool_and(has_defect <> is_clean) AS ok FROM {elicit} WHERE NOT failure AND cond = 'C3' GROUP BY ALL) y ON x.defect = y.defect AND x.sample_id = y.sample_id GROUP BY x.defect"""
+_EXACT = """CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(CAST(0.5 AS DOUBLE)))))) END"""
+_MCNEMAR = f"SELECT *, round({_EXACT}, 6) AS p FROM ({_DISCORDANT}) d"
+query("mcnemar_exact", "elicit", judging.paired_mcnemar, _MCNEMAR.replace("lgamma(i + 1)", "lgamma(CAST(i + 1 AS DOUBLE))"))
+query("mcnemar_stratified", "elicit", lambda e: audits.stratified_mcnemar(judging.paired_mcnemar(e)).withColumn("p", F.round("p", 9)), f"""
+    WITH s AS (SELECT CAST(sum(b) AS BIGINT) AS b, CAST(sum(c) AS BIGINT) AS c, max(c) AS max_reversal FROM ({_DISCORDANT}) d), z AS (SELECT *, {_div("(b - c) * (b - c)", "(b + c)")} AS chi2, sqrt({_div("(b - c) * (b - c)", "(b + c)")}) AS z FROM s)
+    SELECT b, c, max_reversal, chi2, round(least(1, 2 * ({tail_sql("z")})), 9) AS p FROM z""")
+_FAMILY = f"SELECT model, defect, tp, n_pos, n_neg - tn AS fp, n_neg, row_number() OVER (ORDER BY model, cond, defect) AS ord, cond FROM ({_CELLS}) c"
+
+
+def _family(elicit: DataFrame) -> DataFrame:
+    """Tests of a cell's hit rate against its false alarms, in order."""
+    from pyspark.sql import Window
+
+    cells = judging.confusion_cells(elicit).select("model", "cond", "defect", "tp", "n_pos", (F.col("n_neg") - F.col("tn")).alias("fp"), "n_neg")
+    cells = cells.withColumn("ord", F.row_number().over(Window.orderBy("model", "cond", "defect")))
+    return audits.two_proportion_z(cells, "tp", "n_pos", "fp", "n_neg").withColumn("z", F.round("z", 9)).withColumn("p", F.round("p", 9))
+
+
+_POOL = "(CAST(tp + fp AS DOUBLE) / (n_pos + n_neg))"
+_ZTEST = f"""SELECT *, round(least(1, 2 * ({tail_sql("z0")})), 9) AS p, round(z0, 9) AS z FROM (SELECT *, coalesce((CAST(tp AS DOUBLE) / nullif(n_pos, 0) - CAST(fp AS DOUBLE) / nullif(n_neg, 0))
+    / nullif(sqrt({_POOL} * (1 - {_POOL}) * (CAST(1 AS DOUBLE) / nullif(n_pos, 0) + CAST(1 AS DOUBLE) / nullif(n_neg, 0))), 0), 0) AS z0 FROM ({_FAMILY}) f) g"""
+query("two_prop_z", "elicit", _family, f"SELECT * EXCLUDE (z0) FROM ({_ZTEST}) t")
+query("holm", "elicit", lambda e: audits.holm(_family(e)).select("ord", "p", F.round("holm", 9).alias("holm"), "holm_reject"), f"""
+    SELECT ord, p, round(h, 9) AS holm, h <= 0.05 AS holm_reject FROM (SELECT ord, p, max(raw) OVER (ORDER BY p, ord ROWS UNBOUNDED PRECEDING) AS h FROM (
+      SELECT ord, p, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p, ord) + 1) * p) AS raw FROM ({_ZTEST}) t) q) r""")
+query("benjamini_hochberg", "elicit", lambda e: audits.benjamini_hochberg(_family(e)).select("ord", "p", F.round("bh", 9).alias("bh"), "bh_reject"), f"""
+    SELECT ord, p, round(h, 9) AS bh, h <= 0.05 AS bh_reject FROM (SELECT ord, p, min(raw) OVER (ORDER BY p DESC, ord DESC ROWS UNBOUNDED PRECEDING) AS h FROM (
+      SELECT ord, p, least(1, p * count(*) OVER () / row_number() OVER (ORDER BY p, ord)) AS raw FROM ({_ZTEST}) t) q) r""")
+query("wilson_shares", "elicit", lambda e: judging.shares(e, ["defect", "cond"], "named_target"), f"""SELECT defect, cond, n, k, CAST(k AS DOUBLE) / n AS share, round({_low("k", "n", "-")}, 9) AS low, round({_low("k", "n", "+")}, 9) AS high
+    FROM (SELECT defect, cond, count(*) AS n, count(*) FILTER (WHERE named_target) AS k FROM {{elicit}} GROUP BY ALL) q""")
+
+# --- audits ---------------------------------------------------------------------------------------------------------
+
+query("panel_summary", "ratings", lambda r: audits.panel_summary(r).withColumn("sources", F.array_join("sources", ",")), """
+    SELECT sample_id, count(*) AS n, round(avg(score), 9) AS mean_score, round(stddev_pop(score), 9) AS sd, count(*) FILTER (WHERE score >= 0.5) AS passes,
+      string_agg(DISTINCT source, ',' ORDER BY source) AS sources, 2 * count(*) FILTER (WHERE score >= 0.5) >= count(*) AS majority FROM {ratings} GROUP BY sample_id""")
+query("kappa", "ratings", audits.agreement, """
+    WITH v AS (SELECT sample_id, list(score >= 0.5 ORDER BY ord) AS v FROM {ratings} WHERE source = 'human' GROUP BY sample_id),
+    c AS (SELECT len(v) AS n, len(list_filter(v, lambda x: x)) AS y, v FROM v),
+    s AS (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs, CAST(sum((y * (y - 1) + (n - y) * (n - y - 1)) // 2) AS BIGINT) AS alike, count(*) FILTER (WHERE n = 2) AS m,
+      count(*) FILTER (WHERE n = 2 AND v[1] = v[2]) AS same, count(*) FILTER (WHERE n = 2 AND v[1]) AS fy, count(*) FILTER (WHERE n = 2 AND v[2]) AS sy FROM c),
+    e AS (SELECT *, CAST(fy AS DOUBLE) / m * sy / m + (1 - CAST(fy AS DOUBLE) / m) * (1 - CAST(sy AS DOUBLE) / m) AS pe FROM s)
+    SELECT pairs, CAST(alike AS DOUBLE) / pairs AS agreement, m AS two_rater_samples, round(CASE WHEN pe = 1 THEN 1 ELSE (CAST(same AS DOUBLE) / m - pe) / (1 - pe) END, 9) AS kappa FROM e""")
+_REWARD = f"""SELECT *, CAST(wins AS DOUBLE) / n AS preference, round({_low("wins", "n", "-")}, 9) AS low, round({_low("wins", "n", "+")}, 9) AS high FROM (
+    SELECT scorer, category, defect, count(*) AS n, count(*) FILTER (WHERE gap > 0) AS wins, count(*) FILTER (WHERE gap = 0) AS ties, round(avg(gap), 6) AS mean_gap,
+      list_sort(list(gap))[count(*) // 2 + 1] AS upper_median FROM (SELECT *, round(clean - defective, 6) AS gap FROM {{reward_pairs}}) p GROUP BY ALL) q"""
+query("reward_preference", "reward_pairs", audits.reward_preference, _REWARD)
+query("reward_categories", "reward_pairs", lambda r: audits.reward_categories(audits.reward_preference(r)), f"""SELECT *, CASE WHEN above = scorers THEN 'all_detect' WHEN above = 0 THEN 'all_blind' ELSE 'split' END AS verdict FROM (
+    SELECT category, defect, count(*) AS scorers, count(*) FILTER (WHERE low > 0.5) AS above, count(*) FILTER (WHERE high < 0.5) AS below FROM ({_REWARD}) r GROUP BY category, defect HAVING count(*) >= 2) q""")
+_RUNS = """SELECT cond, run, count(*) AS rollouts, min(CASE WHEN best >= 0.8 THEN n END) AS reached, arg_min(score, n) AS first, arg_max(score, n) AS last, max(score) AS best,
+      arg_max(score, n) - arg_min(score, n) AS gain, max(score) - arg_min(score, n) AS best_gain FROM (
+    SELECT cond, run, n, score, greatest(0, max(score) OVER (PARTITION BY cond, run ORDER BY n ROWS UNBOUNDED PRECEDING)) AS best FROM {rollouts}) q GROUP BY cond, run"""
+query("rollouts_to_threshold", "rollouts", audits.rollouts_to_threshold, _RUNS)
+_MEANS = f"""SELECT cond, count(*) AS runs, count(reached) AS n_reached, avg(reached) AS mean_reached, avg(coalesce(reached, budget)) AS mean_censored, round(avg(gain), 9) AS mean_gain, round(avg(best_gain), 9) AS mean_best_gain,
+    round(coalesce((count(*) * sum(first * best_gain) - sum(first) * sum(best_gain)) / nullif(sqrt((count(*) * sum(first * first) - sum(first) * sum(first)) * (count(*) * sum(best_gain * best_gain) - sum(best_gain) * sum(best_gain))), 0), 0), 6) AS r_first_gain
+    FROM (SELECT *, max(rollouts) OVER () AS budget FROM ({_RUNS}) r) q GROUP BY cond"""
+query("censored_means", "rollouts", lambda r: audits.censored_means(audits.rollouts_to_threshold(r)), _MEANS)
+query("regime", "rollouts", lambda r: audits.regime(audits.censored_means(audits.rollouts_to_threshold(r))).withColumn("spread", F.round("spread", 9)), f"""
+    SELECT max(mean_best_gain) AS top, round(max(mean_best_gain) - min(mean_best_gain), 9) AS spread, (SELECT cond FROM ({_MEANS}) n ORDER BY mean_best_gain DESC, cond DESC LIMIT 1) AS best_cond FROM ({_MEANS}) m""")
