@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,23 +22,33 @@ def to_hex(r: Column, g: Column, b: Column) -> Column:
     return F.format_string("#%02x%02x%02x", r, g, b)
 
 
-def _linear(c: Column) -> Column:
-    v = c / 255.0
-    return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
+#: sRGB to XYZ over the D65 white point, a row for each of x, y, z.
+_XYZ = ((0.4124564 / 0.95047, 0.3575761 / 0.95047, 0.1804375 / 0.95047), (0.2126729, 0.7151522, 0.0721750), (0.0193339 / 1.08883, 0.1191920 / 1.08883, 0.9503041 / 1.08883))
+_EDGE, _SLOPE = 216.0 / 24389.0, 24389.0 / 27.0
+
+
+def lab_of(rgb: Sequence[int]) -> tuple[float, float, float]:
+    """CIELAB (D65) of one sRGB colour."""
+    linear = [c / 255 / 12.92 if c / 255 <= 0.04045 else ((c / 255 + 0.055) / 1.055) ** 2.4 for c in rgb]
+    x, y, z = (t ** (1 / 3) if t > _EDGE else (t * _SLOPE + 16) / 116 for t in (sum(k * v for k, v in zip(row, linear, strict=True)) for row in _XYZ))
+    return 116 * y - 16, 500 * (x - y), 200 * (y - z)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is written out, and worked out, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """CIELAB (D65) of sRGB columns."""
-    lr, lg, lb = _linear(r), _linear(g), _linear(b)
-    # fixed values: sRGB to XYZ and the D65 white point
-    x = (lr * 0.4124564 + lg * 0.3575761 + lb * 0.1804375) / 0.95047
-    y = lr * 0.2126729 + lg * 0.7151522 + lb * 0.0721750
-    z = (lr * 0.0193339 + lg * 0.1191920 + lb * 0.9503041) / 1.08883
-    f = lambda t: F.when(t > 216.0 / 24389.0, F.pow(t, F.lit(1.0 / 3.0))).otherwise((t * (24389.0 / 27.0) + 16.0) / 116.0)
-    fx, fy, fz = f(x), f(y), f(z)
-    return fy * 116.0 - 16.0, (fx - fy) * 500.0, (fy - fz) * 200.0
+def lab(r: Column, g: Column, b: Column) -> Column:
+    """CIELAB of three columns as an array; null if one of them is."""
+    linear = lambda c: F.when(c <= 0.04045 * 255, c / 255.0 / 12.92).otherwise(F.pow((c / 255.0 + 0.055) / 1.055, F.lit(2.4)))
+    bend = lambda t: F.when(t > _EDGE, F.pow(t, F.lit(1.0 / 3.0))).otherwise((t * _SLOPE + 16.0) / 116.0)
+    mixed = lambda v: F.array(*[v[0] * k0 + v[1] * k1 + v[2] * k2 for k0, k1, k2 in _XYZ])
+    xyz = _let(F.transform(F.array(r, g, b), linear), mixed)
+    coordinates = _let(F.transform(xyz, bend), lambda f: F.array(f[1] * 116.0 - 16.0, (f[0] - f[1]) * 500.0, (f[1] - f[2]) * 200.0))
+    return F.when(r.isNotNull() & g.isNotNull() & b.isNotNull(), coordinates)
 
 
-def delta_e(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
-    """Distance in CIELAB of two sRGB colours."""
-    return F.sqrt(sum((p - q) * (p - q) for p, q in zip(lab(*a), lab(*b), strict=True)))
+def distance(a: Column, b: Column) -> Column:
+    """CIE76: the distance of two colours in CIELAB."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x))

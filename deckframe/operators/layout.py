@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckframe.functions.boxes import iou, text_overflow
-from deckframe.functions.colors import delta_e
+from deckframe.functions.colors import distance, lab, lab_of
 
 MIN_OVERFLOW, MIN_IOU, MIN_OFFSET, MIN_FONT_DELTA, MIN_COLOR_DELTA, MARGIN = 1.0, 0.05, 4.0, 1.0, 1.5, 32.0
 WIDTH, HEIGHT = 1920.0, 1080.0
@@ -81,15 +81,15 @@ def margin_findings(elements: DataFrame, margin: float = MARGIN, width: float =
     return _found(elements.where(into > 0), "margin", into)
 
 
-def _rgb(*names: str) -> tuple[Column, Column, Column]:
-    return tuple(F.col(n) for n in names)
+def _lab(r: str, g: str, b: str) -> Column:
+    return lab(F.col(r), F.col(g), F.col(b))
 
 
 def palette_findings(elements: DataFrame, least: float = MIN_COLOR_DELTA, palette: tuple = PALETTE) -> DataFrame:
     """Colours away from the expected one or, without one, from the nearest brand colour."""
-    own = _rgb("r", "g", "b")
-    nearest = F.array_min(F.array(*[delta_e(own, tuple(F.lit(v) for v in p)) for p in palette]))
-    off = F.coalesce(delta_e(own, _rgb("er", "eg", "eb")), nearest)
+    brand = F.array(*[F.array(*[F.lit(v) for v in lab_of(p)]) for p in palette])
+    nearest = F.array_min(F.transform(brand, lambda p: distance(_lab("r", "g", "b"), p)))
+    off = F.coalesce(distance(_lab("r", "g", "b"), _lab("er", "eg", "eb")), nearest)
     return _found(elements.withColumn("off", off).where(F.col("off") >= least), "palette", F.round("off", 6))
 
 
@@ -99,8 +99,7 @@ def color_group_findings(elements: DataFrame, least: float = MIN_COLOR_DELTA) ->
     counts = own.groupBy("slide_id", "color_group", "r", "g", "b").agg(F.count("*").alias("c"), F.min("pos").alias("p"))
     top = counts.groupBy("slide_id", "color_group").agg(F.sum("c").alias("n"), F.max_by(F.struct(F.col("r").alias("mr"), F.col("g").alias("mg"), F.col("b").alias("mb")), F.struct("c", -F.col("p"))).alias("m"))
     joined = own.join(top.where("n >= 3").select("slide_id", "color_group", "m.*"), ["slide_id", "color_group"])
-    off = delta_e(_rgb("r", "g", "b"), _rgb("mr", "mg", "mb"))
-    return _found(joined.withColumn("off", off).where(F.col("off") >= least), "color_group", F.round("off", 6))
+    return _found(joined.withColumn("off", distance(_lab("r", "g", "b"), _lab("mr", "mg", "mb"))).where(F.col("off") >= least), "color_group", F.round("off", 6))
 
 
 DETECTORS = (overflow_findings, overlap_findings, alignment_findings, font_findings, palette_findings, color_group_findings, margin_findings)
@@ -122,8 +121,8 @@ def lint_scores(elements: DataFrame, each: float = 0.15) -> DataFrame:
 def cheats(elements: DataFrame, slides: DataFrame, width: float = WIDTH, height: float = HEIGHT) -> DataFrame:
     """Tricks that hide content: slide_id, kind, pos (null for a whole slide)."""
     text = F.length("text") > 0
-    white = delta_e(_rgb("r", "g", "b"), (F.lit(255), F.lit(255), F.lit(255)))
     e = elements
+    pale = e.where(text & (distance(_lab("r", "g", "b"), F.array(*[F.lit(v) for v in lab_of((255, 255, 255))])) < 8))
     one = lambda df, kind: df.select("slide_id", F.lit(kind).alias("kind"), "pos")
     outside = (F.col("x") >= width) | (F.col("y") >= height) | (F.col("x") + F.col("w") <= 0) | (F.col("y") + F.col("h") <= 0)
     plain = elements.where(F.col("fill") & (F.length("text") == 0)).select("slide_id", "pos")
@@ -133,7 +132,7 @@ def cheats(elements: DataFrame, slides: DataFrame, width: float = WIDTH, height:
         one(e.where(F.col("hidden") & text), "overflow_hidden"),
         one(e.where(text & (F.col("font") < 6)), "tiny_text"),
         one(e.where(text & (F.col("opacity") < 0.2)), "faint_text"),
-        one(e.where(text & (white < 8)), "low_contrast"),
+        one(pale, "low_contrast"),
         one(e.where(outside), "off_canvas"),
         one(sides.join(plain, ["slide_id", "pos"], "left_semi"), "covering_overlay"),
         slides.where("texture").select("slide_id", F.lit("texture_background").alias("kind"), F.lit(None).cast("long").alias("pos")),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deckframe.functions.colors import lab_of
 from deckframe.functions.stats import Z95, tail_sql
 from deckframe.operators import audits, judging, layout
 from deckframe.plans.views import view, with_views
@@ -35,23 +36,27 @@ _OVERFLOW = """CASE WHEN coalesce(measured_w, 0) <> 0 OR coalesce(measured_h, 0)
       * font * CAST(0.55 AS DOUBLE) END"""
 
 
-def _lab(r: str, g: str, b: str) -> list[str]:
+def _labs(source: str, **colors: str) -> str:
+    """SQL of ``source`` with columns name_l, name_a, name_b for each name and its three columns."""
     d = lambda v: f"CAST({v!r} AS DOUBLE)"
-    lin = lambda c: f"(CASE WHEN {c} / {d(255.0)} <= {d(0.04045)} THEN {c} / {d(255.0)} / {d(12.92)} ELSE pow(({c} / {d(255.0)} + {d(0.055)}) / {d(1.055)}, {d(2.4)}) END)"
-    r, g, b = lin(r), lin(g), lin(b)
-    x = f"(({r} * {d(0.4124564)} + {g} * {d(0.3575761)} + {b} * {d(0.1804375)}) / {d(0.95047)})"
-    y = f"({r} * {d(0.2126729)} + {g} * {d(0.7151522)} + {b} * {d(0.0721750)})"
-    z = f"(({r} * {d(0.0193339)} + {g} * {d(0.1191920)} + {b} * {d(0.9503041)}) / {d(1.08883)})"
-    f = lambda t: f"(CASE WHEN {t} > {d(216.0 / 24389.0)} THEN pow({t}, {d(1.0 / 3.0)}) ELSE ({t} * {d(24389.0 / 27.0)} + 16) / {d(116.0)} END)"
-    return [f"(116 * {f(y)} - 16)", f"(500 * ({f(x)} - {f(y)}))", f"(200 * ({f(y)} - {f(z)}))"]
+    lin = lambda c: f"CASE WHEN {c} <= {d(0.04045 * 255)} THEN {c} / {d(255.0)} / {d(12.92)} ELSE pow(({c} / {d(255.0)} + {d(0.055)}) / {d(1.055)}, {d(2.4)}) END"
+    bend = lambda t: f"CASE WHEN {t} > {d(216.0 / 24389.0)} THEN pow({t}, {d(1.0 / 3.0)}) ELSE ({t} * {d(24389.0 / 27.0)} + 16) / {d(116.0)} END"
+    rows = (("0.4124564", "0.3575761", "0.1804375", "0.95047"), ("0.2126729", "0.7151522", "0.0721750", "1.0"), ("0.0193339", "0.1191920", "0.9503041", "1.08883"))
+    for n, c in colors.items():
+        source = f"SELECT *, {', '.join(f'{lin(x)} AS {n}_{i}' for i, x in enumerate(c.split()))} FROM ({source}) q"
+        xyz = [f"({n}_0 * CAST({p} AS DOUBLE) + {n}_1 * CAST({q} AS DOUBLE) + {n}_2 * CAST({r} AS DOUBLE)) / CAST({w} AS DOUBLE)" for p, q, r, w in rows]
+        source = f"SELECT *, {', '.join(f'{x} AS {n}_x{i}' for i, x in enumerate(xyz))} FROM ({source}) q"
+        source = f"SELECT *, {', '.join(f'{bend(f'{n}_x{i}')} AS {n}_f{i}' for i in range(3))} FROM ({source}) q"
+        source = f"SELECT *, 116 * {n}_f1 - 16 AS {n}_l, 500 * ({n}_f0 - {n}_f1) AS {n}_a, 200 * ({n}_f1 - {n}_f2) AS {n}_b FROM ({source}) q"
+    return source
 
 
-def _delta(a: tuple[str, str, str], b: tuple[str, str, str]) -> str:
-    return "sqrt(" + " + ".join(f"pow({p} - {q}, 2)" for p, q in zip(_lab(*a), _lab(*b), strict=True)) + ")"
+def _distance(own: str, other: str | tuple[float, float, float]) -> str:
+    theirs = [f"{other}_{c}" for c in "lab"] if isinstance(other, str) else [f"CAST({v!r} AS DOUBLE)" for v in other]
+    return "sqrt(" + " + ".join(f"pow({own}_{c} - {t}, 2)" for c, t in zip("lab", theirs, strict=True)) + ")"
 
 
-_OWN = ("r", "g", "b")
-_NEAREST = "least(" + ", ".join(_delta(_OWN, tuple(map(str, p))) for p in layout.PALETTE) + ")"
+_NEAREST = "least(" + ", ".join(_distance("own", lab_of(p)) for p in layout.PALETTE) + ")"
 
 
 def _group_findings(detector: str, off: str, group: str, value: str, members: int, least: float) -> str:
@@ -62,18 +67,20 @@ def _group_findings(detector: str, off: str, group: str, value: str, members: in
 
 _OFFSET = "greatest(abs(x - expected_x), abs(y - expected_y))"
 _MARGIN = "greatest(32 - x, 32 - y, x + w - 1888, y + h - 1048)"
+#: The most common colour of a group, of equal ones that which comes first: fewest others before it in (count down, place up).
+_MAJORITY = """SELECT e.slide_id, e.pos, e.r, e.g, e.b, m.r AS mr, m.g AS mg, m.b AS mb FROM {elements} e JOIN (
+      SELECT *, sum(c) OVER (PARTITION BY slide_id, color_group) AS n, row_number() OVER (PARTITION BY slide_id, color_group ORDER BY c DESC, p) AS place FROM (
+        SELECT slide_id, color_group, r, g, b, count(*) AS c, min(pos) AS p FROM {elements} WHERE color_group IS NOT NULL GROUP BY ALL) x) m
+    ON e.slide_id = m.slide_id AND e.color_group = m.color_group WHERE m.place = 1 AND m.n >= 3"""
 FINDINGS = {
     "overflow": f"SELECT slide_id, 'overflow' AS detector, pos, CAST({_OVERFLOW} AS DOUBLE) AS severity FROM {{elements}} WHERE (etype IN ('title', 'text', 'bullet', 'caption') OR length(text) > 0) AND {_OVERFLOW} >= 1",
     "overlap": f"SELECT slide_id, 'overlap' AS detector, pos, iou AS severity FROM ({_PAIRS}) q WHERE iou >= CAST(0.05 AS DOUBLE)",
     "alignment": _group_findings("alignment", _OFFSET, "align_group", "x", 3, 4),
     "font": _group_findings("font", "abs(font - expected_font)", "font_group", "font", 2, 1),
     "palette": f"""SELECT slide_id, 'palette' AS detector, pos, round(off, 6) AS severity
-        FROM (SELECT slide_id, pos, coalesce({_delta(_OWN, ("er", "eg", "eb"))}, {_NEAREST}) AS off FROM {{elements}}) q WHERE off >= 1.5""",
+        FROM (SELECT slide_id, pos, coalesce({_distance("own", "want")}, {_NEAREST}) AS off FROM ({_labs("SELECT * FROM {elements}", own="r g b", want="er eg eb")}) l) q WHERE off >= 1.5""",
     "color_group": f"""SELECT slide_id, 'color_group' AS detector, pos, round(off, 6) AS severity FROM (
-          SELECT e.slide_id, e.pos, {_delta(("e.r", "e.g", "e.b"), ("m.m.r", "m.m.g", "m.m.b"))} AS off FROM {{elements}} e JOIN (
-            SELECT slide_id, color_group, sum(c) AS n, arg_max({{{{'r': r, 'g': g, 'b': b}}}}, {{{{'c': c, 'p': -p}}}}) AS m FROM (
-              SELECT slide_id, color_group, r, g, b, count(*) AS c, min(pos) AS p FROM {{elements}} WHERE color_group IS NOT NULL GROUP BY ALL) x GROUP BY slide_id, color_group) m
-          ON e.slide_id = m.slide_id AND e.color_group = m.color_group WHERE m.n >= 3) q WHERE off >= 1.5""".replace("{{{{", "<<").replace("}}}}", ">>").replace("{{", "{").replace("}}", "}").replace("<<", "{").replace(">>", "}"),
+          SELECT slide_id, pos, {_distance("own", "most")} AS off FROM ({_labs(_MAJORITY, own="r g b", most="mr mg mb")}) l) q WHERE off >= 1.5""",
     "margin": f"SELECT slide_id, 'margin' AS detector, pos, {_MARGIN} AS severity FROM {{elements}} WHERE {_MARGIN} > 0",
 }
 for _name, _function in zip(FINDINGS, (layout.overflow_findings, layout.overlap_findings, layout.alignment_findings, layout.font_findings, layout.palette_findings, layout.color_group_findings, layout.margin_findings), strict=True):
@@ -82,11 +89,11 @@ _ALL = " UNION ALL ".join(f"SELECT * FROM ({x}) {n}_q" for n, x in FINDINGS.item
 query("lint_summary", "elements", lambda e: layout.lint(e).groupBy("detector").agg(F.count("*").alias("n"), F.countDistinct("slide_id").alias("slides"), F.round(F.max("severity"), 6).alias("worst")), f"SELECT detector, count(*) AS n, count(DISTINCT slide_id) AS slides, round(max(severity), 6) AS worst FROM ({_ALL}) a GROUP BY detector")
 query("linter_score", "elements", layout.lint_scores, f"""SELECT s.slide_id, coalesce(n, 0) AS n_findings, greatest(CAST(0 AS DOUBLE), 1 - CAST(0.15 AS DOUBLE) * coalesce(n, 0)) AS score
     FROM (SELECT DISTINCT slide_id FROM {{elements}}) s LEFT JOIN (SELECT slide_id, count(*) AS n FROM ({_ALL}) a GROUP BY slide_id) f ON s.slide_id = f.slide_id""")
-_WHITE = _delta(_OWN, ("255", "255", "255"))
+_WHITE = _distance("own", lab_of((255, 255, 255)))
 _CHEATS = f"""SELECT slide_id, 'overflow_hidden' AS kind, pos FROM {{elements}} WHERE hidden AND length(text) > 0
     UNION ALL SELECT slide_id, 'tiny_text', pos FROM {{elements}} WHERE length(text) > 0 AND font < 6
     UNION ALL SELECT slide_id, 'faint_text', pos FROM {{elements}} WHERE length(text) > 0 AND opacity < CAST(0.2 AS DOUBLE)
-    UNION ALL SELECT slide_id, 'low_contrast', pos FROM {{elements}} WHERE length(text) > 0 AND {_WHITE} < 8
+    UNION ALL SELECT slide_id, 'low_contrast', pos FROM ({_labs("SELECT * FROM {elements}", own="r g b")}) l WHERE length(text) > 0 AND {_WHITE} < 8
     UNION ALL SELECT slide_id, 'off_canvas', pos FROM {{elements}} WHERE x >= 1920 OR y >= 1080 OR x + w <= 0 OR y + h <= 0
     UNION ALL SELECT p.slide_id, 'covering_overlay', p.pos FROM (SELECT slide_id, unnest([pos, other]) AS pos FROM ({_PAIRS}) q WHERE iou >= CAST(0.85 AS DOUBLE)) p
       JOIN {{elements}} e ON p.slide_id = e.slide_id AND p.pos = e.pos WHERE e.fill AND length(e.text) = 0
