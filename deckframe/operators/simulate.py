@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GRID, MARGIN, WIDTH, HEIGHT = 24.0, 96.0, 1920.0, 1080.0
+WIDTH, HEIGHT = 1920.0, 1080.0
+#: The master's title slot, body slots (x, width, height; first y and step), grid and margin.
+TITLE_SLOT = (96.0, 72.0, 1728.0, 72.0)
+BODY_X, BODY_W, BODY_H, BODY_Y0, BODY_DY = 144.0, 1512.0, 72.0, 180.0, 92.0
+GRID, MARGIN = 24.0, 96.0
 
 
 def inject_overlap(elements: DataFrame, severity: float = 0.4) -> DataFrame:
@@ -43,12 +47,12 @@ def snap_to_master(elements: DataFrame) -> DataFrame:
     body = F.col("etype") == "text"
     slot = F.row_number().over(Window.partitionBy("slide_id", "etype").orderBy("y", "pos")) - 1
     grid = lambda c: F.bround(F.col(c) / GRID) * GRID
-    clamp = lambda v, size, limit: F.greatest(F.lit(0.0), F.least(v, limit - size))
+    clamp = lambda c, size, limit: F.greatest(F.lit(MARGIN), F.least(grid(c), limit - MARGIN - F.col(size)))
     title = F.col("etype") == "title"
-    y = F.when(title, 60.0).when(body, 180.0 + 92.0 * F.col("slot")).otherwise(clamp(grid("y"), F.col("h"), HEIGHT))
-    x = F.when(title | body, MARGIN).otherwise(clamp(grid("x"), F.col("w"), WIDTH))
-    w = F.when(title | body, WIDTH - 2 * MARGIN).otherwise(F.col("w"))
-    h = F.when(title, 80.0).when(body, 72.0).otherwise(F.col("h"))
+    place = lambda t, b, other: F.when(title, t).when(body, b).otherwise(other)
+    x = place(F.lit(TITLE_SLOT[0]), F.lit(BODY_X), clamp("x", "w", WIDTH))
+    y = place(F.lit(TITLE_SLOT[1]), BODY_Y0 + BODY_DY * F.col("slot"), clamp("y", "h", HEIGHT))
+    w, h = place(F.lit(TITLE_SLOT[2]), F.lit(BODY_W), F.col("w")), place(F.lit(TITLE_SLOT[3]), F.lit(BODY_H), F.col("h"))
     return elements.withColumn("slot", slot).select("slide_id", "pos", "etype", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
 
 

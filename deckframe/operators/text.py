@@ -9,14 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Candidate terms: a capital letter, then letters, in words of three letters or more.
-TERM = r"\b[A-Z][A-Za-z]{2,}\b"
+#: Fixed value: the pattern of candidate terms, capitalised or camel-case words with an article or without.
+TERM = r"\b(?:the\s+)?[A-Z][a-z]{2,}(?:[A-Z][a-z]*)*[A-Za-z]*\b"
 MAX_EDIT, MIN_RATIO, MIN_SLIDES, MIN_LENGTH = 2, 0.8, 2, 4
 
 
 def terms(text: Column, pattern: str = TERM) -> Column:
-    """Distinct candidate terms of a text."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)))
+    """Distinct candidate terms of a text, with single spaces."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))))
 
 
 def occurrences(slides: DataFrame, pattern: str = TERM) -> DataFrame:

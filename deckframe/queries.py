@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from deckframe.functions.colors import lab_of
 from deckframe.functions.stats import Z95, tail_sql
-from deckframe.operators import audits, judging, layout
+from deckframe.functions.recover import recover_json
+from deckframe.operators import audits, contract, judging, layout, simulate, vision
+from deckframe.operators import text as wording
 from deckframe.plans.views import view, with_views
+from deckframe.sources import html_elements
+from deckframe.streaming import twins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -279,3 +283,108 @@ _MEANS = f"""SELECT cond, count(*) AS runs, count(reached) AS n_reached, avg(rea
 query("censored_means", "rollouts", lambda r: audits.censored_means(audits.rollouts_to_threshold(r)), _MEANS)
 query("regime", "rollouts", lambda r: audits.regime(audits.censored_means(audits.rollouts_to_threshold(r))).withColumn("spread", F.round("spread", 9)), f"""
     SELECT max(mean_best_gain) AS top, round(max(mean_best_gain) - min(mean_best_gain), 9) AS spread, (SELECT cond FROM ({_MEANS}) n ORDER BY mean_best_gain DESC, cond DESC LIMIT 1) AS best_cond FROM ({_MEANS}) m""")
+
+# --- text -----------------------------------------------------------------------------------------------------------
+
+
+def _as_slides(documents: DataFrame) -> DataFrame:
+    """Documents as decks and their lines as slides."""
+    return documents.select(F.col("doc_id").alias("deck"), F.posexplode(F.split("text", "\n", -1)).alias("slide", "text"))
+
+
+_SLIDES = "(SELECT doc_id AS deck, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS slide, unnest(string_split(text, chr(10))) AS text FROM documents)"
+_TERMS = f"""SELECT deck, term, count(DISTINCT slide) AS slides, CAST(min(slide) AS INT) AS first_slide FROM (
+    SELECT deck, slide, trim(regexp_replace(unnest(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'), '{wording.TERM}')), '\\s+', ' ', 'g')) AS term FROM {_SLIDES} s) q GROUP BY deck, term"""
+query("term_occurrences", "documents", lambda d: wording.occurrences(_as_slides(d)), _TERMS.replace("{2,}", "<2,>"))
+SQL["term_occurrences"] = SQL["term_occurrences"].replace("<2,>", "{2,}")
+query("term_variants", "documents", lambda d: wording.variants(wording.occurrences(_as_slides(d))))
+query("deck_caption", "elements", wording.captions, """SELECT slide_id, string_agg(etype || ' e' || pos || ' at (' || CAST(CAST(x AS BIGINT) AS VARCHAR) || ',' || CAST(CAST(y AS BIGINT) AS VARCHAR) || ',' || CAST(CAST(w AS BIGINT) AS VARCHAR) || ',' ||
+    CAST(CAST(h AS BIGINT) AS VARCHAR) || '): ' || substring(text, 1, 120), ' | ' ORDER BY pos) AS caption FROM {elements} GROUP BY slide_id""")
+query("density", "documents", lambda d: wording.density(_as_slides(d)), f"""SELECT deck, slide, words, CASE WHEN words <= 300 THEN 'none' WHEN (words - 300) / CAST(300 AS DOUBLE) <= 0.2 THEN 'minor' WHEN (words - 300) / CAST(300 AS DOUBLE) <= 0.5 THEN 'moderate' ELSE 'severe' END AS level
+    FROM (SELECT deck, CAST(slide AS INT) AS slide, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) AS words FROM {_SLIDES} s) q""")
+query("chat_messages", "conversations", lambda c: contract.messages(c).select("conv_id", "n_turns", "answer"), """SELECT conv_id, CAST(count(*) AS INT) AS n_turns,
+    arg_max(text, turn) FILTER (WHERE role = 'assistant') AS answer FROM conversations GROUP BY conv_id""")
+query("severity_levels", "probe", lambda p: p.groupBy(contract.severity_level(F.col("expected"), F.col("severity"), F.lit(None).cast("string")).alias("level"), contract.modality(F.col("raw_modality")).alias("modality")).agg(F.count("*").alias("n")), """
+    SELECT level, modality, count(*) AS n FROM (SELECT CASE raw_modality WHEN 'Bprime' THEN 'B_prime' ELSE raw_modality END AS modality, CASE expected
+      WHEN 'G1' THEN CASE WHEN severity <= 8 THEN 'minor' WHEN severity <= 32 THEN 'moderate' ELSE 'severe' END WHEN 'G2' THEN CASE WHEN severity <= 0.05 THEN 'minor' WHEN severity <= 0.2 THEN 'moderate' ELSE 'severe' END
+      WHEN 'G3' THEN CASE WHEN severity <= 4 THEN 'minor' WHEN severity <= 16 THEN 'moderate' ELSE 'severe' END WHEN 'G4' THEN CASE WHEN severity <= 1 THEN 'minor' WHEN severity <= 4 THEN 'moderate' ELSE 'severe' END
+      WHEN 'G5' THEN CASE WHEN severity <= 3 THEN 'minor' WHEN severity <= 12 THEN 'moderate' ELSE 'severe' END WHEN 'G6' THEN CASE WHEN severity <= 8 THEN 'minor' WHEN severity <= 16 THEN 'moderate' ELSE 'severe' END
+      ELSE 'moderate' END AS level FROM {probe}) q GROUP BY ALL""")
+
+# --- simulation -----------------------------------------------------------------------------------------------------
+
+query("inject_overlap", "elements", simulate.inject_overlap, """WITH f AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY pos) AS i FROM {elements} WHERE etype <> 'background')
+    SELECT a.slide_id, a.pos, b.x + b.w * (1 - CAST(0.4 AS DOUBLE)) AS x, b.y, a.w, a.h FROM f a JOIN f b ON a.slide_id = b.slide_id AND a.i = 1 AND b.i = 2""")
+query("inject_offset", "elements", lambda e: simulate.inject_offset(e, 40.0, 2), """
+    WITH c AS (SELECT *, round(x / 12) AS col FROM {elements}), s AS (SELECT slide_id, etype, col, count(*) AS n, min(pos) AS first FROM c GROUP BY ALL HAVING count(*) >= 2),
+    b AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY n DESC, first) AS r FROM s),
+    k AS (SELECT c.slide_id, c.pos, c.x, b.n, row_number() OVER (PARTITION BY c.slide_id ORDER BY c.y, c.pos) - 1 AS i FROM c JOIN b ON c.slide_id = b.slide_id AND c.etype = b.etype AND c.col = b.col WHERE b.r = 1)
+    SELECT slide_id, pos, x + 40 AS x, x AS expected_x FROM k WHERE i = n // 2""")
+query("inject_margin", "elements", simulate.inject_margin, "SELECT slide_id, pos, x - min(x) OVER (PARTITION BY slide_id) + 8 AS x, x AS expected_x FROM {elements}")
+_SNAP = """SELECT slide_id, pos, etype, CASE etype WHEN 'title' THEN 96 WHEN 'text' THEN 144 ELSE greatest(96, least(round_even(x / 24, 0) * 24, 1824 - w)) END AS x,
+      CASE etype WHEN 'title' THEN 72 WHEN 'text' THEN 180 + 92 * (row_number() OVER (PARTITION BY slide_id, etype ORDER BY y, pos) - 1) ELSE greatest(96, least(round_even(y / 24, 0) * 24, 984 - h)) END AS y,
+      CASE etype WHEN 'title' THEN 1728 WHEN 'text' THEN 1512 ELSE w END AS w, CASE WHEN etype IN ('title', 'text') THEN 72 ELSE h END AS h FROM {elements}"""
+query("snap_master", "elements", simulate.snap_to_master, _SNAP)
+
+
+def _absorbed(elements: DataFrame) -> DataFrame:
+    """Overlaps before and after snapping, and the share that the master takes away."""
+    before = layout.overlapping(elements).agg(F.count("*").alias("before"))
+    after = layout.overlapping(simulate.snap_to_master(elements)).agg(F.count("*").alias("after"))
+    both = before.select(F.lit(1).alias("k"), "before").join(after.select(F.lit(1).alias("k"), "after"), "k").drop("k")
+    return both.withColumn("absorbed", 1 - F.col("after") / F.nullif(F.col("before"), F.lit(0)))
+
+
+query("absorption", "elements", _absorbed, f"""WITH s AS ({_SNAP}), a AS (SELECT count(*) AS before FROM ({_PAIRS}) p WHERE iou >= CAST(0.05 AS DOUBLE)),
+    b AS (SELECT count(*) AS after FROM ({_PAIRS.replace("{elements}", "s")}) p WHERE iou >= CAST(0.05 AS DOUBLE)) SELECT before, after, 1 - CAST(after AS DOUBLE) / nullif(before, 0) AS absorbed FROM a, b""")
+_FIXED = """(SELECT * REPLACE (greatest(32, least(coalesce(expected_x, x), 1888 - w)) AS x, greatest(32, least(coalesce(expected_y, y), 1048 - h)) AS y, coalesce(expected_font, font) AS font,
+      CASE WHEN capacity > 0 THEN substring(text, 1, capacity) ELSE text END AS text, CAST(NULL AS DOUBLE) AS measured_w, CAST(NULL AS DOUBLE) AS measured_h) FROM {elements})"""
+query("repair_pass", "elements", lambda e: layout.margin_findings(simulate.repair(e)).unionByName(layout.overflow_findings(simulate.repair(e))).groupBy("detector").agg(F.count("*").alias("n"), F.max("severity").alias("worst")), f"""
+    SELECT detector, count(*) AS n, max(severity) AS worst FROM ({FINDINGS["margin"].replace("{elements}", _FIXED + " m")} UNION ALL {FINDINGS["overflow"].replace("{elements}", _FIXED + " o")}) q GROUP BY detector""")
+_SAMPLES = "(SELECT ord, sample_id, expected AS type, severity, template, model AS level FROM {probe})"
+
+
+def _samples(probe: DataFrame) -> DataFrame:
+    return probe.select("ord", "sample_id", F.col("expected").alias("type"), "severity", "template", F.col("model").alias("level"))
+
+
+query("split_assign", "probe", lambda p: simulate.splits(_samples(p)).groupBy("type", "split").agg(F.count("*").alias("n")), f"""SELECT type, split, count(*) AS n FROM (SELECT *, CASE WHEN type = 'G6' THEN 'ood_defect' WHEN severity = 16 THEN 'ood_severity'
+    WHEN (ord + CAST(severity * 100 AS BIGINT)) % 10 < 7 THEN 'train' WHEN (ord + CAST(severity * 100 AS BIGINT)) % 10 < 9 THEN 'dev' ELSE 'test' END AS split FROM {_SAMPLES} s) q GROUP BY ALL""")
+query("capped_subset", "probe", lambda p: simulate.capped(_samples(p), ["type", "template"], 20), f"SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY type, template ORDER BY ord) AS r FROM {_SAMPLES} s) q WHERE r <= 20")
+query("stratified_sample", "probe", lambda p: simulate.stratified_sample(_samples(p), ["type"], 12, id_col="ord"), f"""SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY md5('7#' || CAST(ord AS VARCHAR)), ord) AS r FROM {_SAMPLES} s) q WHERE r <= 12""")
+query("modality_quota", "probe", lambda p: simulate.assign_modalities(_samples(p)).groupBy("level", "modality").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord")), f"""
+    SELECT level, modality, count(*) AS n, min(ord) AS first_ord FROM (SELECT *, CASE WHEN i <= f THEN 'A' WHEN floor((i - f) * CAST(0.5 AS DOUBLE)) > floor((i - f - 1) * CAST(0.5 AS DOUBLE)) THEN 'C' ELSE 'B' END AS modality FROM (
+      SELECT *, row_number() OVER (PARTITION BY level ORDER BY ord) AS i, ceil(CAST(0.3 AS DOUBLE) * count(*) OVER (PARTITION BY level)) AS f FROM {_SAMPLES} s) q) r GROUP BY ALL""")
+query("twin_pairs", "probe", lambda p: simulate.twins(_samples(p)), f"""SELECT * EXCLUDE (n) FROM (SELECT *, coalesce(lead(sample_id) OVER w, first_value(sample_id) OVER w) AS partner, count(*) OVER (PARTITION BY type) AS n FROM {_SAMPLES} s WINDOW w AS (PARTITION BY type ORDER BY ord)) q WHERE n > 1""")
+query("unique_ids", "probe", lambda p: simulate.unique_ids(_samples(p).select("ord", F.concat_ws("_", "type", "template").alias("base"))), f"""SELECT ord, base, CASE WHEN i = 1 THEN base ELSE base || '_' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE substring(CAST(i AS VARCHAR), 1, 3) END END AS unique_id
+    FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY ord) AS i FROM (SELECT ord, concat_ws('_', type, template) AS base FROM {_SAMPLES} s) b) q""")
+query("matrix_cells", "probe", lambda p: simulate.matrix(p.sparkSession, ["m1", "m2", "m3", "m4"], ["A", "B", "C", "B_prime"], ["T1", "T2", "T3"], [512, 768, 1024, 1536], [1, 2, 3]), """
+    SELECT * FROM (SELECT unnest(['m1', 'm2', 'm3', 'm4']) AS model) a, (SELECT unnest(['A', 'B', 'C', 'B_prime']) AS modality) b, (SELECT unnest(['T1', 'T2', 'T3']) AS task) c, (SELECT unnest([512, 768, 1024, 1536]) AS resolution) d, (SELECT unnest([1, 2, 3]) AS seed) e""")
+
+# --- boxes out of images, markup, model text ---------------------------------------------------------------------------
+
+
+def _detections(elements: DataFrame) -> DataFrame:
+    return elements.select(F.col("slide_id").alias("image"), F.col("pos").alias("ord"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"), (F.col("r") / 256.0).alias("score"))
+
+
+def _matched(elements: DataFrame) -> DataFrame:
+    boxes = _detections(elements)
+    moved = boxes.withColumn("x0", F.col("x0") + 12 * (F.col("ord") % 5)).withColumn("x1", F.col("x1") + 12 * (F.col("ord") % 5))
+    return vision.recovery(moved.withColumn("side", F.lit("found")).unionByName(boxes.withColumn("side", F.lit("true"))))
+
+
+query("nms", "elements", lambda e: vision.suppress(_detections(e), 0.3))
+query("recovery_fidelity", "elements", _matched)
+query("json_recover", "events", lambda e: e.select("event_id", recover_json(F.concat(F.lit("Answer: ```json\n"), "props", F.lit("\n``` done"))).alias("object")), "SELECT event_id, replace(props, ' ', '') AS object FROM events")
+query("html_elements", "pages", lambda p: html_elements(p.select("page_id", F.concat(F.lit('<div data-x="3" id="d"><p>'), F.col("url"), F.lit("</p></div>")).alias("html"))).select("page_id", "pos", "element_id", "type", "x", "text"), "SELECT page_id, 0 AS pos, 'd' AS element_id, 'div' AS type, CAST(3 AS DOUBLE) AS x, url AS text FROM pages")
+
+# --- streams over a whole table: the batch form of what streaming/twins.py runs ------------------------------------------
+
+_TS = F.col("ts").cast("timestamp")
+query("event_windows", "events", lambda e: twins.windowed_counts(e.withColumn("ts", _TS)).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total")), """
+    SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+query("event_sessions", "events", lambda e: twins.session_counts(e.withColumn("ts", _TS)).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest")), """
+    WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), n AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL)
+    SELECT user_id, count(*) AS sessions, max(n) AS longest FROM n GROUP BY user_id""")

@@ -1 +1,6 @@
+"""Readers and writers of layouts: JSON lines, annotated HTML, PPTX text, Arrow, CSV."""
 
+from deckframe.sources.files import arrow_rows, decks, json_lines, manifest_counts, write_csv, write_json_lines
+from deckframe.sources.markup import html_elements, pptx_outline
+
+__all__ = ["arrow_rows", "decks", "html_elements", "json_lines", "manifest_counts", "pptx_outline", "write_csv", "write_json_lines"]
