@@ -199,11 +199,11 @@ query("confusion_cells", "elicit", judging.confusion_cells, _CELLS)
 query("confusion_cells_miss", "elicit", lambda e: judging.confusion_cells(e, "miss", "named_target"), f"SELECT *, {_RATES} FROM (SELECT model, cond, defect, {_counts('(named_target AND NOT failure)')} FROM {{elicit}} GROUP BY ALL) q")
 query("stratum_rollup", "elicit", judging.stratum_cells, f"""SELECT *, {_RATES} FROM (SELECT defect, CASE WHEN grouping(stratum) = 1 THEN 'all' ELSE stratum END AS stratum, {_counts()} FROM {{elicit}} WHERE NOT failure
     GROUP BY GROUPING SETS ((defect), (defect, stratum))) q""")
-query("micro_macro", "elicit", lambda e: judging.micro_macro(judging.confusion_cells(e)), f"""SELECT model, cond, avg(bal_acc) AS macro, (coalesce(sum(tp) / nullif(sum(n_pos), 0), 0) + coalesce(sum(tn) / nullif(sum(n_neg), 0), 0)) / 2 AS micro
+query("micro_macro", "elicit", lambda e: judging.micro_macro(judging.confusion_cells(e)).withColumn("macro", F.round("macro", 9)), f"""SELECT model, cond, round(avg(bal_acc), 9) AS macro, (coalesce(sum(tp) / nullif(sum(n_pos), 0), 0) + coalesce(sum(tn) / nullif(sum(n_neg), 0), 0)) / 2 AS micro
     FROM ({_CELLS}) c GROUP BY model, cond""")
 query("best_cells", "elicit", lambda e: judging.best_cells(judging.confusion_cells(e)), f"SELECT model, defect, cond, bal_acc FROM (SELECT *, row_number() OVER (PARTITION BY model, defect ORDER BY bal_acc DESC, cond) AS r FROM ({_CELLS}) c) q WHERE r = 1")
 _OK = "bal_acc >= CAST({0} AS DOUBLE) AND precision >= CAST({0} AS DOUBLE)"
-query("coverage_configs", "elicit", lambda e: judging.coverage(judging.confusion_cells(e), 0.45).withColumn("covered_types", F.array_join("covered_types", ",")), f"""SELECT model, cond, count(*) FILTER (WHERE {_OK.format(0.45)}) AS covered, count(*) AS types, avg(bal_acc) AS mean_bal_acc,
+query("coverage_configs", "elicit", lambda e: judging.coverage(judging.confusion_cells(e), 0.45).withColumn("covered_types", F.array_join("covered_types", ",")).withColumn("mean_bal_acc", F.round("mean_bal_acc", 9)), f"""SELECT model, cond, count(*) FILTER (WHERE {_OK.format(0.45)}) AS covered, count(*) AS types, round(avg(bal_acc), 9) AS mean_bal_acc,
     coalesce(string_agg(CASE WHEN {_OK.format(0.45)} THEN defect END, ',' ORDER BY defect), '') AS covered_types FROM ({_CELLS}) c GROUP BY model, cond""")
 _AFC_RIGHT = "(pick0 = 'a' AND pick1 = 'b')"
 _AFC_BOTH = "(pick0 IN ('a', 'b') AND pick1 IN ('a', 'b'))"
