@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from deckframe.functions.colors import lab_of
 from deckframe.functions.stats import Z95, tail_sql
 from deckframe.functions.recover import recover_json
-from deckframe.operators import audits, contract, judging, layout, simulate, vision
+from deckframe.operators import audits, contract, corpus, judging, layout, simulate, vision
 from deckframe.operators import text as wording
 from deckframe.plans.views import view, with_views
 from deckframe.sources import html_elements
@@ -388,3 +388,60 @@ query("event_sessions", "events", lambda e: twins.session_counts(e.withColumn("t
     WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), n AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL)
     SELECT user_id, count(*) AS sessions, max(n) AS longest FROM n GROUP BY user_id""")
+
+# --- corpora of decks -------------------------------------------------------------------------------------------------
+
+_REASONS = f"""SELECT deck_id, slides, CASE WHEN slides < 2 THEN 'too_few_slides' WHEN empty > 0 THEN 'empty_slide' WHEN findings > 3 THEN 'linter_defect' END AS reason FROM (
+    SELECT s.deck_id, count(*) AS slides, count(*) FILTER (WHERE u.slide_id IS NULL) AS empty, coalesce(sum(f.n), 0) AS findings FROM {{slides}} s
+      LEFT JOIN (SELECT DISTINCT slide_id FROM {{elements}} WHERE length(text) > 0 OR w * h > 0) u ON s.slide_id = u.slide_id
+      LEFT JOIN (SELECT slide_id, count(*) AS n FROM ({FINDINGS["margin"]} UNION ALL {FINDINGS["alignment"]}) x GROUP BY slide_id) f ON s.slide_id = f.slide_id GROUP BY s.deck_id) q"""
+query("corpus_reject_reasons", "slides elements", lambda s, e: corpus.reject_reasons(s, e, max_findings=3), _REASONS)
+query("corpus_summary", "slides elements", lambda s, e: corpus.corpus_summary(corpus.reject_reasons(s, e, max_findings=3)), f"SELECT coalesce(reason, 'accepted') AS reason, count(*) AS decks, CAST(sum(slides) AS BIGINT) AS slides FROM ({_REASONS}) r GROUP BY 1")
+
+
+def _required(slides: DataFrame) -> DataFrame:
+    return slides.select("deck_id", F.explode(F.array(F.lit("1-URGENT"), F.lit("5-LOW"), F.lit("ring"))).alias("section")).distinct()
+
+
+def _quality(slides: DataFrame, elements: DataFrame) -> DataFrame:
+    return corpus.quality_parts(slides, elements, _required(slides))
+
+
+_SCORES = SQL["linter_score"]
+_QUALITY = f"""SELECT p.deck_id, geometry, conciseness, coverage, CAST(1 AS DOUBLE) AS terms FROM (
+    SELECT s.deck_id, avg(coalesce(g.score, 1)) AS geometry, avg(CASE WHEN coalesce(b.n, 0) <= 6 AND coalesce(t.words, 0) <= 12 THEN 1 ELSE 0 END) AS conciseness FROM {{slides}} s
+      LEFT JOIN (SELECT slide_id, count(*) AS n FROM {{elements}} WHERE etype = 'text' GROUP BY slide_id) b ON s.slide_id = b.slide_id
+      LEFT JOIN (SELECT slide_id, len(string_split(arg_min(text, pos), ' ')) AS words FROM {{elements}} WHERE etype = 'title' GROUP BY slide_id) t ON s.slide_id = t.slide_id
+      LEFT JOIN (SELECT s.slide_id, greatest(CAST(0 AS DOUBLE), 1 - CAST(0.15 AS DOUBLE) * coalesce(n, 0)) AS score FROM (SELECT DISTINCT slide_id FROM {{elements}}) s
+        LEFT JOIN (SELECT slide_id, count(*) AS n FROM ({_ALL}) a GROUP BY slide_id) f ON s.slide_id = f.slide_id) g ON s.slide_id = g.slide_id GROUP BY s.deck_id) p
+    JOIN (SELECT deck_id, avg(CAST(hit AS INT)) AS coverage FROM (SELECT s.deck_id, need, bool_or(contains(lower(s.section), need) OR contains(coalesce(lower(t.title), ''), need)) AS hit
+      FROM {{slides}} s LEFT JOIN (SELECT slide_id, arg_min(text, pos) AS title FROM {{elements}} WHERE etype = 'title' GROUP BY slide_id) t ON s.slide_id = t.slide_id,
+        (VALUES ('1-urgent'), ('5-low'), ('ring')) v(need) GROUP BY s.deck_id, need) h GROUP BY deck_id) c ON p.deck_id = c.deck_id"""
+_PARTS = ", ".join(f"round({c}, 9) AS {c}" for c in ("geometry", "conciseness", "coverage"))
+_ROUNDED = {c: F.round(c, 9) for c in ("geometry", "conciseness", "coverage")}
+query("deck_quality", "slides elements", lambda s, e: corpus.deck_quality(_quality(s, e)).withColumns(_ROUNDED).withColumn("quality", F.round("quality", 6)), f"""SELECT deck_id, {_PARTS}, terms,
+    round(coverage * CAST(0.4 AS DOUBLE) + geometry * CAST(0.2 AS DOUBLE) + terms * CAST(0.15 AS DOUBLE) + conciseness * CAST(0.25 AS DOUBLE), 6) AS quality FROM ({_QUALITY}) q""")
+query("proxy_against_gold", "slides elements", lambda s, e: corpus.proxy_against_gold(_quality(s, e).withColumn("grp", F.col("deck_id") % 5), s, layout.cheats(e, s)).withColumns({c: F.round(c, 6) for c in ("proxy", "gold", "gap")}), f"""
+    SELECT grp, round(avg(proxy), 6) AS proxy, round(avg(gold), 6) AS gold, CAST(coalesce(sum(cheats), 0) AS BIGINT) AS cheats, round(avg(proxy) - avg(gold), 6) AS gap, avg(proxy) - avg(gold) > 0 AS over_optimised FROM (
+      SELECT q.deck_id % 5 AS grp, c.cheats, coverage * CAST(0.4 AS DOUBLE) + geometry * CAST(0.2 AS DOUBLE) + terms * CAST(0.15 AS DOUBLE) + conciseness * CAST(0.25 AS DOUBLE) AS proxy,
+        coverage * CAST(0.45 AS DOUBLE) + geometry * CAST(0.15 AS DOUBLE) + terms * CAST(0.15 AS DOUBLE) + conciseness * CAST(0.25 AS DOUBLE) AS gold FROM ({_QUALITY}) q
+      LEFT JOIN (SELECT s.deck_id, count(*) AS cheats FROM ({_CHEATS}) x JOIN {{slides}} s ON x.slide_id = s.slide_id GROUP BY s.deck_id) c ON q.deck_id = c.deck_id) z GROUP BY grp""")
+
+
+def _replayed(probe: DataFrame) -> DataFrame:
+    keys = ["sample_id", "modality", "task"]
+    rows = judging.classify(probe)
+    answers = rows.where("model = 0").select(*keys, "ord", F.col("predicted").alias("output"))
+    return corpus.replay(rows.where("model = 1").select("ord", *keys), answers, keys).select("ord", "output", "answered")
+
+
+query("replay_answers", "probe", _replayed, f"""SELECT r.ord, a.output, a.k IS NOT NULL AS answered FROM (SELECT * FROM {_FACTS} f WHERE model = 1) r LEFT JOIN (SELECT sample_id, modality, task, max(ord) AS k, arg_max_null(predicted, ord) AS output FROM {_FACTS} f
+    WHERE model = 0 GROUP BY 1, 2, 3) a ON r.sample_id = a.sample_id AND r.modality = a.modality AND r.task = a.task""")
+_CELLS_PLAN = [(m, t, r) for m in ("A", "B", "C") for t in ("T1", "T3") for r in (512, 1024)]
+query("probe_grid", "customer", lambda c: corpus.probe_grid(c.select(F.col("c_custkey").alias("sample_id")), c.sparkSession.createDataFrame(_CELLS_PLAN, "modality string, task string, resolution int")), """
+    SELECT c_custkey AS sample_id, modality, task, resolution FROM customer, (VALUES ('A'), ('B'), ('C')) a(modality), (VALUES ('T1'), ('T3')) b(task), (VALUES (512), (1024)) c(resolution)""")
+query("finding_validity", "elements", lambda e: e.select("slide_id", "pos", corpus.evidence_ok(F.concat(F.col("text"), F.when(F.col("pos") % 2 == 0, " overlaps by 4 px").otherwise("")), F.lit("large ring"), F.col("etype")).alias("evidence"), corpus.fix_ok(F.concat(F.when(F.col("pos") % 3 == 0, "Move ").otherwise("See "), F.col("text"))).alias("fix")), """
+    SELECT slide_id, pos, (pos % 2 = 0 OR contains(lower(text), etype)) AND (pos % 2 = 0 OR len(list_filter(string_split(text, ' '), lambda w: w <> '' AND w NOT IN ('large', 'ring'))) > 0) AS evidence, pos % 3 = 0 AS fix FROM {elements}""")
+query("previous_score", "rollouts", lambda r: corpus.next_in_order(r, "run", "n", "score"), "SELECT *, lag(score) OVER (PARTITION BY run ORDER BY n) AS previous FROM {rollouts}")
+query("issue_counts", "elements", lambda e: corpus.issue_counts(e.select(F.col("slide_id").alias("item"), F.array_compact(F.array(F.when(F.col("x") < 32, F.concat(F.lit("margin:"), F.col("pos"))), F.when(F.col("font") < 8, F.lit("font")))).alias("issues"))), """
+    SELECT CASE WHEN x < 32 OR font < 8 THEN 'failed' ELSE 'ok' END AS kind, count(*) AS n FROM {elements} GROUP BY 1 UNION ALL SELECT 'margin', count(*) FROM {elements} WHERE x < 32 HAVING count(*) > 0 UNION ALL SELECT 'font', count(*) FROM {elements} WHERE font < 8 HAVING count(*) > 0""")

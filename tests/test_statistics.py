@@ -85,3 +85,11 @@ def test_rollouts(spark):
     assert (got[1].reached, got[1].rollouts, got[2].reached) == (2, 3, None)
     r = audits.censored_means(runs).first()
     assert (r.n_reached, r.mean_reached, r.mean_censored) == (1, 2, 2.5)
+
+
+def test_sample_size():
+    from deckframe.operators.corpus import sample_size
+
+    assert sample_size(0.5, 0.6) == 388
+    with pytest.raises(ValueError, match="differ"):
+        sample_size(0.5, 0.5)
