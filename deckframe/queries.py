@@ -381,10 +381,15 @@ query("html_elements", "pages", lambda p: html_elements(p.select("page_id", F.co
 
 # --- streams over a whole table: the batch form of what streaming/twins.py runs ------------------------------------------
 
-_TS = F.col("ts").cast("timestamp")
-query("event_windows", "events", lambda e: twins.windowed_counts(e.withColumn("ts", _TS)).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total")), """
+
+
+def _zoned(events: DataFrame) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+query("event_windows", "events", lambda e: twins.windowed_counts(_zoned(e)).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total")), """
     SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
-query("event_sessions", "events", lambda e: twins.session_counts(e.withColumn("ts", _TS)).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest")), """
+query("event_sessions", "events", lambda e: twins.session_counts(_zoned(e)).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest")), """
     WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), n AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL)
     SELECT user_id, count(*) AS sessions, max(n) AS longest FROM n GROUP BY user_id""")
