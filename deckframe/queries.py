@@ -423,8 +423,7 @@ _QUALITY = f"""SELECT p.deck_id, geometry, conciseness, coverage, CAST(1 AS DOUB
       FROM {{slides}} s LEFT JOIN (SELECT slide_id, arg_min(text, pos) AS title FROM {{elements}} WHERE etype = 'title' GROUP BY slide_id) t ON s.slide_id = t.slide_id,
         (VALUES ('1-urgent'), ('5-low'), ('ring')) v(need) GROUP BY s.deck_id, need) h GROUP BY deck_id) c ON p.deck_id = c.deck_id"""
 _PARTS = ", ".join(f"round({c}, 9) AS {c}" for c in ("geometry", "conciseness", "coverage"))
-_ROUNDED = {c: F.round(c, 9) for c in ("geometry", "conciseness", "coverage")}
-query("deck_quality", "slides elements", lambda s, e: corpus.deck_quality(_quality(s, e)).withColumns(_ROUNDED).withColumn("quality", F.round("quality", 6)), f"""SELECT deck_id, {_PARTS}, terms,
+query("deck_quality", "slides elements", lambda s, e: corpus.deck_quality(_quality(s, e)).withColumns({c: F.round(c, 9) for c in ("geometry", "conciseness", "coverage")}).withColumn("quality", F.round("quality", 6)), f"""SELECT deck_id, {_PARTS}, terms,
     round(coverage * CAST(0.4 AS DOUBLE) + geometry * CAST(0.2 AS DOUBLE) + terms * CAST(0.15 AS DOUBLE) + conciseness * CAST(0.25 AS DOUBLE), 6) AS quality FROM ({_QUALITY}) q""")
 query("proxy_against_gold", "slides elements", lambda s, e: corpus.proxy_against_gold(_quality(s, e).withColumn("grp", F.col("deck_id") % 5), s, layout.cheats(e, s)).withColumns({c: F.round(c, 6) for c in ("proxy", "gold", "gap")}), f"""
     SELECT grp, round(avg(proxy), 6) AS proxy, round(avg(gold), 6) AS gold, CAST(coalesce(sum(cheats), 0) AS BIGINT) AS cheats, round(avg(proxy) - avg(gold), 6) AS gap, avg(proxy) - avg(gold) > 0 AS over_optimised FROM (
