@@ -22,7 +22,8 @@ def _both(edges: DataFrame) -> DataFrame:
 
 def _star(near: DataFrame, large: bool) -> DataFrame:
     """Link what stands next to each u of ``near`` (u, v) with the smallest of them and u."""
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # written, so that the join is broadcast if small, and else deals both sides anew and may split the node of many links
+    least = stored(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "smallest-neighbours")
     met = near.join(least, "u")
     if large:
         return met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
