@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from deckframe.plans.tables import stored
+
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS: dict[str, str] = {
@@ -105,9 +107,29 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes}, {body[4:].lstrip()}" if body[:5].upper() == "WITH " else f"WITH {ctes} {body}"
 
 
+def _there(spark: SparkSession, df: DataFrame) -> bool:
+    """Are the files of a written table still where they were?"""
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0])
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+#: Views that joins and detectors read many times; written once for a session and folder.
+WRITTEN = frozenset({"elements"})
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or a base table, as a DataFrame."""
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in WRITTEN:
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if key not in _written or not _there(spark, _written[key]):
+            _written[key] = stored(_plain(spark, sf_dir, name), name)
+        return _written[key]
+    return _plain(spark, sf_dir, name)
+
+
+def _plain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     names = set(re.findall(r"\{(\w+)\}", VIEWS[name]))
     return spark.sql(VIEWS[name].replace("{", "{t_"), **{f"t_{n}": view(spark, sf_dir, n) for n in names})
