@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckframe.llm import decontaminate, line_dedup, mixing, quality_rules, simhash
+from deckframe.llm import decontaminate, jaccard, line_dedup, mixing, quality_rules, simhash
 from deckframe.plans import stored
 
 
@@ -30,8 +30,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of near duplicates (SimHash, or five-word shingles at 0.8) the document of the smallest id stays."""
+    return simhash.drop_near_duplicates(docs, similarity=jaccard.SIMILARITY)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deckframe.llm.components import components
+from deckframe.llm.jaccard import similar
 from deckframe.plans import fresh, stored
 
 SHINGLE = 3
@@ -156,15 +157,22 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.select(u.alias("u"), v.alias("v")).union(forest)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """One row for each document: doc_id, th, fp, component_id (the smallest id reachable), keep.
 
     ``keep`` marks one row of each component, or all copies of that row if it is repeated.
+    With ``similarity``, texts whose five-word shingles have that Jaccard similarity are linked as well.
     """
     rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     last = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
     distinct = stored(rows.groupBy("fp").agg(F.min(F.struct(last.alias("id"), "doc_id", "th", "fp")).alias("first")), "distinct-fps")
-    roots = components(links(distinct.select("fp")))
+    found = links(distinct.select("fp"))
+    if similarity is not None:
+        of = stored(rows.select("th", "fp").distinct(), "text-fps")
+        u, v = (of.select(F.col("th").alias(c), F.col("fp").alias(f"{c}_fp")) for c in ("u", "v"))
+        close = stored(similar(docs, text_col, similarity), "similar").join(u, "u").join(v, "v")
+        found = found.union(close.select("u_fp", "v_fp"))
+    roots = components(found)
     whole = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     whole = stored(whole, "fp-roots")
     best = whole.groupBy("root").agg(F.min("first").alias("best"))
@@ -174,10 +182,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "th", "fp", F.col("best.doc_id").alias("component_id"), keep.alias("keep"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` without near duplicates: one row of each component stays, that with the smallest id."""
     k, th = fresh(docs, "_key", "_text_hash")
     smallest = F.lit(-(1 << 63))
-    kept = near_duplicates(docs, id_col, text_col).where("keep").select(F.coalesce("doc_id", smallest).alias(k), F.col("th").alias(th)).distinct()
+    kept = near_duplicates(docs, id_col, text_col, similarity).where("keep").select(F.coalesce("doc_id", smallest).alias(k), F.col("th").alias(th)).distinct()
     keyed = docs.withColumn(k, F.coalesce(F.col(id_col).cast("long"), smallest)).withColumn(th, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     return keyed.join(kept, [k, th], "left_semi").dropDuplicates([k, th]).select(*docs.columns)
