@@ -104,9 +104,9 @@ def twins(samples: DataFrame) -> DataFrame:
 
 
 def unique_ids(rows: DataFrame, base: str = "base", order: str = "ord") -> DataFrame:
-    """A repeated base id gets a suffix, ``_002`` for its second row."""
+    """A repeated base id gets a suffix, ``_002`` for its second row; from 1000 on the number is longer, never cut."""
     i = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    return rows.withColumn("unique_id", F.when(i == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), F.lpad(i.cast("string"), 3, "0"))))
+    return rows.withColumn("unique_id", F.when(i == 1, F.col(base)).otherwise(F.concat(F.col(base), F.format_string("_%03d", i))))
 
 
 def matrix(spark, models: list[str], modalities: list[str], tasks: list[str], resolutions: list[int], seeds: list[int]) -> DataFrame:
