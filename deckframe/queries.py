@@ -378,6 +378,9 @@ query("nms", "elements", lambda e: vision.suppress(_detections(e), 0.3))
 query("recovery_fidelity", "elements", _matched)
 query("json_recover", "events", lambda e: e.select("event_id", recover_json(F.concat(F.lit("Answer: ```json\n"), "props", F.lit("\n``` done"))).alias("object")), "SELECT event_id, replace(props, ' ', '') AS object FROM events")
 query("html_elements", "pages", lambda p: html_elements(p.select("page_id", F.concat(F.lit('<div data-x="3" id="d"><p>'), F.col("url"), F.lit("</p></div>")).alias("html"))).select("page_id", "pos", "element_id", "type", "x", "text"), "SELECT page_id, 0 AS pos, 'd' AS element_id, 'div' AS type, CAST(3 AS DOUBLE) AS x, url AS text FROM pages")
+#: Whole pages, null ones included; every opening tag of text is annotated (SQL cannot parse it).
+_ANNOTATED = r"(?i)<(div|p|h[1-6]|li|a|td|article|section)(?=[\s>])"
+query("html_page_elements", "pages", lambda p: html_elements(p.select("page_id", F.regexp_replace("html", _ANNOTATED, '<$1 data-x="3" data-element-id="e"').alias("html"))).select("page_id", "pos", "element_id", "type", "x", "text"))
 
 # --- streams over a whole table: the batch form of what streaming/twins.py runs ------------------------------------------
 
