@@ -41,9 +41,11 @@ BYTES_A_CELL = 100
 #: Cells in a slice of the sketch, the unit in which sketches are merged.
 SLICE = 1 << 16
 #: Bytes of text hashed at once; a longer text is hashed alone.
-BLOCK = 1 << 20
-#: Windows that a task gathers before it combines them.
-GATHER = 1 << 21
+BLOCK = 1 << 19
+#: Windows that a task gathers before it combines them: some 80 bytes each at the peak.
+GATHER = 1 << 20
+#: Rows of a batch that a task sends on.
+OUT_ROWS = 1 << 16
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -61,7 +63,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             x = np.full(size, b, U)
             x[0] = 1
             both.append(np.multiply.accumulate(x))
-        if size > 4 * BLOCK:  # one very long text: not kept
+        if size > 2 * BLOCK:  # one very long text: not kept
             return both[0], both[1]
         _tables[base] = (both[0], both[1])
     return _tables[base]
@@ -153,11 +155,24 @@ def _begins(anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, bool)
 
 
+def _mark(one: np.ndarray, two: np.ndarray, cells: np.ndarray) -> None:
+    """Count ``cells`` in two planes of bits: seen at least once, at least twice."""
+    at, n = np.unique(cells, return_counts=True)
+    if not len(at):
+        return
+    byte, bit = at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8)
+    first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+    byte = byte[first]
+    new, again = np.bitwise_or.reduceat(bit, first), np.bitwise_or.reduceat(np.where(n > 1, bit, np.uint8(0)), first)
+    two[byte] |= again | (one[byte] & new)
+    one[byte] |= new
+
+
 def sketch(texts: DataFrame, size: int, cells: int) -> np.ndarray:
     """DEPTH rows of bits: the cells counted twice or more over all of ``texts`` (text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros((DEPTH, cells), np.uint8)
+        planes = np.zeros((DEPTH, 2, cells // 8), np.uint8)  # a quarter of a byte for each cell and row
         for batch in batches:
             for _, _, data, ends in _blocks(batch):
                 h = Hashed(data, ends)
@@ -165,14 +180,14 @@ def sketch(texts: DataFrame, size: int, cells: int) -> np.ndarray:
                 anchor = h.anchors(size, ANCHOR)[at]
                 anchor = anchor[_begins(anchor, doc)]
                 for row in range(DEPTH):
-                    at_cell, n = np.unique(_cells(anchor, row, cells), return_counts=True)
-                    own[row, at_cell] = np.minimum(own[row, at_cell] + np.minimum(n, 2), 2)
+                    _mark(*planes[row], _cells(anchor, row, cells))
+        half = min(SLICE, cells) // 8
         for row in range(DEPTH):
-            for i in range(0, cells, SLICE):
-                part = own[row, i : i + SLICE]
-                if part.any():
-                    bits = np.packbits(part > 0).tobytes() + np.packbits(part > 1).tobytes()
-                    yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "slice": pa.array([i // SLICE], pa.int32()), "bits": pa.array([bits], pa.binary())})
+            for i in range(0, cells // 8, half):
+                one, two = planes[row, :, i : i + half]
+                if one.any():
+                    bits = one.tobytes() + two.tobytes()
+                    yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "slice": pa.array([i // half], pa.int32()), "bits": pa.array([bits], pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = min(SLICE, cells) // 8
@@ -199,25 +214,57 @@ def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
-def _combined(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Of gathered windows (rank, th, h1, h2, pos): those of the smallest rank, and as arrays the positions of the others."""
-    rank, th, h1, h2, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((rank, h2, h1))
-    rank, th, h1, h2, pos = rank[order], th[order], h1[order], h2[order], pos[order]
-    new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-    late = rank > rank[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    on = ~late
-    none = pa.nulls(int(on.sum()), pa.list_(pa.int32()))
-    yield pa.RecordBatch.from_arrays([pa.array(rank[on]), pa.array(th[on]), pa.array(h1[on].view(np.int64)), pa.array(h2[on].view(np.int64)), pa.array(pos[on]), none], _FOUND)
-    if late.any():
-        rank, th, pos = rank[late], th[late], pos[late]
+class _Gathered:
+    """Windows of some documents, in the order in which they came."""
+
+    def __init__(self) -> None:
+        self.count, self.docs = 0, 0
+        self.ranks: list[np.ndarray] = []
+        self.ths: list[np.ndarray] = []
+        self.windows: list[tuple[np.ndarray, ...]] = []  # document, place, two hashes
+
+    def add(self, ranks: np.ndarray, ths: np.ndarray, doc: np.ndarray, pos: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
+        self.ranks.append(ranks)
+        self.ths.append(ths)
+        self.windows.append(((doc + self.docs).astype(np.int32), pos.astype(np.int32), h1, h2))
+        self.docs += len(ranks)
+        self.count += len(doc)
+
+    def combined(self) -> Iterator[pa.RecordBatch]:
+        """The windows of the smallest rank among equal ones, and as arrays the places of the others; this is empty then."""
+        ranks, ths = np.concatenate(self.ranks), np.concatenate(self.ths)
+        doc, pos, h1, h2 = (np.concatenate([w[i] for w in self.windows]) for i in range(4))
+        self.__init__()
+        order = np.lexsort((h2, h1))
+        new = h1[order]
+        new = np.concatenate([[True], new[1:] != new[:-1]])
+        x = h2[order]
+        new[1:] |= x[1:] != x[:-1]
+        x = ranks[doc[order]]
+        least = np.minimum.reduceat(x, np.flatnonzero(new))
+        late = np.empty(len(order), bool)
+        late[order] = x > least[np.cumsum(new) - 1]
+        del x, least, new, order
+        on = np.flatnonzero(~late)  # in order of documents still: what neighbours share packs well
+        for i in range(0, len(on), OUT_ROWS):
+            at = on[i : i + OUT_ROWS]
+            none = pa.nulls(len(at), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ranks[doc[at]], ths[doc[at]], h1[at].view(np.int64), h2[at].view(np.int64), pos[at])] + [none], _FOUND)
+        if not late.any():
+            return
+        rank, th, pos = ranks[doc[late]], ths[doc[late]], pos[late]
+        del doc, h1, h2, late, on
         order = np.lexsort((pos, th, rank))
         rank, th, pos = rank[order], th[order], pos[order]
         first = np.flatnonzero(np.concatenate([[True], (rank[1:] != rank[:-1]) | (th[1:] != th[:-1])]))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(pos)]]).astype(np.int32)), pa.array(pos))
-        rank, th = rank[first], th[first]
+        rank, th, ends = rank[first], th[first], np.concatenate([first[1:], [len(pos)]])
         own = _mix(th.view(U) ^ _mix(rank.view(U)))  # a key of its own for each document: nothing is left to compare
-        yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(th), pa.array(own.view(np.int64)), pa.array(th), pa.nulls(len(first), pa.int32()), lists], _FOUND)
+        i = 0
+        while i < len(first):
+            j = max(i + 1, int(np.searchsorted(ends, first[i] + OUT_ROWS, side="right")))
+            lists = pa.ListArray.from_arrays(pa.array((np.concatenate([first[i:j], ends[j - 1 : j]]) - first[i]).astype(np.int32)), pa.array(pos[first[i] : ends[j - 1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(rank[i:j]), pa.array(th[i:j]), pa.array(own[i:j].view(np.int64)), pa.array(th[i:j]), pa.nulls(j - i, pa.int32()), lists], _FOUND)
+            i = j
 
 
 _FOUND = ["rank", "th", "h1", "h2", "pos", "starts"]
@@ -228,8 +275,7 @@ def repeated_windows(rows: DataFrame, size: int, cells: int) -> DataFrame:
     bits = rows.sparkSession.sparkContext.broadcast(sketch(rows.select("text"), size, cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
-        gathered = 0
+        gathered = _Gathered()
         for batch in batches:
             ranks, ths = batch.column("rank").to_numpy(), batch.column("th").to_numpy()
             for i, j, data, ends in _blocks(batch):
@@ -241,13 +287,11 @@ def repeated_windows(rows: DataFrame, size: int, cells: int) -> DataFrame:
                     keep &= _set(bits.value[row], _cells(anchor, row, cells))
                 if keep.any():
                     doc, at = doc[keep], at[keep]
-                    parts.append((ranks[i:j][doc], ths[i:j][doc], _rolled(h.words, size, _ONE)[at], _rolled(h.words, size, _TWO)[at], pos[keep].astype(np.int32)))
-                    gathered += len(at)
-                if gathered > GATHER:
-                    yield from _combined(parts)
-                    parts, gathered = [], 0
-        if parts:
-            yield from _combined(parts)
+                    gathered.add(ranks[i:j], ths[i:j], doc, pos[keep], _rolled(h.words, size, _ONE)[at], _rolled(h.words, size, _TWO)[at])
+                if gathered.count > GATHER:
+                    yield from gathered.combined()
+        if gathered.count:
+            yield from gathered.combined()
 
     return rows.mapInArrow(run, "rank long, th long, h1 long, h2 long, pos int, starts array<int>")
 
