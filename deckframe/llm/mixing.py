@@ -5,14 +5,20 @@ taken. A copy's virtual finish time is the source's words up to and with it over
 the source's target; the queue takes copies by finish time until the budget of
 words is spent, so every source is served in proportion to its target.
 
-No text moves: one pass measures the documents and the rest works on ids and
-sizes. Running sums are prefix sums in two levels, over hash ranges of the shuffle
-and over ranges of the finish time, so no window holds a whole source. Of the
-finish-time ranges only the one in which the budget runs out is sorted.
+The targets use up the budget, so it runs out at time 1: copies up to then are taken
+by their finish time alone, and those after it that could still fit are sorted
+globally and cut where the budget ends. Running sums are prefix sums over sorted
+ranges (``running``), so no window holds a source, an id or the corpus. What the queue
+says of a source is how many of its words are taken, a number; a document is judged
+by its own place against it, so no text is shuffled and none meets its copies.
 
 Defined results: null text has size 0 and takes nothing; sources with no words
 have target 0; null is a source of its own, in the last place; repeated rows and
-null ids are documents like any other; an empty table gives an empty result.
+null ids are documents like any other, each row for itself: rows of one id and size
+follow each other by a hash of the row, and of rows alike in all columns some may be
+taken more often; a very long text is one document of its size; other columns pass
+through ``mixed_documents``, and names that clash with its own get an underscore; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,16 +28,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deckframe.llm.words import words
-from deckframe.plans import fresh, stored
+from deckframe.plans import fresh, sized, stored
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_COPIES = 2
-#: Documents in a range of the shuffle, about.
-RANGE_ROWS = 4096
-#: Ranges of finish times in each unit of it.
-TIME_RANGES = 1024
+#: Rows of a sorted range, at most about.
+RANGE_ROWS = 1 << 20
+#: Copies that finish this long before time 1 are taken without a look at the others.
+MARGIN = 1e-9
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, copies: int = MAX_COPIES) -> DataFrame:
@@ -57,66 +62,108 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget:
     return df.select("source", "place", "source_size", "target")
 
 
-def _ordered(v: Column) -> Column:
-    return F.struct(v.alias("v"), F.col("place"), F.col("key"), F.col("doc_id"), F.col("size"))
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, tag: str) -> DataFrame:
+    """``df`` with upto: the sum of ``value`` up to and with each row in the order, among the rows alike in ``by``; written.
+
+    Rows go to sorted ranges of bounded size. The sums of the ranges, as many as
+    there are tasks, are added up first; then each range is added up for itself.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(tasks, df.count() // RANGE_ROWS + 1)
+    dealt = stored(df.repartitionByRange(ranges, *by, *order).withColumn("range", F.spark_partition_id()), tag)
+    sums = dealt.groupBy(*by, "range").agg(F.sum(value).alias("words"))
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = stored(sums.select(*by, "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("earlier")), f"{tag}-sums")
+    within = Window.partitionBy(*by, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumn("upto", F.sum(value).over(within)).join(sized(sums), [*by, "range"])
+    return stored(summed.withColumn("upto", F.col("upto") + F.col("earlier")).drop("range", "earlier"), f"{tag}-upto")
+
+
+#: The shuffled order of the documents of a source; the row's number tells rows alike apart.
+_ORDER = ["key", "id", "size", "th"]
+
+
+def _measured(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def _place(doc_id: Column, text: Column, th: Column) -> list[Column]:
+    own = doc_id.cast("long")
+    key = F.md5(F.coalesce(own.cast("string"), F.lit("")))
+    return [key.alias("key"), F.coalesce(own, F.lit(-(1 << 63))).alias("id"), _measured(text).alias("size"), th.alias("th")]
+
+
+def _queue(docs: DataFrame, th: Column, weights: Sequence[float], budget: float, copies: int) -> tuple[DataFrame, DataFrame]:
+    """The documents in their order (doc_id, source, place, key, id, size, th, upto), and the sources with words, those that the mix takes."""
+    rows = docs.select("doc_id", "source", *_place(F.col("doc_id"), F.col("text"), th), F.monotonically_increasing_id().alias("row"))
+    base = stored(rows, "mix-sizes")
+    sources = stored(source_targets(base, weights, budget, copies), "mix-sources")
+    b, s = base.alias("b"), sized(sources).alias("s")
+    known = b.join(s, F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.*", "place", "source_size", "target")
+    queue = running(known, ["place"], [*_ORDER, "row"], "size", "mix-queue")
+    whole = (sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] or 0) * budget
+
+    turns = F.explode(F.array(*[F.lit(i) for i in range(copies)]))
+    end = F.col("upto") + F.col("turn") * F.col("source_size")
+    each = queue.where((F.col("size") > 0) & (F.col("target") > 0)).withColumn("turn", turns).withColumn("end", end)
+    sure = F.col("end") <= F.col("target") * (1 - MARGIN)
+    first = stored(each.where(sure).groupBy("place").agg(F.sum("size").alias("sure")), "mix-sure")
+    left = whole - (first.agg(F.sum("sure")).first()[0] or 0)
+    late = each.where(~sure).join(sized(first), "place", "left").where(F.col("end") - F.coalesce("sure", F.lit(0)) <= left)
+    late = late.select("place", *_ORDER, "row", "turn", (F.col("end").cast("double") / F.col("target")).alias("v"))
+    served = running(late, [], ["v", "place", *_ORDER, "row", "turn"], "size", "mix-late").where(F.col("upto") <= left)
+    more = served.groupBy("place").agg(F.sum("size").alias("more"))
+    words = (F.coalesce("sure", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("words")
+    done = sources.join(first, "place", "left").join(more, "place", "left").select("place", "source", "source_size", "target", words)
+    return queue, stored(done, "mix-done")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, copies: int = MAX_COPIES) -> DataFrame:
     """Of documents (doc_id, source, text): doc_id, source, size, source_size, target, taken."""
-    text = F.col("text")
-    base = stored(docs.select("doc_id", "source", F.size(words(text)).cast("long").alias("size")), "mix-sizes")
-    sources = stored(source_targets(base, weights, budget, copies), "mix-sources")
-    n = base.count()
-    bits = max(4, min(28, (n // RANGE_ROWS).bit_length() + 4))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    b, s = base.alias("b"), sources.alias("s")
-    rows = (
-        b.join(F.broadcast(s), F.col("b.source").eqNullSafe(F.col("s.source")))
-        .select("doc_id", F.col("b.source").alias("source"), "size", "place", "source_size", "target", key.alias("key"))
-        .withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 7), 16, 10).cast("int"), 28 - bits))
-    )
-    parts = rows.groupBy("place", "range").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("place").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("place", "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("earlier"))
-    within = Window.partitionBy("place", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = rows.withColumn("inner", F.sum("size").over(within)).join(parts, ["place", "range"])
-    queued = stored(queued.withColumn("cum", F.col("earlier") + F.col("inner")).drop("inner", "earlier", "range"), "mix-queue")
-    times = [F.when(F.col("target") > 0, (F.col("cum") + c * F.col("source_size")).cast("double") / F.col("target")) for c in range(copies)]
-    served = queued.select("size", "place", "key", "doc_id", F.explode(F.array(*times)).alias("v")).where(F.col("v").isNotNull() & (F.col("size") > 0))
-    served = served.withColumn("slot", F.floor(F.col("v") * TIME_RANGES))
-    slots = served.groupBy("slot").agg(F.sum("size").alias("words"))
-    whole = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * budget
-    upto = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    # a few thousand slots for each time a source goes round, whatever the corpus
-    last = slots.withColumn("upto", F.sum("words").over(upto)).where(F.col("upto") > whole).orderBy("slot").limit(1).collect()
-    if last:
-        slot, base_words = last[0]["slot"], last[0]["upto"] - last[0]["words"]
-        order = Window.orderBy(_ordered(F.col("v"))).rowsBetween(Window.unboundedPreceding, 0)
-        edge = served.where(F.col("slot") == slot).withColumn("upto", base_words + F.sum("size").over(order))
-        cut = edge.where(F.col("upto") <= whole).agg(F.max(_ordered(F.col("v"))).alias("cut")).first()["cut"]
-        floor = F.floor  # whole slots before the last, and what stands up to the cut in it
-        full = [floor(t * TIME_RANGES) < slot for t in times]
-        at = F.lit(False)
-        if cut is not None:
-            point = F.struct(*[F.lit(cut[i]).cast(kind).alias(name) for i, (name, kind) in enumerate((("v", "double"), ("place", "int"), ("key", "string"), ("doc_id", "long"), ("size", "long")))])
-            taken = [f | ((floor(t * TIME_RANGES) == slot) & (_ordered(t) <= point)) for f, t in zip(full, times, strict=True)]
-        else:
-            taken = [f | at for f in full]
-    else:
-        taken = [t.isNotNull() for t in times]
-    count = sum((F.when(t, F.lit(1)).otherwise(F.lit(0)) for t in taken), F.lit(0))
-    return queued.select("doc_id", "source", "size", "source_size", "target", (count * F.col("size")).cast("long").alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, **options: float) -> DataFrame:
+    queue, sources = _queue(docs, F.xxhash64("text"), weights, budget, copies)
+    served = queue.join(sized(sources.select("place", "words")), "place")
+    turns = sum(F.when(F.col("upto") + i * F.col("source_size") <= F.col("words"), F.col("size")).otherwise(F.lit(0)) for i in range(copies))
+    return served.select("doc_id", "source", "size", "source_size", "target", turns.cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, copies: int = MAX_COPIES) -> DataFrame:
     """The documents that the mix takes: the columns of ``docs``, then size, source_size, target, taken.
 
-    Rows of one id and source are taken alike: as often as the mix takes any of them.
+    The documents that a source gives in a turn are those up to a last one in its
+    order. A row is compared with the last ones of its source; rows alike in all
+    columns with a last one are counted, and as many as are taken are given again.
     """
-    extra = fresh(docs, "size", "source_size", "target", "taken")
-    plan = mix(docs, **options).groupBy("doc_id", "source").agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
-    plan = plan.where(F.col("taken") > 0)
-    d, p = docs.alias("d"), plan.alias("p")
-    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source"))
-    named = [F.col(f"p.{c}").alias(e) for c, e in zip(("size", "source_size", "target", "taken"), extra, strict=True)]
-    return d.join(p, same).select("d.*", *named)
+    plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    th = F.xxhash64(*plain)
+    queue, sources = _queue(docs, th, weights, budget, copies)
+    own = F.struct(*_ORDER)
+    given = queue.join(sized(sources.select("place", "words")), "place").where("size > 0")
+    within = [F.col("upto") + i * F.col("source_size") <= F.col("words") for i in range(copies)]
+    last = stored(given.groupBy("place").agg(*[F.max(F.when(w, own)).alias(f"last{i}") for i, w in enumerate(within)]), "mix-last")
+    alike = given.join(sized(last), "place").groupBy("place")
+    counts = [f for i, w in enumerate(within) for f in (F.count_if(own == F.col(f"last{i}")).alias(f"all{i}"), F.count_if((own == F.col(f"last{i}")) & w).alias(f"in{i}"))]
+    marks = stored(sources.join(last, "place").join(alike.agg(*counts), "place"), "mix-marks")
+    names = fresh(docs, "size", "source_size", "target", "taken")
+    mark, measured, here, turns, part, n = fresh(docs, "_mark", "_order", "_here", "_turns", "_part", "_n")
+    m = sized(marks.select(F.struct(*marks.columns).alias(mark)))
+    df = docs.join(m, F.col("source").eqNullSafe(F.col(mark)["source"]))
+    # a number that depends on the row keeps the filters below from being pushed here, where they would measure again
+    df = df.withColumn(measured, F.struct(*_place(F.col("doc_id"), F.col("text"), th))).withColumn(here, F.monotonically_increasing_id())
+    p, at = F.col(measured), F.col(mark)
+    whole = [(p < at[f"last{i}"]) | ((p == at[f"last{i}"]) & (at[f"in{i}"] == at[f"all{i}"])) for i in range(copies)]
+    some = [(p == at[f"last{i}"]) & (at[f"in{i}"] < at[f"all{i}"]) for i in range(copies)]
+    count = lambda conditions: sum((F.when(c, F.lit(1)).otherwise(F.lit(0)) for c in conditions), F.lit(0))
+    df = df.withColumn(turns, count(whole)).withColumn(part, count(some) > 0)
+
+    def out(x: DataFrame, times: Column) -> DataFrame:
+        values = (p["size"], at["source_size"], at["target"], (times * p["size"]).cast("long"))
+        x = x.select(*docs.columns, *[v.alias(name) for v, name in zip(values, names, strict=True)])
+        return x.where(F.col(names[-1]) > 0)
+
+    sure = out(df.where(~F.col(part)), F.col(turns))
+    if not marks.where(" or ".join(f"in{i} < all{i}" for i in range(copies))).head(1):
+        return sure
+    same = [*docs.columns, mark, measured, turns]
+    edge = df.where(part).groupBy(*same).agg(F.count("*").alias(n)).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+    times = F.col(turns) + count([s & (F.col(n) <= at[f"in{i}"]) for i, s in enumerate(some)])
+    return sure.union(out(edge, times))

@@ -61,8 +61,32 @@ def test_mixed_documents(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, text string, size int")
     mixed = mixing.mixed_documents(df)
     assert mixed.columns[:4] == df.columns and len(mixed.columns) == 8
-    plan = {(r.doc_id, r.source): r.taken for r in mixing.mix(df).collect()}
-    assert mixed.count() == sum(1 for d, s, t in rows if plan[d, s] > 0)
+    same_as_mix(df, mixed)
+
+
+def same_as_mix(df, mixed):
+    """What the mix takes of each row is what its document says, and no row is taken for another."""
+    key = lambda r: repr((r[0], r[1], r[2], r[3]))
+    plan = [(r.doc_id, r.source, r.size, r.taken) for r in mixing.mix(df).collect() if r.taken > 0]
+    got = mixed.collect()
+    *_, size, _, target, taken = mixed.columns
+    assert sorted(map(key, plan)) == sorted(key((r.doc_id, r.source, r[size], r[taken])) for r in got)
+    assert all(r[size] == len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) and r[taken] in (r[size], 2 * r[size]) for r in got)
+    assert all(r[target] > 0 for r in got)
+
+
+@pytest.mark.parametrize("hot", [None, 1])
+def test_repeated_ids_with_other_texts(spark, hot):
+    """A third of all rows has one id, or none; some of them are alike in all columns."""
+    rnd = random.Random(4)
+    rows = [(hot, "a", "w " * rnd.choice([1, 10, 10, 1000]) + rnd.choice(["", "x", "y"])) for _ in range(200)]
+    rows += [(hot, "b", "same row")] * 40 + [(2, "c", "all alike here")] * 50
+    rows += [(i + 10, rnd.choice("abcd"), "w " * rnd.choice([1, 20, 90])) for i in range(300)]
+    df = spark.createDataFrame([(*r, {"k": "v"}) for r in rows], "doc_id long, source string, text string, more map<string,string>").drop("more")
+    mixed = mixing.mixed_documents(df)
+    same_as_mix(df, mixed)
+    assert sorted(map(repr, mixed.collect())) == sorted(map(repr, mixing.mixed_documents(df.repartition(5)).collect()))
+    assert 0 < mixed.where("text = 'all alike here'").count() <= 50
 
 
 def test_empty_table_and_no_words(spark):
