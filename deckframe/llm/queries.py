@@ -133,10 +133,10 @@ SQL: dict[str, str] = {
                 list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g'))))) AS own FROM u),
         m AS (SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
         e AS (SELECT own, bad FROM t JOIN m ON page_id = doc_id WHERE len(own) > 0 OR bad),
-        n AS (SELECT ceil(CAST({url_rules.MIN_SUPPORT} AS DOUBLE) * count(*)) AS least FROM e),
+        n AS (SELECT greatest({url_rules.MIN_COUNT}, ceil(CAST({url_rules.MIN_SUPPORT} AS DOUBLE) * count(*))) AS least, count(*) FILTER (WHERE bad) / count(*) AS base FROM e),
         s AS (SELECT list_filter(own, lambda x, i: (mask >> CAST(i - 1 AS INT)) & 1 = 1) AS items, count(*) AS freq, count(*) FILTER (WHERE bad) AS hits
               FROM (SELECT own, bad, unnest(range(1, CAST(1 << len(own) AS INT))) AS mask FROM e) GROUP BY 1),
-        r AS (SELECT items, hits / freq AS confidence FROM s, n WHERE hits >= least AND freq >= least AND hits / freq >= {url_rules.MIN_CONFIDENCE} AND hits > 0),
+        r AS (SELECT items, hits / freq AS confidence FROM s, n WHERE hits >= least AND freq >= least AND hits / freq >= {url_rules.MIN_CONFIDENCE} AND hits / freq > base),
         f AS (SELECT t.rid FROM t JOIN r ON list_has_all(t.own, r.items) GROUP BY t.rid),
         g AS (SELECT u.rid, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM u, (VALUES {_HAND}) x(h, p, verdict)
               WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY u.rid)

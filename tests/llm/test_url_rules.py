@@ -17,7 +17,7 @@ def tokens(host, path):
     return {"h:" + x for x in host.split(".") if x} | {"p:" + re.sub("[0-9]+", "#", x) for x in path.split("/") if x}
 
 
-def brute(pages, labels, min_support, min_confidence):
+def brute(pages, labels, min_support, min_confidence, min_count=5):
     marks = {}
     for d, quality, toxic in labels:
         if d is not None and (quality is not None and toxic is not None or quality == 0 or toxic == 1):
@@ -30,7 +30,8 @@ def brute(pages, labels, min_support, min_confidence):
             for c in combinations(sorted(t), k):
                 freq[c] = freq.get(c, 0) + 1
                 hits[c] = hits.get(c, 0) + b
-    rules = [set(c) for c in freq if hits[c] and hits[c] >= min_support * len(seen) and hits[c] / freq[c] >= min_confidence]
+    base = sum(b for _, b in seen) / max(1, len(seen))
+    rules = [set(c) for c in freq if hits[c] >= max(min_count, min_support * len(seen)) and hits[c] / freq[c] >= min_confidence and hits[c] / freq[c] > base]
     out = []
     for i, url in pages:
         host, path = parts(url)
@@ -56,6 +57,26 @@ def test_against_brute_force(spark):
     assert sum(r[4] == "block" and r[3] is None for r in want) > 20
 
 
+def test_deep_paths_are_one_item(spark):
+    """Segments that always stand together, many of them, on labelled pages; some stand apart on others."""
+    names = [f"s{chr(97 + i)}" for i in range(24)]
+    deep = "/".join(names)
+    pages = [(i, f"http://deep.net/{deep}/{i}") for i in range(30)] + [(100 + i, f"http://ok.net/{i % 3}/page") for i in range(60)]
+    labels = [(i, 0, 0) for i in range(30)] + [(100 + i, 1, 0) for i in range(50)]
+    pages += [(200 + i, f"http://else.net/{n}") for i, n in enumerate(names)] + [(300, "http://deep.net/x"), (301, "http://ok.net/page")]
+    got = u.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    verdicts = {r.page_id: r.verdict for r in got.collect()}
+    assert all((verdicts[i] == "block") == (i < 30 or 200 <= i <= 300) for i, _ in pages)
+
+
+def test_a_better_rule_two_tokens_shorter(spark):
+    """{a, b, c} goes although {a, b} is worse than both it and {a}."""
+    rows = [(["a"], True)] * 10 + [(["a", "b"], False)] * 2 + [(["a", "b"], True)] + [(["a", "b", "c"], True)] * 5 + [(["a", "b", "c"], False)] * 1 + [(["z"], False)] * 40
+    _, index = u.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), min_support=0.0, min_confidence=0.5, min_count=1)
+    kept = {tuple(r["items"]): r.confidence for r in index.collect()}
+    assert sorted(kept) == [("a",), ("b",), ("c",)]
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
