@@ -58,7 +58,7 @@ def brute(items, docs):
             for item, t in items:
                 if all(sum(g in grams[len(g)] for g in p) >= d.MIN_OVERLAP * len(p) for p in map(d.shingles, map(d.tokens, d.split_item(t)))):
                     hits.add(item)
-        out[i] = sorted(hits)
+        out[i] = sorted(hits, key=lambda x: (x is not None, x))
     return out
 
 
@@ -85,6 +85,27 @@ def test_long_items_and_shards(spark, monkeypatch):
     got = {r.doc_id: sorted(h.item_id for h in r.hits) for r in d.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert 99 in got[800]
     assert all(got[i] for i in range(0, 150, 3))
+    assert got == brute(items, docs)
+
+
+@pytest.mark.parametrize("shard", [1 << 14, 9])
+def test_null_and_repeated_items_in_any_number_of_indexes(spark, monkeypatch, shard):
+    monkeypatch.setattr(d, "SHARD_ITEMS", shard)
+    items, docs = make(5, 40)
+    extra = [(None, "An item that nobody gave a number to at all. It stands here."), (None, "Another one without any number of its own. It stands there."), items[3], (3, items[4][1])]
+    docs += [(700, "zz " * 90 + extra[0][1]), (701, extra[1][1]), (702, items[4][1]), (None, items[5][1]), (None, items[5][1]), (703, None), (704, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items + extra, "item_id long, text string")
+    rows = d.contamination(df, bench).collect()
+    want = brute(items + extra, docs)
+    order = lambda ids: sorted(ids, key=repr)
+    assert len(rows) == len(docs)
+    assert {r.doc_id: order({h.item_id for h in r.hits}) for r in rows} == {i: order(set(x)) for i, x in want.items()}
+    assert want[700] == want[701] == [None] and order(want[702]) == [3, 4] and want[None] == [5]
+    whole = d.Index([(i, *d.split_item(t)) for i, t in dict.fromkeys(items + extra)])
+    assert all({(h.item_id, h.score) for h in r.hits} == {(h.item, h.score) for h in whole.hits(dict(docs)[r.doc_id])[2]} for r in rows)
+    kept = d.drop_contaminated(df, bench)
+    assert sorted(map(repr, kept.collect())) == sorted(repr(x) for x in df.collect() if not want[x.doc_id])
 
 
 def test_empty_tables(spark):
