@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,21 +34,22 @@ def lab_of(rgb: Sequence[int]) -> tuple[float, float, float]:
     return 116 * y - 16, 500 * (x - y), 200 * (y - z)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is written out, and worked out, once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def with_lab(df: DataFrame, name: str, r: str, g: str, b: str) -> DataFrame:
+    """``df`` with name_l, name_a and name_b, the CIELAB (D65) of three columns; null if one of them is.
 
-
-def lab(r: Column, g: Column, b: Column) -> Column:
-    """CIELAB of three columns as an array; null if one of them is."""
+    Each stage is a projection of plain arithmetic, so all of it stays in generated code.
+    """
     linear = lambda c: F.when(c <= 0.04045 * 255, c / 255.0 / 12.92).otherwise(F.pow((c / 255.0 + 0.055) / 1.055, F.lit(2.4)))
     bend = lambda t: F.when(t > _EDGE, F.pow(t, F.lit(1.0 / 3.0))).otherwise((t * _SLOPE + 16.0) / 116.0)
-    mixed = lambda v: F.array(*[v[0] * k0 + v[1] * k1 + v[2] * k2 for k0, k1, k2 in _XYZ])
-    xyz = _let(F.transform(F.array(r, g, b), linear), mixed)
-    coordinates = _let(F.transform(xyz, bend), lambda f: F.array(f[1] * 116.0 - 16.0, (f[0] - f[1]) * 500.0, (f[1] - f[2]) * 200.0))
-    return F.when(r.isNotNull() & g.isNotNull() & b.isNotNull(), coordinates)
-
-
-def distance(a: Column, b: Column) -> Column:
-    """CIE76: the distance of two colours in CIELAB."""
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x))
+    s, t, u = ([f"_{name}_{stage}{i}" for i in range(3)] for stage in "stu")
+    df = df.withColumns({n: linear(F.col(c)) for n, c in zip(s, (r, g, b), strict=True)})
+    df = df.withColumns({n: sum((F.col(c) * k for c, k in zip(s, row, strict=True)), F.lit(0.0)) for n, row in zip(t, _XYZ, strict=True)})
+    df = df.withColumns({n: bend(F.col(c)) for n, c in zip(u, t, strict=True)})
+    x, y, z = (F.col(c) for c in u)
+    return df.withColumns({f"{name}_l": y * 116.0 - 16.0, f"{name}_a": (x - y) * 500.0, f"{name}_b": (y - z) * 200.0}).drop(*s, *t, *u)
+
+
+def distance(a: str | Sequence[float], b: str | Sequence[float]) -> Column:
+    """CIE76: the distance in CIELAB of two colours, each a name given to ``with_lab`` or three numbers."""
+    parts = lambda c: [F.col(f"{c}_{x}") for x in "lab"] if isinstance(c, str) else [F.lit(float(v)) for v in c]
+    return F.sqrt(sum(((p - q) * (p - q) for p, q in zip(parts(a), parts(b), strict=True)), F.lit(0.0)))

@@ -95,8 +95,8 @@ def rollouts_to_threshold(rollouts: DataFrame, q: float = 0.8) -> DataFrame:
 
 def censored_means(runs: DataFrame) -> DataFrame:
     """By condition: mean rollouts of the runs that reached, and with the others at the largest number seen; gains and their correlation."""
-    budget = F.max("rollouts").over(Window.partitionBy())
-    df = runs.withColumn("budget", budget).withColumn("held", F.coalesce("reached", "budget").cast("double"))
+    budget = runs.agg(F.max("rollouts").alias("budget"))  # one row
+    df = runs.crossJoin(F.broadcast(budget)).withColumn("held", F.coalesce("reached", "budget").cast("double"))
     return df.groupBy("cond").agg(F.count("*").alias("runs"), F.count("reached").alias("n_reached"), F.avg("reached").alias("mean_reached"), F.avg("held").alias("mean_censored"), F.round(F.avg("gain"), 9).alias("mean_gain"), F.round(F.avg("best_gain"), 9).alias("mean_best_gain"), F.round(pearson("first", "best_gain"), 6).alias("r_first_gain"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckframe.operators import layout
+from deckframe.plans import sized, stored
 
 #: Weights of the parts of a deck's quality, for proxies and for the stricter audit.
 WEIGHTS = {"coverage": 0.40, "geometry": 0.20, "terms": 0.15, "conciseness": 0.25}
@@ -20,17 +21,18 @@ VISIBLE = (
 ACTIONS = r"\b(add|adjust|align|change|correct|move|normalize|realign|reduce|remove|replace|resize|restore|revise|reorder|shorten|split|update)\b"
 
 
-def reject_reasons(slides: DataFrame, elements: DataFrame, min_slides: int = 2, max_findings: int = 0) -> DataFrame:
+def reject_reasons(decks: DataFrame, slides: DataFrame, elements: DataFrame, min_slides: int = 2, max_findings: int = 0) -> DataFrame:
     """deck_id and the first of empty_deck, too_few_slides, empty_slide, linter_defect that holds, or null.
 
-    A slide is empty without an element that has text or area.
+    A slide is empty without an element that has more text than spaces, or area. All detectors lint.
     """
-    useful = elements.where((F.length("text") > 0) | (F.col("w") * F.col("h") > 0)).groupBy("slide_id").agg(F.count("*").alias("n_elements"))
-    found = layout.margin_findings(elements).unionByName(layout.alignment_findings(elements)).groupBy("slide_id").agg(F.count("*").alias("n_findings"))
+    useful = elements.where(F.col("text").rlike(r"\S") | (F.col("w") * F.col("h") > 0)).groupBy("slide_id").agg(F.count("*").alias("n_elements"))
+    found = layout.lint(elements).groupBy("slide_id").agg(F.count("*").alias("n_findings"))
     df = slides.join(useful, "slide_id", "left").join(found, "slide_id", "left")
-    decks = df.groupBy("deck_id").agg(F.count("*").alias("slides"), F.count_if(F.col("n_elements").isNull()).alias("empty"), F.coalesce(F.sum("n_findings"), F.lit(0)).alias("findings"))
+    own = df.groupBy("deck_id").agg(F.count("*").alias("slides"), F.count_if(F.col("n_elements").isNull()).alias("empty"), F.coalesce(F.sum("n_findings"), F.lit(0)).alias("findings"))
+    all_ = decks.select("deck_id").join(own, "deck_id", "left").withColumn("slides", F.coalesce("slides", F.lit(0)))
     reason = F.when(F.col("slides") == 0, "empty_deck").when(F.col("slides") < min_slides, "too_few_slides").when(F.col("empty") > 0, "empty_slide").when(F.col("findings") > max_findings, "linter_defect")
-    return decks.select("deck_id", "slides", reason.alias("reason"))
+    return all_.select("deck_id", "slides", reason.alias("reason"))
 
 
 def corpus_summary(reasons: DataFrame) -> DataFrame:
@@ -38,11 +40,13 @@ def corpus_summary(reasons: DataFrame) -> DataFrame:
     return reasons.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("decks"), F.sum("slides").alias("slides"))
 
 
-def quality_parts(slides: DataFrame, elements: DataFrame, required: DataFrame, term_findings: DataFrame | None = None) -> DataFrame:
-    """By deck: coverage, geometry, terms and conciseness, each from 0 to 1.
+def quality_parts(decks: DataFrame, slides: DataFrame, elements: DataFrame, required: DataFrame, term_findings: DataFrame | None = None) -> DataFrame:
+    """By deck (deck_id, target_slides): coverage, count, geometry, terms and conciseness, each from 0 to 1, and degenerate.
 
     ``required`` has (deck_id, section); a section is covered if a slide has it as its
-    own or in a title. A slide is concise with few texts and a short first title.
+    own or in a title. A slide is concise with few texts and a short first title. The
+    count is how near the number of slides is to the target, 1 without one. A deck
+    without slides is degenerate and has 0 throughout.
     """
     titles = elements.where("etype = 'title'").groupBy("slide_id").agg(F.min_by("text", "pos").alias("title"))
     bodies = elements.where("etype = 'text'").groupBy("slide_id").agg(F.count("*").alias("bullets"))
@@ -50,20 +54,26 @@ def quality_parts(slides: DataFrame, elements: DataFrame, required: DataFrame, t
     words = F.size(F.filter(F.split(F.coalesce("title", F.lit("")), r"\s+"), lambda w: w != ""))
     df = slides.join(titles, "slide_id", "left").join(bodies, "slide_id", "left").join(scores, "slide_id", "left")
     concise = (F.coalesce("bullets", F.lit(0)) <= MAX_BULLETS) & (words <= TITLE_WORDS)
-    parts = df.groupBy("deck_id").agg(F.avg(F.coalesce("geometry", F.lit(1.0))).alias("geometry"), F.avg(concise.cast("double")).alias("conciseness"))
+    parts = df.groupBy("deck_id").agg(F.count("*").alias("n_slides"), F.avg(F.coalesce("geometry", F.lit(1.0))).alias("geometry"), F.avg(concise.cast("double")).alias("conciseness"))
     texts = df.select("deck_id", F.explode(F.array_compact(F.array(F.lower("section"), F.lower("title")))).alias("hay"))
-    need = required.select("deck_id", F.lower("section").alias("need")).distinct()
+    need = required.select("deck_id", F.lower(F.trim("section")).alias("need")).where("need <> ''").distinct()
     hit = need.join(texts, "deck_id", "left").groupBy("deck_id", "need").agg(F.coalesce(F.bool_or(F.col("hay").contains(F.col("need")) | F.col("hay").contains(F.replace("need", F.lit("_"), F.lit(" ")))), F.lit(False)).alias("hit"))
     covered = hit.groupBy("deck_id").agg(F.avg(F.col("hit").cast("double")).alias("coverage"))
-    out = parts.join(covered, "deck_id", "left").withColumn("coverage", F.coalesce("coverage", F.lit(1.0)))
+    out = decks.join(parts, "deck_id", "left").join(covered, "deck_id", "left").withColumn("coverage", F.coalesce("coverage", F.lit(1.0)))
+    n, target = F.col("n_slides"), F.col("target_slides")
+    out = out.withColumn("count", F.when(F.coalesce(target, F.lit(0)) == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(n - target) / F.greatest(F.lit(1), target))))
     if term_findings is None:
-        return out.withColumn("terms", F.lit(1.0))
-    n = term_findings.groupBy("deck_id").agg(F.count("*").alias("n"))
-    return out.join(n, "deck_id", "left").withColumn("terms", F.greatest(F.lit(0.0), 1 - EACH_TERM * F.coalesce("n", F.lit(0)))).drop("n")
+        out = out.withColumn("terms", F.lit(1.0))
+    else:
+        found = term_findings.groupBy("deck_id").agg(F.count("*").alias("found"))
+        out = out.join(found, "deck_id", "left").withColumn("terms", F.greatest(F.lit(0.0), 1 - EACH_TERM * F.coalesce("found", F.lit(0)))).drop("found")
+    none = F.col("n_slides").isNull()
+    rounded = {c: F.when(none, 0.0).otherwise(F.round(c, 4)) for c in ("coverage", "count", "geometry", "terms", "conciseness")}
+    return out.withColumns({**rounded, "degenerate": none}).select("deck_id", "degenerate", *rounded)
 
 
 def deck_quality(parts: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    return parts.withColumn("quality", sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0)))
+    return parts.withColumn("quality", F.round(sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0)), 4))
 
 
 def replay(requests: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,11 +83,8 @@ def replay(requests: DataFrame, answers: DataFrame, keys: list[str]) -> DataFram
 
 
 def probe_grid(samples: DataFrame, cells: DataFrame) -> DataFrame:
-    """Every sample under every cell of a plan that names its modality and task."""
-    rows = [r.asDict() for r in cells.collect()]  # a plan of some thousand cells at most
-    kinds = {f.name: f.dataType for f in cells.schema}
-    every = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in cells.columns]) for r in rows])
-    return samples.withColumn("cell", F.explode(every)).select(*samples.columns, "cell.*")
+    """Every sample under every cell of a plan that names its modality and task; the plan is broadcast if it is small."""
+    return samples.crossJoin(sized(stored(cells, "plan")))
 
 
 def evidence_ok(text: Column, kind: Column, place: Column) -> Column:

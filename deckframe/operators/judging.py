@@ -49,22 +49,23 @@ def aggregate_metrics(facts: DataFrame) -> DataFrame:
 
 
 def attribute_failures(facts: DataFrame) -> DataFrame:
-    """Of T1 rows judged in A and B: perception (A wrong, B right), reasoning (both wrong) and execution (A right, repair failed)."""
+    """Of T1 rows judged in A and B: perception (A wrong, B right), reasoning (both wrong) and execution (A right, repair failed), as shares of all."""
     key = ["model", "sample_id"]
-    t1 = facts.where("task = 'T1' and expected is not null")
-    a = last_wins(t1.where("modality = 'A'").select(*key, "ord", "expected", F.col("correct").alias("a")), key).drop("ord")
+    t1 = facts.where("task = 'T1'")
+    a = last_wins(t1.where("modality = 'A'").select(*key, "ord", F.coalesce("expected", F.lit(CLEAN)).alias("type"), "template", F.col("correct").alias("a")), key).drop("ord")
     b = last_wins(t1.where("modality = 'B'").select(*key, "ord", F.col("correct").alias("b")), key).drop("ord")
     repair = last_wins(facts.where("task = 'T3' and modality = 'A' and repaired is not null").select(*key, "ord", "repaired"), key).drop("ord")
     df = a.join(b, key).join(repair, key, "left")
     n = F.count("*")
-    out = df.groupBy("model", F.col("expected").alias("type")).agg(
+    out = df.groupBy("model", "type", "template").agg(
         n.alias("n"),
         F.count_if(~F.col("a") & F.col("b")).alias("perception"),
         F.count_if(~F.col("a") & ~F.col("b")).alias("reasoning"),
         F.count_if("a").alias("image_success"),
         F.count_if(F.col("a") & ~F.coalesce("repaired", F.lit(True))).alias("execution"),
     )
-    return out.withColumn("perception_rate", ratio(F.col("perception"), F.col("n"))).withColumn("reasoning_rate", ratio(F.col("reasoning"), F.col("n"))).withColumn("execution_rate", ratio(F.col("execution"), F.col("image_success")))
+    rates = {"perception_rate": "perception", "reasoning_rate": "reasoning", "execution_rate": "execution", "image_success_rate": "image_success"}
+    return out.withColumns({name: ratio(F.col(c), F.col("n")) for name, c in rates.items()})
 
 
 def modality_gaps(facts: DataFrame, left: str = "A", right: str = "B") -> DataFrame:
@@ -85,30 +86,36 @@ def template_collapse(facts: DataFrame) -> DataFrame:
     kind = F.coalesce("expected", F.lit(CLEAN))
     wrong = lambda t: (F.count_if((F.col("template") == t) & ~F.col("correct")), F.count_if(F.col("template") == t))
     (fw, fn), (tw, tn) = wrong("freeform"), wrong("template")
-    df = facts.groupBy("model", kind.alias("type")).agg(fw.alias("fw"), fn.alias("fn"), tw.alias("tw"), tn.alias("tn")).where("fn > 0 and tn > 0")
+    df = facts.groupBy("model", "modality", "task", kind.alias("type")).agg(fw.alias("fw"), fn.alias("fn"), tw.alias("tw"), tn.alias("tn")).where("fn > 0 and tn > 0")
     free, held = ratio(F.col("fw"), F.col("fn")), ratio(F.col("tw"), F.col("tn"))
-    return df.select("model", "type", free.alias("freeform_error"), held.alias("template_error"), (free - held).alias("reduction"), F.coalesce(F.try_divide(free - held, free), F.lit(0.0)).alias("relative_reduction"))
+    return df.select("model", "modality", "task", "type", F.col("fn").alias("n_free"), F.col("tn").alias("n_held"), free.alias("freeform_error"), held.alias("template_error"), (free - held).alias("reduction"), F.coalesce(F.try_divide(free - held, free), F.lit(0.0)).alias("relative_reduction"))
 
 
 def variance_gates(facts: DataFrame, multiplier: float = 2.0) -> DataFrame:
     """Effect of B over A against ``multiplier`` pooled standard errors of populations."""
     right = F.col("correct").cast("double")
     side = lambda m: F.when(F.col("modality") == m, right)
-    df = facts.where("task = 'T1'").groupBy("model", F.coalesce("expected", F.lit(CLEAN)).alias("type")).agg(
+    df = facts.groupBy("model", "task", F.coalesce("expected", F.lit(CLEAN)).alias("type"), "template").agg(
         *[f(side(m)).alias(f"{name}_{m}") for m in ("A", "B") for name, f in (("n", F.count), ("mean", F.avg))]
     )
     var = lambda m: F.col(f"mean_{m}") * (1 - F.col(f"mean_{m}")) / F.col(f"n_{m}")  # noqa: E731  of zeros and ones
     df = df.where("n_A > 0 and n_B > 0").withColumn("effect", F.col("mean_B") - F.col("mean_A")).withColumn("sigma", F.sqrt(var("A") + var("B")))
     ok = F.when(F.col("sigma") == 0, F.col("effect") != 0).otherwise(F.abs("effect") >= multiplier * F.col("sigma"))
-    return df.select("model", "type", "n_A", "n_B", "effect", "sigma", F.when(ok, "conclusive").otherwise("inconclusive").alias("verdict"))
+    return df.select("model", "task", "type", "template", "n_A", "n_B", "effect", "sigma", F.when(ok, "conclusive").otherwise("inconclusive").alias("verdict"))
 
 
-def psychometric(facts: DataFrame, target: float = 0.5) -> DataFrame:
-    """Detection rate by severity and the smallest severity whose rate reaches ``target``."""
+def psychometric_points(facts: DataFrame) -> DataFrame:
+    """Detection rate and mean realised severity in each bin: the nominal severity (grid) where there is one, else the severity."""
     hit = F.array_contains("predicted_types", F.col("expected"))
-    bins = facts.where("expected is not null").groupBy("model", "modality", F.col("expected").alias("type"), "severity").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
-    rate = ratio(F.col("hits"), F.col("n"))
-    return bins.groupBy("model", "modality", "type").agg(F.min(F.when(rate >= target, F.col("severity"))).alias("threshold"), F.count("*").alias("n_bins"), F.max(rate).alias("best_rate"))
+    bins = facts.withColumn("bin", F.coalesce("grid", "severity")).where("expected is not null and bin is not null")
+    df = bins.groupBy("model", "modality", "task", F.col("expected").alias("type"), "bin").agg(F.avg("severity").alias("realized"), F.count("*").alias("n"), F.count_if(hit).alias("hits"))
+    return df.withColumn("rate", ratio(F.col("hits"), F.col("n"))).drop("hits")
+
+
+def psychometric(facts: DataFrame, target: float = 0.5) -> DataFrame:
+    """The smallest bin of severity whose detection rate reaches ``target``, null if none does."""
+    rate = F.col("rate")
+    return psychometric_points(facts).groupBy("model", "modality", "task", "type").agg(F.min(F.when(rate >= target, F.col("bin"))).alias("threshold"), F.count("*").alias("n_bins"), F.max(rate).alias("best_rate"))
 
 
 def repair_rates(facts: DataFrame) -> DataFrame:
@@ -123,11 +130,15 @@ def distribution(facts: DataFrame) -> DataFrame:
     return sets.agg(F.count("*").alias("n"), F.avg("severity").alias("mean_severity"), F.min("severity").alias("min_severity"), F.max("severity").alias("max_severity"))
 
 
-def hypotheses(gaps: DataFrame, collapse: DataFrame, gap: float = 0.2, reduction: float = 0.5) -> DataFrame:
-    """Verdicts: every gap of a geometry type at least ``gap``; every relative reduction at least ``reduction``."""
-    say = lambda worst, least: F.when(worst.isNull(), "inconclusive").when(worst >= least, "pass").otherwise("fail")
-    one = gaps.where("type like 'G%'").agg(say(F.min("gap"), gap).alias("verdict")).select(F.lit("H1").alias("hypothesis"), "verdict")
-    two = collapse.where("type in ('G3', 'G4', 'G5', 'G6')").agg(say(F.min("relative_reduction"), reduction).alias("verdict")).select(F.lit("H1_tpl").alias("hypothesis"), "verdict")
+def hypotheses(gaps: DataFrame, collapse: DataFrame, gap: float = 0.2, semantic: float = 0.1, reduction: float = 0.5) -> DataFrame:
+    """Verdicts: every gap of a geometry type at least ``gap`` and of a semantic one at most ``semantic``; every relative reduction at least ``reduction``."""
+    of = lambda letter: F.col("type").startswith(letter)
+    one = gaps.agg(F.min(F.when(of("G"), F.col("gap"))).alias("least"), F.coalesce(F.max(F.when(of("S"), F.abs("gap"))), F.lit(0.0)).alias("semantic"))
+    passed = (F.col("least") >= gap) & (F.col("semantic") <= semantic)
+    say = lambda ok: F.when(F.col("least").isNull(), "inconclusive").when(ok, "pass").otherwise("fail")
+    one = one.select(F.lit("H1").alias("hypothesis"), say(passed).alias("verdict"), "least", "semantic")
+    two = collapse.where("type in ('G3', 'G4', 'G5', 'G6')").agg(F.min("relative_reduction").alias("least"))
+    two = two.select(F.lit("H1_tpl").alias("hypothesis"), say(F.col("least") >= reduction).alias("verdict"), "least", F.lit(None).cast("double").alias("semantic"))
     return one.unionByName(two)
 
 
@@ -207,11 +218,16 @@ def afc_metrics(rows: DataFrame) -> DataFrame:
 
 
 def afc_balanced(rows: DataFrame) -> DataFrame:
-    """Recall over all paired rows, specificity over all clean ones, and their mean with its interval."""
+    """Recall over all paired rows, specificity over all clean ones, and their mean with its interval.
+
+    A type without a clean control counts as fully specific; one without paired rows is left out.
+    """
     right = F.coalesce((F.col("pick0") == "a") & (F.col("pick1") == "b"), F.lit(False))
     consistent = F.coalesce(F.col("pick0").isin("a", "b") & F.col("pick1").isin("a", "b") & (F.col("pick0") != F.col("pick1")), F.lit(False))
     paired = F.col("mode") == "paired"
-    df = rows.groupBy("defect").agg(F.count_if(paired & right).alias("tp"), F.count_if(paired).alias("n_pos"), F.count_if(~paired & ~consistent).alias("tn"), F.count_if(~paired).alias("n_neg"))
+    df = rows.groupBy("defect").agg(F.count_if(paired & right).alias("tp"), F.count_if(paired).alias("n_pos"), F.count_if(~paired & ~consistent).alias("quiet"), F.count_if(~paired).alias("n_clean")).where("n_pos > 0")
+    clean = lambda c: F.when(F.col("n_clean") > 0, F.col(c)).otherwise(F.col("n_pos"))
+    df = df.withColumn("tn", clean("quiet")).withColumn("n_neg", clean("n_clean")).drop("quiet", "n_clean")
     return _rates(df).select("defect", "tp", "n_pos", "tn", "n_neg", "recall", "bal_acc", "ba_low", "ba_high")
 
 

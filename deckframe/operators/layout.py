@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckframe.functions.boxes import iou, text_overflow
-from deckframe.functions.colors import distance, lab, lab_of
+from deckframe.functions.colors import distance, lab_of, with_lab
+from deckframe.plans import sized, stored
 
 MIN_OVERFLOW, MIN_IOU, MIN_OFFSET, MIN_FONT_DELTA, MIN_COLOR_DELTA, MARGIN = 1.0, 0.05, 4.0, 1.0, 1.5, 32.0
 WIDTH, HEIGHT = 1920.0, 1080.0
@@ -75,39 +76,80 @@ def font_findings(elements: DataFrame, least: float = MIN_FONT_DELTA) -> DataFra
     return _found(elements.where(flagged), "font", off).unionByName(_found(grouped, "font", F.col("off")))
 
 
+def _into_margin(margin: float = MARGIN, width: float = WIDTH, height: float = HEIGHT) -> Column:
+    return F.greatest(margin - F.col("x"), margin - F.col("y"), F.col("x") + F.col("w") - (width - margin), F.col("y") + F.col("h") - (height - margin))
+
+
 def margin_findings(elements: DataFrame, margin: float = MARGIN, width: float = WIDTH, height: float = HEIGHT) -> DataFrame:
     """How far an element reaches into the margin."""
-    into = F.greatest(margin - F.col("x"), margin - F.col("y"), F.col("x") + F.col("w") - (width - margin), F.col("y") + F.col("h") - (height - margin))
+    into = _into_margin(margin, width, height)
     return _found(elements.where(into > 0), "margin", into)
 
 
-def _lab(r: str, g: str, b: str) -> Column:
-    return lab(F.col(r), F.col(g), F.col(b))
+def _measured(df: DataFrame, colours: dict[str, tuple[str, str, str]], off: Column, name: str = "off") -> DataFrame:
+    """``df`` with ``off``, which is worked out once for each combination of ``colours`` (names of three columns).
+
+    There are few combinations beside the elements; they are broadcast if they are few, else joined by shuffle.
+    """
+    columns = [c for three in colours.values() for c in three]
+    table = df.select(*columns).distinct()
+    for colour, three in colours.items():
+        table = with_lab(table, colour, *three)
+    table = sized(stored(table.select(*columns, off.alias(name)).where(F.col(name).isNotNull()), "colours"))
+    e, t = df.alias("e"), table.alias("t")
+    same = reduce(lambda x, y: x & y, (F.col(f"e.{c}").eqNullSafe(F.col(f"t.{c}")) for c in columns))
+    return e.join(t, same, "left").select("e.*", f"t.{name}")
+
+
+def _brand(elements: DataFrame, palette: tuple = PALETTE) -> DataFrame:
+    nearest = F.least(*[distance("own", lab_of(p)) for p in palette])
+    off = F.coalesce(distance("own", "want"), nearest)
+    return _measured(elements, {"own": ("r", "g", "b"), "want": ("er", "eg", "eb")}, off, "brand_off")
 
 
 def palette_findings(elements: DataFrame, least: float = MIN_COLOR_DELTA, palette: tuple = PALETTE) -> DataFrame:
     """Colours away from the expected one or, without one, from the nearest brand colour."""
-    brand = F.array(*[F.array(*[F.lit(v) for v in lab_of(p)]) for p in palette])
-    nearest = F.array_min(F.transform(brand, lambda p: distance(_lab("r", "g", "b"), p)))
-    off = F.coalesce(distance(_lab("r", "g", "b"), _lab("er", "eg", "eb")), nearest)
-    return _found(elements.withColumn("off", off).where(F.col("off") >= least), "palette", F.round("off", 6))
+    return _found(_brand(elements, palette).where(F.col("brand_off") >= least), "palette", F.round("brand_off", 6))
 
 
 def color_group_findings(elements: DataFrame, least: float = MIN_COLOR_DELTA) -> DataFrame:
     """Colours away from the most common one of their group of three or more; of equally common ones that which comes first."""
-    own = elements.where(F.col("color_group").isNotNull())
+    own = elements.where(F.col("color_group").isNotNull()).select("slide_id", "pos", "color_group", "r", "g", "b")
     counts = own.groupBy("slide_id", "color_group", "r", "g", "b").agg(F.count("*").alias("c"), F.min("pos").alias("p"))
     top = counts.groupBy("slide_id", "color_group").agg(F.sum("c").alias("n"), F.max_by(F.struct(F.col("r").alias("mr"), F.col("g").alias("mg"), F.col("b").alias("mb")), F.struct("c", -F.col("p"))).alias("m"))
     joined = own.join(top.where("n >= 3").select("slide_id", "color_group", "m.*"), ["slide_id", "color_group"])
-    return _found(joined.withColumn("off", distance(_lab("r", "g", "b"), _lab("mr", "mg", "mb"))).where(F.col("off") >= least), "color_group", F.round("off", 6))
+    unlike = joined.where("not (r <=> mr and g <=> mg and b <=> mb)")
+    off = with_lab(with_lab(unlike, "own", "r", "g", "b"), "most", "mr", "mg", "mb").withColumn("off", distance("own", "most"))
+    return _found(off.where(F.col("off") >= least), "color_group", F.round("off", 6))
+
+
+def _row_wise(elements: DataFrame) -> DataFrame:
+    """Overflow, palette and margin findings, which look at one element alone, out of one scan."""
+    c = F.col
+    over = text_overflow(c("text"), c("capacity"), c("w"), c("h"), c("font"), c("measured_w"), c("measured_h"))
+    text = c("etype").isin("title", "text", "bullet", "caption") | (F.length("text") > 0)
+    found = lambda name, ok, value: F.when(ok, F.struct(F.lit(name).alias("detector"), value.cast("double").alias("severity")))
+    df = _brand(elements).select("slide_id", "pos", F.when(text, over).alias("over"), "brand_off", _into_margin().alias("into"))
+    each = [found("overflow", c("over") >= MIN_OVERFLOW, c("over")), found("palette", c("brand_off") >= MIN_COLOR_DELTA, F.round("brand_off", 6)), found("margin", c("into") > 0, c("into"))]
+    return df.select("slide_id", "pos", F.explode(F.array_compact(F.array(*each))).alias("f")).select("slide_id", "f.detector", "pos", "f.severity")
 
 
 DETECTORS = (overflow_findings, overlap_findings, alignment_findings, font_findings, palette_findings, color_group_findings, margin_findings)
 
 
 def lint(elements: DataFrame) -> DataFrame:
-    """The findings of all detectors, repeated ones included."""
-    return reduce(DataFrame.unionByName, (f(elements) for f in DETECTORS))
+    """The findings of all detectors, repeated ones included; what needs one element alone comes from one scan."""
+    groups = (overlap_findings, alignment_findings, font_findings, color_group_findings)
+    return reduce(DataFrame.unionByName, (f(elements) for f in groups), _row_wise(elements))
+
+
+def lint_types(elements: DataFrame, min_iou: float = MIN_IOU, margin: float = MARGIN) -> DataFrame:
+    """slide_id and types, the detectors that found something, at another overlap and margin; slides without findings have none."""
+    rest = lint(elements).where(~F.col("detector").isin("overlap", "margin"))
+    found = rest.unionByName(overlap_findings(elements, min_iou)).unionByName(margin_findings(elements, margin))
+    each = found.groupBy("slide_id").agg(F.array_sort(F.collect_set("detector")).alias("types"))
+    slides = elements.select("slide_id").distinct().join(each, "slide_id", "left")
+    return slides.select("slide_id", F.coalesce("types", F.array().cast("array<string>")).alias("types"))
 
 
 def lint_scores(elements: DataFrame, each: float = 0.15) -> DataFrame:
@@ -119,23 +161,29 @@ def lint_scores(elements: DataFrame, each: float = 0.15) -> DataFrame:
 
 
 def cheats(elements: DataFrame, slides: DataFrame, width: float = WIDTH, height: float = HEIGHT) -> DataFrame:
-    """Tricks that hide content: slide_id, kind, pos (null for a whole slide)."""
+    """Tricks that hide content: slide_id, kind, pos, other (of a pair of elements) and severity; a whole slide has neither.
+
+    Elements have a background colour br, bg, bb, or null; slides sr, sg, sb, or null.
+    """
     text = F.length("text") > 0
-    e = elements
-    pale = e.where(text & (distance(_lab("r", "g", "b"), F.array(*[F.lit(v) for v in lab_of((255, 255, 255))])) < 8))
-    one = lambda df, kind: df.select("slide_id", F.lit(kind).alias("kind"), "pos")
-    outside = (F.col("x") >= width) | (F.col("y") >= height) | (F.col("x") + F.col("w") <= 0) | (F.col("y") + F.col("h") <= 0)
-    plain = elements.where(F.col("fill") & (F.length("text") == 0)).select("slide_id", "pos")
+    one = lambda df, kind, severity=None: df.select("slide_id", F.lit(kind).alias("kind"), "pos", F.lit(None).cast("long").alias("other"), (F.lit(1.0) if severity is None else severity).alias("severity"))
+    outside = (F.col("x") + F.col("w") < 0) | (F.col("x") > width) | (F.col("y") + F.col("h") < 0) | (F.col("y") > height)
+    behind = elements.where(text).join(slides.select("slide_id", "sr", "sg", "sb"), "slide_id", "left")
+    own = F.col("br").isNotNull()
+    behind = behind.withColumns({c: F.when(own, F.col(f"b{c[-1]}")).otherwise(F.col(f"s{c[-1]}")) for c in ("_r", "_g", "_b")})
+    pale = _measured(behind, {"own": ("r", "g", "b"), "under": ("_r", "_g", "_b")}, distance("own", "under"), "contrast").where("contrast < 8")
+    plain = elements.where((F.length("text") == 0) & (F.col("fill") | own)).select("slide_id", "pos")
     covered = overlapping(elements, 0.85)
-    sides = covered.select("slide_id", "pos").unionByName(covered.select("slide_id", F.col("other").alias("pos")))
+    sides = covered.select("slide_id", "pos", "other", "iou", F.explode(F.array("pos", "other")).alias("side"))
+    pairs = sides.join(plain.withColumnRenamed("pos", "side"), ["slide_id", "side"], "left_semi").select("slide_id", "pos", "other", "iou").distinct()
     parts = [
-        one(e.where(F.col("hidden") & text), "overflow_hidden"),
-        one(e.where(text & (F.col("font") < 6)), "tiny_text"),
-        one(e.where(text & (F.col("opacity") < 0.2)), "faint_text"),
-        one(pale, "low_contrast"),
-        one(e.where(outside), "off_canvas"),
-        one(sides.join(plain, ["slide_id", "pos"], "left_semi"), "covering_overlay"),
-        slides.where("texture").select("slide_id", F.lit("texture_background").alias("kind"), F.lit(None).cast("long").alias("pos")),
+        one(elements.where(F.col("hidden") & text), "overflow_hidden"),
+        one(elements.where(text & (F.col("font") < 6)), "tiny_text", 6 - F.col("font")),
+        one(elements.where(text & (F.col("opacity") < 0.2)), "faint_text", 1 - F.col("opacity")),
+        one(pale, "low_contrast", F.round(8 - F.col("contrast"), 6)),
+        one(elements.where(outside), "off_canvas"),
+        pairs.select("slide_id", F.lit("covering_overlay").alias("kind"), "pos", "other", F.col("iou").alias("severity")),
+        one(slides.where("texture").select("slide_id", F.lit(None).cast("long").alias("pos")), "texture_background"),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -148,20 +196,47 @@ def legal_boxes(boxes: DataFrame, margin: float = 20.0, max_iou: float = 0.1, wi
     return a.join(b, clash, "left_anti")
 
 
-def box_overflow(boxes: DataFrame, spans: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """How far rendered text reaches below its box, up to the next box below: slide_id, pos, over.
+def box_overflow(boxes: DataFrame, spans: DataFrame, tolerance: float = 2.0, width: float = WIDTH, height: float = HEIGHT) -> DataFrame:
+    """Rendered text past its box: slide_id, pos, bottom, right, v_over, h_over; a row for each box that owns a span.
 
-    A span belongs to a box if its centre lies in the box's columns and it starts in
-    the region from the box's top to the nearest box below.
+    A box owns what starts between its top and the next box below in its columns, if
+    the span's centre lies in these columns, and likewise to the right in its rows.
     """
     a, b = boxes.alias("a"), boxes.alias("b")
-    beneath = (F.col("a.slide_id") == F.col("b.slide_id")) & (F.col("b.y") >= F.col("a.y1")) & (F.col("b.x") < F.col("a.x1")) & (F.col("a.x") < F.col("b.x1"))
-    floor = a.join(b, beneath).groupBy("a.slide_id", "a.pos").agg(F.min("b.y").alias("floor"))
-    region = boxes.join(floor, ["slide_id", "pos"], "left").alias("r")
+    c = F.col
+    columns = (c("b.x1") > c("a.x")) & (c("b.x") < c("a.x1"))
+    rows = (c("b.y1") > c("a.y")) & (c("b.y") < c("a.y1"))
+    below, beside = columns & (c("b.y") >= c("a.y1") - tolerance), rows & (c("b.x") >= c("a.x1") - tolerance)
+    near = a.join(b, (c("a.slide_id") == c("b.slide_id")) & (c("a.pos") != c("b.pos")) & (below | beside))
+    limits = near.groupBy("a.slide_id", "a.pos").agg(F.min(F.when(below, c("b.y"))).alias("floor"), F.min(F.when(beside, c("b.x"))).alias("wall"))
+    region = boxes.join(limits, ["slide_id", "pos"], "left").alias("r")
     s = spans.alias("s")
-    middle = (F.col("s.x") + F.col("s.x1")) / 2
-    owned = (F.col("r.slide_id") == F.col("s.slide_id")) & (middle >= F.col("r.x")) & (middle <= F.col("r.x1")) & (F.col("s.y") >= F.col("r.y") - tolerance)
-    owned = owned & (F.col("s.y") < F.coalesce(F.col("r.floor"), F.lit(HEIGHT)))
-    reach = region.join(s, owned).groupBy("r.slide_id", "r.pos", "r.y1", "r.h").agg(F.max("s.y1").alias("end"))
-    over = F.greatest(F.lit(0.0), F.col("end") - F.col("y1"))
-    return reach.select("slide_id", "pos", over.alias("over"), F.when(F.col("h") > 0, over / F.col("h")).alias("share")).where((F.col("over") >= 3) & (F.col("share") >= 0.04))
+    within = lambda v, lo, hi: (v >= c(lo) - tolerance) & (v <= c(hi) + tolerance)
+    down = within((c("s.x") + c("s.x1")) / 2, "r.x", "r.x1") & (c("s.y") >= c("r.y") - tolerance) & (c("s.y") < F.coalesce(c("r.floor"), F.lit(height)))
+    across = within((c("s.y") + c("s.y1")) / 2, "r.y", "r.y1") & (c("s.x") >= c("r.x") - tolerance) & (c("s.x") < F.coalesce(c("r.wall"), F.lit(width)))
+    owned = region.join(s, (c("r.slide_id") == c("s.slide_id")) & (down | across))
+    ends = owned.groupBy("r.slide_id", "r.pos", "r.x1", "r.y1").agg(F.max(F.when(down, c("s.y1"))).alias("low"), F.max(F.when(across, c("s.x1"))).alias("far"))
+    bottom, right = F.greatest("y1", "low"), F.greatest("x1", "far")
+    return ends.select("slide_id", "pos", bottom.alias("bottom"), right.alias("right"), (bottom - c("y1")).alias("v_over"), (right - c("x1")).alias("h_over"))
+
+
+def overflow_hits(boxes: DataFrame, spans: DataFrame, least: float = 3.0, share: float = 0.04, max_iou: float = 0.1, width: float = WIDTH, height: float = HEIGHT) -> DataFrame:
+    """Legal boxes whose text overflows by ``least`` and by ``share`` of the box, one way or the other, with page_over, collides and hard.
+
+    A hit is hard if the box has no autofit, the text leaves the page, or it newly overlaps another box.
+    """
+    c = F.col
+    over = legal_boxes(boxes, max_iou=max_iou, width=width, height=height).join(box_overflow(boxes, spans, width=width, height=height), ["slide_id", "pos"])
+    part = lambda o, size: F.when(c(size) > 0, c(o) / c(size)).otherwise(0.0)
+    hit = lambda o, size: (c(o) >= least) & (part(o, size) >= share)
+    hits = over.where(hit("v_over", "h") | hit("h_over", "w")).withColumn("page_over", F.greatest(F.lit(0.0), c("bottom") - height, c("right") - width))
+    grown = hits.select("slide_id", "pos", "x", "y", (c("right") - c("x")).alias("w"), (c("bottom") - c("y")).alias("h"), c("w").alias("w0"), c("h").alias("h0"))
+    g, b = grown.alias("g"), boxes.alias("b")
+    small = g.select(*[c(f"g.{n}") for n in ("slide_id", "pos", "x", "y")], c("g.w0").alias("w"), c("g.h0").alias("h"))
+    other = (c("g.slide_id") == c("b.slide_id")) & (c("g.pos") != c("b.pos"))
+    after = g.join(b, other & (iou("g", "b") > max_iou)).select("g.slide_id", "g.pos", c("b.pos").alias("other"))
+    before = small.alias("g").join(b, other & (iou("g", "b") > max_iou)).select("g.slide_id", "g.pos", c("b.pos").alias("other"))
+    new = after.join(before, ["slide_id", "pos", "other"], "left_anti").select("slide_id", "pos", F.lit(True).alias("collides")).distinct()
+    out = hits.join(new, ["slide_id", "pos"], "left").withColumn("collides", F.coalesce("collides", F.lit(False)))
+    hard = c("no_autofit") | (c("page_over") >= least) | c("collides")
+    return out.select("slide_id", "deck_id", "pos", "v_over", "h_over", F.round(part("v_over", "h"), 6).alias("v_share"), F.round(part("h_over", "w"), 6).alias("h_share"), "page_over", "collides", hard.alias("hard"))

@@ -30,11 +30,12 @@ VIEWS: dict[str, str] = {
           CASE WHEN k % 9 = 0 THEN k % 12 END AS capacity,
           CASE WHEN k % 8 = 0 THEN w + CAST(k % 30 - 15 AS DOUBLE) END AS measured_w,
           CASE WHEN k % 8 = 0 THEN h - 2 END AS measured_h,
-          k % 13 = 0 AS hidden, CAST(k % 10 AS DOUBLE) / 10 AS opacity, k % 2 = 0 AS fill
+          k % 13 = 0 AS hidden, CAST(k % 10 AS DOUBLE) / 10 AS opacity, k % 2 = 0 AS fill,
+          CASE WHEN k % 11 = 0 THEN r + k % 3 WHEN k % 11 = 1 THEN 255 - r END AS br, CASE WHEN k % 11 < 2 THEN g END AS bg, CASE WHEN k % 11 < 2 THEN b END AS bb
         FROM (SELECT l.l_orderkey AS slide_id, o.o_custkey AS deck_id,
             CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice) - 1 AS BIGINT) AS pos,
             CAST(l.l_linenumber AS BIGINT) AS line, l.l_partkey * 7 + l.l_suppkey AS k, p.p_size AS size, p.p_name AS name,
-            CAST(24 + (l.l_partkey * 37 + l.l_suppkey * 101) % 1700 AS DOUBLE) AS x,
+            CAST(24 + (l.l_partkey * 37 + l.l_suppkey * 101) % 1700 + CASE WHEN l.l_partkey % 97 = 0 THEN 1896 - (l.l_partkey * 37 + l.l_suppkey * 101) % 1700 + l.l_suppkey % 2 ELSE 0 END AS DOUBLE) AS x,
             CAST(16 + (l.l_partkey * 53 + l.l_linenumber * 131) % 980 AS DOUBLE) AS y,
             CAST(80 + (l.l_partkey % 9) * 40 AS DOUBLE) AS w, CAST(24 + (p.p_size % 6) * 20 AS DOUBLE) AS h,
             CAST(4 + (p.p_size % 11) * 2 AS DOUBLE) AS font,
@@ -43,15 +44,18 @@ VIEWS: dict[str, str] = {
     "slides": """
         SELECT o_orderkey AS slide_id, o_custkey AS deck_id,
           CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS slide_index,
-          o_orderpriority AS section, o_orderkey % 11 = 0 AS texture FROM {orders}""",
+          o_orderpriority AS section, o_orderkey % 11 = 0 AS texture,
+          CASE o_orderkey % 3 WHEN 0 THEN 255 WHEN 1 THEN 31 END AS sr, CASE o_orderkey % 3 WHEN 0 THEN 255 WHEN 1 THEN 17 END AS sg, CASE o_orderkey % 3 WHEN 0 THEN 255 WHEN 1 THEN 7 END AS sb FROM {orders}""",
+    "decks": "SELECT c_custkey AS deck_id, CAST(1 + c_custkey % 20 AS BIGINT) AS target_slides FROM {customer}",
     "probe": """
-        SELECT CAST(row_number() OVER (ORDER BY l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice) AS BIGINT) AS ord,
+        SELECT l.l_orderkey * 1001 + row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice) AS ord,
           l.l_orderkey AS sample_id, CAST(s.s_nationkey % 3 AS BIGINT) AS model,
           CASE l.l_linenumber % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'Bprime' END AS raw_modality,
           CASE WHEN l.l_partkey % 5 = 0 THEN 'T3' ELSE 'T1' END AS task,
-          CASE WHEN l.l_orderkey % 4 = 0 THEN NULL ELSE 'G' || CAST(l.l_orderkey % 6 + 1 AS VARCHAR(2)) END AS expected,
-          CASE l.l_returnflag WHEN 'R' THEN 'G' || CAST(l.l_orderkey % 6 + 1 AS VARCHAR(2)) WHEN 'A' THEN 'G' || CAST(l.l_partkey % 6 + 1 AS VARCHAR(2)) END AS predicted,
-          CAST(4 * (1 + l.l_orderkey % 4) AS DOUBLE) AS severity, CASE WHEN l.l_orderkey % 2 = 0 THEN 'template' ELSE 'freeform' END AS template,
+          CASE WHEN l.l_orderkey % 4 = 0 THEN NULL ELSE CASE WHEN l.l_orderkey % 7 < 2 THEN 'S' ELSE 'G' END || CAST(l.l_orderkey % 6 + 1 AS VARCHAR(2)) END AS expected,
+          CASE l.l_returnflag WHEN 'R' THEN CASE WHEN l.l_orderkey % 7 < 2 THEN 'S' ELSE 'G' END || CAST(l.l_orderkey % 6 + 1 AS VARCHAR(2)) WHEN 'A' THEN 'G' || CAST(l.l_partkey % 6 + 1 AS VARCHAR(2)) END AS predicted,
+          CAST(4 * (1 + l.l_orderkey % 4) AS DOUBLE) AS severity, CASE WHEN l.l_partkey % 3 > 0 THEN CAST(8 * (1 + l.l_orderkey % 2) AS DOUBLE) END AS grid,
+          CASE WHEN l.l_suppkey % 2 = 0 THEN 'template' ELSE 'freeform' END AS template,
           CAST(512 * (1 + l.l_suppkey % 3) AS BIGINT) AS resolution, CASE WHEN l.l_partkey % 5 = 0 THEN l.l_linestatus = 'F' END AS repaired
         FROM {lineitem} l JOIN {supplier} s ON l.l_suppkey = s.s_suppkey""",
     "elicit": """
@@ -83,7 +87,7 @@ VIEWS: dict[str, str] = {
         SELECT slide_id, deck_id, pos, x, y, x + w AS x1, y + h AS y1, w, h, k % 5 = 0 AS no_autofit
         FROM (SELECT *, slide_id + pos * 3 AS k FROM {elements}) q WHERE etype <> 'background'""",
     "spans": """
-        SELECT slide_id, pos, x + 2 AS x, y + 1 AS y, x + w - 4 AS x1, y + h + CAST(((slide_id + pos * 5) % 9) * 3 - 6 AS DOUBLE) AS y1
+        SELECT slide_id, pos, x + 2 AS x, y + 1 AS y, x + w + CAST(((slide_id + pos * 7) % 8) * 6 - 24 AS DOUBLE) AS x1, y + h + CAST(((slide_id + pos * 5) % 9) * 3 - 6 AS DOUBLE) AS y1
         FROM {elements} WHERE etype = 'text'""",
 }
 

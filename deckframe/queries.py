@@ -93,39 +93,51 @@ _ALL = " UNION ALL ".join(f"SELECT * FROM ({x}) {n}_q" for n, x in FINDINGS.item
 query("lint_summary", "elements", lambda e: layout.lint(e).groupBy("detector").agg(F.count("*").alias("n"), F.countDistinct("slide_id").alias("slides"), F.round(F.max("severity"), 6).alias("worst")), f"SELECT detector, count(*) AS n, count(DISTINCT slide_id) AS slides, round(max(severity), 6) AS worst FROM ({_ALL}) a GROUP BY detector")
 query("linter_score", "elements", layout.lint_scores, f"""SELECT s.slide_id, coalesce(n, 0) AS n_findings, greatest(CAST(0 AS DOUBLE), 1 - CAST(0.15 AS DOUBLE) * coalesce(n, 0)) AS score
     FROM (SELECT DISTINCT slide_id FROM {{elements}}) s LEFT JOIN (SELECT slide_id, count(*) AS n FROM ({_ALL}) a GROUP BY slide_id) f ON s.slide_id = f.slide_id""")
-_WHITE = _distance("own", lab_of((255, 255, 255)))
-_CHEATS = f"""SELECT slide_id, 'overflow_hidden' AS kind, pos FROM {{elements}} WHERE hidden AND length(text) > 0
-    UNION ALL SELECT slide_id, 'tiny_text', pos FROM {{elements}} WHERE length(text) > 0 AND font < 6
-    UNION ALL SELECT slide_id, 'faint_text', pos FROM {{elements}} WHERE length(text) > 0 AND opacity < CAST(0.2 AS DOUBLE)
-    UNION ALL SELECT slide_id, 'low_contrast', pos FROM ({_labs("SELECT * FROM {elements}", own="r g b")}) l WHERE length(text) > 0 AND {_WHITE} < 8
-    UNION ALL SELECT slide_id, 'off_canvas', pos FROM {{elements}} WHERE x >= 1920 OR y >= 1080 OR x + w <= 0 OR y + h <= 0
-    UNION ALL SELECT p.slide_id, 'covering_overlay', p.pos FROM (SELECT slide_id, unnest([pos, other]) AS pos FROM ({_PAIRS}) q WHERE iou >= CAST(0.85 AS DOUBLE)) p
-      JOIN {{elements}} e ON p.slide_id = e.slide_id AND p.pos = e.pos WHERE e.fill AND length(e.text) = 0
-    UNION ALL SELECT slide_id, 'texture_background', NULL FROM {{slides}} WHERE texture"""
+_CONTRAST = _labs("SELECT e.*, CASE WHEN br IS NULL THEN sr ELSE br END AS ur, CASE WHEN br IS NULL THEN sg ELSE bg END AS ug, CASE WHEN br IS NULL THEN sb ELSE bb END AS ub FROM {elements} e LEFT JOIN {slides} s ON e.slide_id = s.slide_id", own="r g b", below="ur ug ub")
+_CHEATS = f"""SELECT slide_id, 'overflow_hidden' AS kind, pos, CAST(NULL AS BIGINT) AS other, CAST(1 AS DOUBLE) AS severity FROM {{elements}} WHERE hidden AND length(text) > 0
+    UNION ALL SELECT slide_id, 'tiny_text', pos, NULL, 6 - font FROM {{elements}} WHERE length(text) > 0 AND font < 6
+    UNION ALL SELECT slide_id, 'faint_text', pos, NULL, 1 - opacity FROM {{elements}} WHERE length(text) > 0 AND opacity < CAST(0.2 AS DOUBLE)
+    UNION ALL SELECT slide_id, 'low_contrast', pos, NULL, round(8 - off, 6) FROM (SELECT *, {_distance("own", "below")} AS off FROM ({_CONTRAST}) l) m WHERE length(text) > 0 AND off < 8
+    UNION ALL SELECT slide_id, 'off_canvas', pos, NULL, 1 FROM {{elements}} WHERE x > 1920 OR y > 1080 OR x + w < 0 OR y + h < 0
+    UNION ALL SELECT p.slide_id, 'covering_overlay', p.pos, p.other, p.iou FROM ({_PAIRS}) p JOIN {{elements}} a ON p.slide_id = a.slide_id AND p.pos = a.pos JOIN {{elements}} b ON p.slide_id = b.slide_id AND p.other = b.pos
+      WHERE p.iou >= CAST(0.85 AS DOUBLE) AND ((length(a.text) = 0 AND (a.fill OR a.br IS NOT NULL)) OR (length(b.text) = 0 AND (b.fill OR b.br IS NOT NULL)))
+    UNION ALL SELECT slide_id, 'texture_background', NULL, NULL, 1 FROM {{slides}} WHERE texture"""
 query("cheat_flags", "elements slides", layout.cheats, _CHEATS)
 query("hacking_score", "elements slides", lambda e, s: layout.cheats(e, s).groupBy("slide_id").agg(F.count("*").alias("n")).select("slide_id", "n", F.greatest(F.lit(0.0), 1 - 0.2 * F.col("n")).alias("score")), f"SELECT slide_id, count(*) AS n, greatest(CAST(0 AS DOUBLE), 1 - CAST(0.2 AS DOUBLE) * count(*)) AS score FROM ({_CHEATS}) c GROUP BY slide_id")
 _BOX_IOU = _IOU
 _LEGAL = f"""SELECT a.* FROM {{boxes}} a WHERE a.x >= 20 AND a.y >= 20 AND a.x1 <= 1900 AND a.y1 <= 1060
     AND NOT EXISTS (SELECT 1 FROM {{boxes}} b WHERE a.slide_id = b.slide_id AND a.pos <> b.pos AND {_BOX_IOU} > CAST(0.1 AS DOUBLE))"""
 query("legal_boxes", "boxes", layout.legal_boxes, _LEGAL)
-_OVER = """SELECT slide_id, pos, over, over / h AS share FROM (
-      SELECT r.slide_id, r.pos, r.h, greatest(CAST(0 AS DOUBLE), max(s.y1) - r.y1) AS over FROM (
-        SELECT a.slide_id, a.pos, a.x, a.x1, a.y, a.y1, a.h, min(b.y) AS lowest FROM {boxes} a LEFT JOIN {boxes} b
-          ON a.slide_id = b.slide_id AND b.y >= a.y1 AND b.x < a.x1 AND a.x < b.x1 GROUP BY ALL) r
-      JOIN {spans} s ON r.slide_id = s.slide_id AND (s.x + s.x1) / 2 >= r.x AND (s.x + s.x1) / 2 <= r.x1 AND s.y >= r.y - 2 AND s.y < coalesce(r.lowest, 1080)
-      GROUP BY r.slide_id, r.pos, r.y1, r.h) q WHERE over >= 3 AND over / h >= CAST(0.04 AS DOUBLE)"""
+_OVER = """SELECT slide_id, pos, greatest(y1, coalesce(low, y1)) AS bottom, greatest(x1, coalesce(far, x1)) AS right, greatest(y1, coalesce(low, y1)) - y1 AS v_over, greatest(x1, coalesce(far, x1)) - x1 AS h_over FROM (
+      SELECT slide_id, pos, x1, y1, max(sy1) FILTER (WHERE down) AS low, max(sx1) FILTER (WHERE across) AS far FROM (
+        SELECT r.slide_id, r.pos, r.x1, r.y1, s.x1 AS sx1, s.y1 AS sy1,
+          (s.x + s.x1) / 2 BETWEEN r.x - 2 AND r.x1 + 2 AND s.y >= r.y - 2 AND s.y < coalesce(r.lowest, 1080) AS down,
+          (s.y + s.y1) / 2 BETWEEN r.y - 2 AND r.y1 + 2 AND s.x >= r.x - 2 AND s.x < coalesce(r.wall, 1920) AS across
+        FROM (SELECT a.slide_id, a.pos, a.x, a.x1, a.y, a.y1, min(b.y) FILTER (WHERE b.x1 > a.x AND b.x < a.x1 AND b.y >= a.y1 - 2) AS lowest, min(b.x) FILTER (WHERE b.y1 > a.y AND b.y < a.y1 AND b.x >= a.x1 - 2) AS wall
+          FROM {boxes} a LEFT JOIN {boxes} b ON a.slide_id = b.slide_id AND a.pos <> b.pos GROUP BY ALL) r
+        JOIN {spans} s ON r.slide_id = s.slide_id) q WHERE down OR across GROUP BY ALL) t"""
 query("box_overflow", "boxes spans", layout.box_overflow, _OVER)
+_GROWN_IOU = _BOX_IOU.replace("a.x + a.w", "a.x + a.gw").replace("a.y + a.h", "a.y + a.gh").replace("a.w * a.h", "a.gw * a.gh")
+_HITS = f"""SELECT a.slide_id, a.deck_id, a.pos, v_over, h_over, round(vs, 6) AS v_share, round(hs, 6) AS h_share, page_over, coalesce(c.collides, FALSE) AS collides, no_autofit OR page_over >= 3 OR coalesce(c.collides, FALSE) AS hard FROM hits a
+    LEFT JOIN (SELECT a.slide_id, a.pos, TRUE AS collides FROM hits a JOIN {{boxes}} b ON a.slide_id = b.slide_id AND a.pos <> b.pos WHERE {_GROWN_IOU} > CAST(0.1 AS DOUBLE) AND {_BOX_IOU} <= CAST(0.1 AS DOUBLE) GROUP BY a.slide_id, a.pos) c
+    ON a.slide_id = c.slide_id AND a.pos = c.pos"""
+_HITS_CTE = f"""hits AS (SELECT l.*, o.v_over, o.h_over, o.right - l.x AS gw, o.bottom - l.y AS gh, CASE WHEN h > 0 THEN v_over / h ELSE 0 END AS vs, CASE WHEN w > 0 THEN h_over / w ELSE 0 END AS hs, greatest(0, o.bottom - 1080, o.right - 1920) AS page_over
+    FROM ({_LEGAL}) l JOIN ({_OVER}) o ON l.slide_id = o.slide_id AND l.pos = o.pos
+    WHERE (v_over >= 3 AND CASE WHEN h > 0 THEN v_over / h ELSE 0 END >= CAST(0.04 AS DOUBLE)) OR (h_over >= 3 AND CASE WHEN w > 0 THEN h_over / w ELSE 0 END >= CAST(0.04 AS DOUBLE)))"""
+query("overflow_hits", "boxes spans", layout.overflow_hits, f"WITH {_HITS_CTE} {_HITS}")
 
 
 def _prevalence(boxes: DataFrame, spans: DataFrame) -> DataFrame:
-    """Legal boxes and those with overflow, by deck and over all: a rollup."""
-    hits = layout.box_overflow(boxes, spans).select("slide_id", "pos", F.lit(True).alias("hit"))
-    df = layout.legal_boxes(boxes).join(hits, ["slide_id", "pos"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return df.rollup("deck_id").agg(F.count("*").alias("boxes"), F.count_if("hit").alias("hits"), F.countDistinct(F.when(F.col("hit"), F.col("slide_id"))).alias("slides_hit"), F.count_if(F.col("hit") & F.col("no_autofit")).alias("hard"))
+    """Legal boxes and those with overflow, all and hard, by slide, by deck and over all: a rollup."""
+    hits = layout.overflow_hits(boxes, spans).select("slide_id", "pos", F.lit(True).alias("hit"), "hard")
+    df = layout.legal_boxes(boxes).join(hits, ["slide_id", "pos"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("hit", "hard")})
+    slide = lambda c: F.countDistinct(F.when(F.col(c), F.col("slide_id")))
+    return df.rollup("deck_id").agg(F.count("*").alias("boxes"), F.count_if("hit").alias("hits"), F.count_if("hard").alias("hard_hits"), F.countDistinct("slide_id").alias("slides"), slide("hit").alias("slides_hit"), slide("hard").alias("slides_hard"))
 
 
-query("prevalence_rollup", "boxes spans", _prevalence, f"""SELECT deck_id, count(*) AS boxes, count(*) FILTER (WHERE hit) AS hits, count(DISTINCT CASE WHEN hit THEN slide_id END) AS slides_hit,
-    count(*) FILTER (WHERE hit AND no_autofit) AS hard FROM (SELECT l.*, o.pos IS NOT NULL AS hit FROM ({_LEGAL}) l LEFT JOIN ({_OVER}) o ON l.slide_id = o.slide_id AND l.pos = o.pos) q GROUP BY ROLLUP (deck_id)""")
+query("prevalence_rollup", "boxes spans", _prevalence, f"""WITH {_HITS_CTE}, found AS ({_HITS}) SELECT l.deck_id, count(*) AS boxes, count(f.pos) AS hits, count(*) FILTER (WHERE f.hard) AS hard_hits,
+    count(DISTINCT l.slide_id) AS slides, count(DISTINCT f.slide_id) AS slides_hit, count(DISTINCT CASE WHEN f.hard THEN f.slide_id END) AS slides_hard
+    FROM ({_LEGAL}) l LEFT JOIN found f ON l.slide_id = f.slide_id AND l.pos = f.pos GROUP BY ROLLUP (l.deck_id)""")
 
 # --- judges ---------------------------------------------------------------------------------------------------------
 
@@ -165,35 +177,37 @@ _METRICS = f"""SELECT c.model, c.modality, c.task, c.type, c.template, c.resolut
     ON c.model = w.model AND c.modality = w.modality AND c.task = w.task AND c.type = w.type"""
 query("probe_metrics", "probe", lambda p: judging.aggregate_metrics(_facts(p)), _METRICS)
 query("attribution", "probe", lambda p: judging.attribute_failures(_facts(p)), f"""
-    WITH f AS (SELECT * FROM {_FACTS} q), a AS (SELECT model, sample_id, arg_max(expected, ord) AS type, arg_max(correct, ord) AS a FROM f WHERE task = 'T1' AND expected IS NOT NULL AND modality = 'A' GROUP BY 1, 2),
-    b AS (SELECT model, sample_id, arg_max(correct, ord) AS b FROM f WHERE task = 'T1' AND expected IS NOT NULL AND modality = 'B' GROUP BY 1, 2),
+    WITH f AS (SELECT * FROM {_FACTS} q), a AS (SELECT model, sample_id, arg_max(type, ord) AS type, arg_max(template, ord) AS template, arg_max(correct, ord) AS a FROM f WHERE task = 'T1' AND modality = 'A' GROUP BY 1, 2),
+    b AS (SELECT model, sample_id, arg_max(correct, ord) AS b FROM f WHERE task = 'T1' AND modality = 'B' GROUP BY 1, 2),
     r AS (SELECT model, sample_id, arg_max(repaired, ord) AS repaired FROM f WHERE task = 'T3' AND modality = 'A' AND repaired IS NOT NULL GROUP BY 1, 2),
-    j AS (SELECT a.model, a.type, a.a, b.b, r.repaired FROM a JOIN b ON a.model = b.model AND a.sample_id = b.sample_id LEFT JOIN r ON a.model = r.model AND a.sample_id = r.sample_id),
-    g AS (SELECT model, type, count(*) AS n, count(*) FILTER (WHERE NOT a AND b) AS perception, count(*) FILTER (WHERE NOT a AND NOT b) AS reasoning, count(*) FILTER (WHERE a) AS image_success,
-      count(*) FILTER (WHERE a AND NOT coalesce(repaired, TRUE)) AS execution FROM j GROUP BY model, type)
-    SELECT *, {_div("perception", "n")} AS perception_rate, {_div("reasoning", "n")} AS reasoning_rate, {_div("execution", "image_success")} AS execution_rate FROM g""")
+    j AS (SELECT a.model, a.type, a.template, a.a, b.b, r.repaired FROM a JOIN b ON a.model = b.model AND a.sample_id = b.sample_id LEFT JOIN r ON a.model = r.model AND a.sample_id = r.sample_id),
+    g AS (SELECT model, type, template, count(*) AS n, count(*) FILTER (WHERE NOT a AND b) AS perception, count(*) FILTER (WHERE NOT a AND NOT b) AS reasoning, count(*) FILTER (WHERE a) AS image_success,
+      count(*) FILTER (WHERE a AND NOT coalesce(repaired, TRUE)) AS execution FROM j GROUP BY model, type, template)
+    SELECT *, {_div("perception", "n")} AS perception_rate, {_div("reasoning", "n")} AS reasoning_rate, {_div("execution", "n")} AS execution_rate, {_div("image_success", "n")} AS image_success_rate FROM g""")
 _GAPS = f"""SELECT model, type, template, n_left, n_right, {_div("h_left", "n_left")} AS left_accuracy, {_div("h_right", "n_right")} AS right_accuracy, {_div("h_right", "n_right")} - {_div("h_left", "n_left")} AS gap
     FROM (SELECT model, type, template, count(*) FILTER (WHERE modality = 'A') AS n_left, count(*) FILTER (WHERE modality = 'B') AS n_right, count(*) FILTER (WHERE modality = 'A' AND correct) AS h_left,
       count(*) FILTER (WHERE modality = 'B' AND correct) AS h_right FROM {_FACTS} f WHERE task = 'T1' GROUP BY ALL) q WHERE n_left > 0 AND n_right > 0"""
 query("modality_gaps", "probe", lambda p: judging.modality_gaps(_facts(p)), _GAPS)
 _FREE, _HELD = _div("fw", "n_free"), _div("tw", "n_held")
-_COLLAPSE = f"""SELECT model, type, {_FREE} AS freeform_error, {_HELD} AS template_error, {_FREE} - {_HELD} AS reduction, coalesce(({_FREE} - {_HELD}) / nullif({_FREE}, 0), 0) AS relative_reduction
-    FROM (SELECT model, type, count(*) FILTER (WHERE template = 'freeform' AND NOT correct) AS fw, count(*) FILTER (WHERE template = 'freeform') AS n_free,
+_COLLAPSE = f"""SELECT model, modality, task, type, n_free, n_held, {_FREE} AS freeform_error, {_HELD} AS template_error, {_FREE} - {_HELD} AS reduction, coalesce(({_FREE} - {_HELD}) / nullif({_FREE}, 0), 0) AS relative_reduction
+    FROM (SELECT model, modality, task, type, count(*) FILTER (WHERE template = 'freeform' AND NOT correct) AS fw, count(*) FILTER (WHERE template = 'freeform') AS n_free,
       count(*) FILTER (WHERE template = 'template' AND NOT correct) AS tw, count(*) FILTER (WHERE template = 'template') AS n_held FROM {_FACTS} f GROUP BY ALL) q WHERE n_free > 0 AND n_held > 0"""
 query("template_collapse", "probe", lambda p: judging.template_collapse(_facts(p)), _COLLAPSE)
 query("variance_gates", "probe", lambda p: judging.variance_gates(_facts(p)).withColumn("effect", F.round("effect", 9)).withColumn("sigma", F.round("sigma", 9)), f"""
-    SELECT model, type, na AS "n_A", nb AS "n_B", round(mb - ma, 9) AS effect, round(s, 9) AS sigma, CASE WHEN CASE WHEN s = 0 THEN mb <> ma ELSE abs(mb - ma) >= 2 * s END THEN 'conclusive' ELSE 'inconclusive' END AS verdict
-    FROM (SELECT *, sqrt(ma * (1 - ma) / na + mb * (1 - mb) / nb) AS s FROM (SELECT model, type, count(*) FILTER (WHERE modality = 'A') AS na, count(*) FILTER (WHERE modality = 'B') AS nb,
-      avg(CAST(correct AS INT)) FILTER (WHERE modality = 'A') AS ma, avg(CAST(correct AS INT)) FILTER (WHERE modality = 'B') AS mb FROM {_FACTS} f WHERE task = 'T1' GROUP BY ALL) q WHERE na > 0 AND nb > 0) r""")
-query("psychometric", "probe", lambda p: judging.psychometric(_facts(p)), f"""
-    SELECT model, modality, type, min(CASE WHEN rate >= 0.5 THEN severity END) AS threshold, count(*) AS n_bins, max(rate) AS best_rate FROM (
-      SELECT model, modality, type, severity, CAST(count(*) FILTER (WHERE predicted = expected) AS DOUBLE) / count(*) AS rate FROM {_FACTS} f WHERE expected IS NOT NULL GROUP BY ALL) q GROUP BY ALL""")
+    SELECT model, task, type, template, na AS "n_A", nb AS "n_B", round(mb - ma, 9) AS effect, round(s, 9) AS sigma, CASE WHEN CASE WHEN s = 0 THEN mb <> ma ELSE abs(mb - ma) >= 2 * s END THEN 'conclusive' ELSE 'inconclusive' END AS verdict
+    FROM (SELECT *, sqrt(ma * (1 - ma) / na + mb * (1 - mb) / nb) AS s FROM (SELECT model, task, type, template, count(*) FILTER (WHERE modality = 'A') AS na, count(*) FILTER (WHERE modality = 'B') AS nb,
+      avg(CAST(correct AS INT)) FILTER (WHERE modality = 'A') AS ma, avg(CAST(correct AS INT)) FILTER (WHERE modality = 'B') AS mb FROM {_FACTS} f GROUP BY ALL) q WHERE na > 0 AND nb > 0) r""")
+_POINTS = f"""SELECT model, modality, task, type, coalesce(grid, severity) AS bin, avg(severity) AS realized, count(*) AS n, CAST(count(*) FILTER (WHERE predicted = expected) AS DOUBLE) / count(*) AS rate
+      FROM {_FACTS} f WHERE expected IS NOT NULL AND coalesce(grid, severity) IS NOT NULL GROUP BY ALL"""
+query("psychometric_points", "probe", lambda p: judging.psychometric_points(_facts(p)), _POINTS)
+query("psychometric", "probe", lambda p: judging.psychometric(_facts(p)), f"SELECT model, modality, task, type, min(CASE WHEN rate >= 0.5 THEN bin END) AS threshold, count(*) AS n_bins, max(rate) AS best_rate FROM ({_POINTS}) q GROUP BY ALL")
 query("repair_rates", "probe", lambda p: judging.repair_rates(_facts(p)), f"SELECT model, type, template, count(*) AS n, avg(CAST(repaired AS INT)) AS pass_rate FROM {_FACTS} f WHERE task = 'T3' AND repaired IS NOT NULL GROUP BY ALL")
 query("distribution", "probe", lambda p: judging.distribution(_facts(p)), f"""
     SELECT type, task, template, count(*) AS n, avg(severity) AS mean_severity, min(severity) AS min_severity, max(severity) AS max_severity FROM {_FACTS} f GROUP BY GROUPING SETS ((type), (task), (template), ())""")
 query("hypotheses", "probe", lambda p: judging.hypotheses(judging.modality_gaps(_facts(p)), judging.template_collapse(_facts(p))), f"""
-    SELECT 'H1' AS hypothesis, CASE WHEN min(gap) IS NULL THEN 'inconclusive' WHEN min(gap) >= 0.2 THEN 'pass' ELSE 'fail' END AS verdict FROM ({_GAPS}) g WHERE type LIKE 'G%'
-    UNION ALL SELECT 'H1_tpl', CASE WHEN min(relative_reduction) IS NULL THEN 'inconclusive' WHEN min(relative_reduction) >= 0.5 THEN 'pass' ELSE 'fail' END FROM ({_COLLAPSE}) c WHERE type IN ('G3', 'G4', 'G5', 'G6')""")
+    SELECT 'H1' AS hypothesis, CASE WHEN min(gap) FILTER (WHERE type LIKE 'G%') IS NULL THEN 'inconclusive' WHEN min(gap) FILTER (WHERE type LIKE 'G%') >= 0.2 AND coalesce(max(abs(gap)) FILTER (WHERE type LIKE 'S%'), 0) <= CAST(0.1 AS DOUBLE) THEN 'pass' ELSE 'fail' END AS verdict,
+      min(gap) FILTER (WHERE type LIKE 'G%') AS least, coalesce(max(abs(gap)) FILTER (WHERE type LIKE 'S%'), 0) AS semantic FROM ({_GAPS}) g
+    UNION ALL SELECT 'H1_tpl', CASE WHEN min(relative_reduction) IS NULL THEN 'inconclusive' WHEN min(relative_reduction) >= 0.5 THEN 'pass' ELSE 'fail' END, min(relative_reduction), NULL FROM ({_COLLAPSE}) c WHERE type IN ('G3', 'G4', 'G5', 'G6')""")
 _CELLS = f"SELECT *, {_RATES} FROM (SELECT model, cond, defect, {_counts()} FROM {{elicit}} WHERE NOT failure GROUP BY ALL) q"
 query("confusion_cells", "elicit", judging.confusion_cells, _CELLS)
 query("confusion_cells_miss", "elicit", lambda e: judging.confusion_cells(e, "miss", "named_target"), f"SELECT *, {_RATES} FROM (SELECT model, cond, defect, {_counts('(named_target AND NOT failure)')} FROM {{elicit}} GROUP BY ALL) q")
@@ -213,8 +227,9 @@ query("afc_metrics", "afc", judging.afc_metrics, f"""SELECT *, {_div("strict_hit
       count(*) FILTER (WHERE pick0 = 'b') + count(*) FILTER (WHERE pick1 = 'a') AS partner, count(*) FILTER (WHERE pick0 = 'tie') + count(*) FILTER (WHERE pick1 = 'tie') AS ties,
       count(*) FILTER (WHERE pick0 = 'a') + count(*) FILTER (WHERE pick1 = 'a') AS first_picks, count(*) FILTER (WHERE {_AFC_BOTH}) AS decisive, count(*) FILTER (WHERE {_AFC_RIGHT}) AS strict_hits,
       count(*) FILTER (WHERE {_AFC_BOTH} AND pick0 <> pick1) AS alike FROM {{afc}} GROUP BY defect, mode) q""")
-_AFC_BAL = f"""SELECT defect, tp, n_pos, tn, n_neg, {_RATES} FROM (SELECT defect, count(*) FILTER (WHERE mode = 'paired' AND {_AFC_RIGHT}) AS tp, count(*) FILTER (WHERE mode = 'paired') AS n_pos,
-      count(*) FILTER (WHERE mode <> 'paired' AND NOT coalesce({_AFC_BOTH} AND pick0 <> pick1, FALSE)) AS tn, count(*) FILTER (WHERE mode <> 'paired') AS n_neg FROM {{afc}} GROUP BY defect) q"""
+_AFC_BAL = f"""SELECT defect, tp, n_pos, tn, n_neg, {_RATES} FROM (SELECT defect, tp, n_pos, CASE WHEN n_clean > 0 THEN quiet ELSE n_pos END AS tn, CASE WHEN n_clean > 0 THEN n_clean ELSE n_pos END AS n_neg FROM (
+      SELECT defect, count(*) FILTER (WHERE mode = 'paired' AND {_AFC_RIGHT}) AS tp, count(*) FILTER (WHERE mode = 'paired') AS n_pos,
+        count(*) FILTER (WHERE mode <> 'paired' AND NOT coalesce({_AFC_BOTH} AND pick0 <> pick1, FALSE)) AS quiet, count(*) FILTER (WHERE mode <> 'paired') AS n_clean FROM {{afc}} GROUP BY defect) c WHERE n_pos > 0) q"""
 query("afc_balanced", "afc", judging.afc_balanced, f"SELECT * EXCLUDE (fpr, precision, f1) FROM ({_AFC_BAL}) q")
 query("decomposition", "elicit afc", lambda e, a: judging.decompose(judging.confusion_cells(e), judging.afc_balanced(a)), f"""
     WITH s AS (SELECT defect, cond, (coalesce(sum(tp) / nullif(sum(n_pos), 0), 0) + coalesce(sum(tn) / nullif(sum(n_neg), 0), 0)) / 2 AS ba FROM ({_CELLS}) c GROUP BY defect, cond),
@@ -356,7 +371,7 @@ query("modality_quota", "probe", lambda p: simulate.assign_modalities(_samples(p
     SELECT level, modality, count(*) AS n, min(ord) AS first_ord FROM (SELECT *, CASE WHEN i <= f THEN 'A' WHEN floor((i - f) * CAST(0.5 AS DOUBLE)) > floor((i - f - 1) * CAST(0.5 AS DOUBLE)) THEN 'C' ELSE 'B' END AS modality FROM (
       SELECT *, row_number() OVER (PARTITION BY level ORDER BY ord) AS i, ceil(CAST(0.3 AS DOUBLE) * count(*) OVER (PARTITION BY level)) AS f FROM {_SAMPLES} s) q) r GROUP BY ALL""")
 query("twin_pairs", "probe", lambda p: simulate.twins(_samples(p)), f"""SELECT * EXCLUDE (n) FROM (SELECT *, coalesce(lead(sample_id) OVER w, first_value(sample_id) OVER w) AS partner, count(*) OVER (PARTITION BY type) AS n FROM {_SAMPLES} s WINDOW w AS (PARTITION BY type ORDER BY ord)) q WHERE n > 1""")
-query("unique_ids", "probe", lambda p: simulate.unique_ids(_samples(p).select("ord", F.concat_ws("_", "type", "template").alias("base"))), f"""SELECT ord, base, CASE WHEN i = 1 THEN base ELSE base || '_' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE substring(CAST(i AS VARCHAR), 1, 3) END END AS unique_id
+query("unique_ids", "probe", lambda p: simulate.unique_ids(_samples(p).select("ord", F.concat_ws("_", "type", "template").alias("base"))), f"""SELECT ord, base, CASE WHEN i = 1 THEN base ELSE base || '_' || lpad(CAST(i AS VARCHAR), CAST(greatest(3, length(CAST(i AS VARCHAR))) AS INT), '0') END AS unique_id
     FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY ord) AS i FROM (SELECT ord, concat_ws('_', type, template) AS base FROM {_SAMPLES} s) b) q""")
 query("matrix_cells", "probe", lambda p: simulate.matrix(p.sparkSession, ["m1", "m2", "m3", "m4"], ["A", "B", "C", "B_prime"], ["T1", "T2", "T3"], [512, 768, 1024, 1536], [1, 2, 3]), """
     SELECT * FROM (SELECT unnest(['m1', 'm2', 'm3', 'm4']) AS model) a, (SELECT unnest(['A', 'B', 'C', 'B_prime']) AS modality) b, (SELECT unnest(['T1', 'T2', 'T3']) AS task) c, (SELECT unnest([512, 768, 1024, 1536]) AS resolution) d, (SELECT unnest([1, 2, 3]) AS seed) e""")
@@ -376,8 +391,19 @@ def _matched(elements: DataFrame) -> DataFrame:
 
 query("nms", "elements", lambda e: vision.suppress(_detections(e), 0.3))
 query("recovery_fidelity", "elements", _matched)
-query("json_recover", "events", lambda e: e.select("event_id", recover_json(F.concat(F.lit("Answer: ```json\n"), "props", F.lit("\n``` done"))).alias("object")), "SELECT event_id, replace(props, ' ', '') AS object FROM events")
-query("html_elements", "pages", lambda p: html_elements(p.select("page_id", F.concat(F.lit('<div data-x="3" id="d"><p>'), F.col("url"), F.lit("</p></div>")).alias("html"))).select("page_id", "pos", "element_id", "type", "x", "text"), "SELECT page_id, 0 AS pos, 'd' AS element_id, 'div' AS type, CAST(3 AS DOUBLE) AS x, url AS text FROM pages")
+def _replies(events: DataFrame) -> DataFrame:
+    """Model texts around the JSON of an event: fenced, in prose, after broken braces, nested, cut off, without any."""
+    props = F.col("props")
+    wrap = [F.concat(F.lit("Answer: ```json\n"), props, F.lit("\n``` done")), F.concat(F.lit("I think { is odd, but "), props, F.lit(" holds}")), F.concat(F.lit("{oops} {'a': 1} "), props), F.concat(F.lit('{"outer":'), props, F.lit(', "s":"}{"}')), F.expr("substring(props, 1, length(props) - 1)"), F.lit("no object [1, 2]")]
+    kind = F.col("event_id") % 6
+    return events.select("event_id", F.coalesce(*[F.when(kind == i, w) for i, w in enumerate(wrap)]).alias("raw"))
+
+
+query("json_recover", "events", lambda e: _replies(e).select("event_id", recover_json(F.col("raw")).alias("object")), """SELECT event_id, CASE event_id % 6 WHEN 3 THEN '{"outer":' || replace(props, ' ', '') || ',"s":"}{"}' WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE replace(props, ' ', '') END AS object FROM events""")
+#: The whole html as escaped text of one annotated element, so that SQL can say what is read; tags are met by html_page_elements.
+_ESCAPED = """'<div id="d" data-x="3" style="top: 7px; width:12%">' || replace(replace(html, '&', '&amp;'), '<', '&lt;') || '</div>' AS html"""
+query("html_elements", "pages", lambda p: html_elements(p.selectExpr("page_id", _ESCAPED)).select("page_id", "pos", "element_id", "type", "x", "y", "width", F.sha2("text", 256).alias("text")), r"""
+    SELECT page_id, 0 AS pos, 'd' AS element_id, 'div' AS type, CAST(3 AS DOUBLE) AS x, CAST(7 AS DOUBLE) AS y, CAST(NULL AS DOUBLE) AS width, sha256(regexp_replace(regexp_replace(html, '^[\s\x0b\x1c-\x1f]+', ''), '[\s\x0b\x1c-\x1f]+$', '')) AS text FROM pages WHERE html IS NOT NULL""")
 #: Whole pages, null ones included; every opening tag of text is annotated (SQL cannot parse it).
 _ANNOTATED = r"(?i)<(div|p|h[1-6]|li|a|td|article|section)(?=[\s>])"
 query("html_page_elements", "pages", lambda p: html_elements(p.select("page_id", F.regexp_replace("html", _ANNOTATED, '<$1 data-x="3" data-element-id="e"').alias("html"))).select("page_id", "pos", "element_id", "type", "x", "text"))
@@ -399,39 +425,39 @@ query("event_sessions", "events", lambda e: twins.session_counts(_zoned(e)).grou
 
 # --- corpora of decks -------------------------------------------------------------------------------------------------
 
-_REASONS = f"""SELECT deck_id, slides, CASE WHEN slides < 2 THEN 'too_few_slides' WHEN empty > 0 THEN 'empty_slide' WHEN findings > 3 THEN 'linter_defect' END AS reason FROM (
+_REASONS = f"""SELECT d.deck_id, coalesce(slides, 0) AS slides, CASE WHEN coalesce(slides, 0) = 0 THEN 'empty_deck' WHEN slides < 2 THEN 'too_few_slides' WHEN empty > 0 THEN 'empty_slide' WHEN findings > 3 THEN 'linter_defect' END AS reason FROM {{decks}} d LEFT JOIN (
     SELECT s.deck_id, count(*) AS slides, count(*) FILTER (WHERE u.slide_id IS NULL) AS empty, coalesce(sum(f.n), 0) AS findings FROM {{slides}} s
-      LEFT JOIN (SELECT DISTINCT slide_id FROM {{elements}} WHERE length(text) > 0 OR w * h > 0) u ON s.slide_id = u.slide_id
-      LEFT JOIN (SELECT slide_id, count(*) AS n FROM ({FINDINGS["margin"]} UNION ALL {FINDINGS["alignment"]}) x GROUP BY slide_id) f ON s.slide_id = f.slide_id GROUP BY s.deck_id) q"""
-query("corpus_reject_reasons", "slides elements", lambda s, e: corpus.reject_reasons(s, e, max_findings=3), _REASONS)
-query("corpus_summary", "slides elements", lambda s, e: corpus.corpus_summary(corpus.reject_reasons(s, e, max_findings=3)), f"SELECT coalesce(reason, 'accepted') AS reason, count(*) AS decks, CAST(sum(slides) AS BIGINT) AS slides FROM ({_REASONS}) r GROUP BY 1")
+      LEFT JOIN (SELECT DISTINCT slide_id FROM {{elements}} WHERE regexp_matches(text, '\\S') OR w * h > 0) u ON s.slide_id = u.slide_id
+      LEFT JOIN (SELECT slide_id, count(*) AS n FROM ({_ALL}) x GROUP BY slide_id) f ON s.slide_id = f.slide_id GROUP BY s.deck_id) q ON d.deck_id = q.deck_id"""
+query("corpus_reject_reasons", "decks slides elements", lambda d, s, e: corpus.reject_reasons(d, s, e, max_findings=3), _REASONS)
+query("corpus_summary", "decks slides elements", lambda d, s, e: corpus.corpus_summary(corpus.reject_reasons(d, s, e, max_findings=3)), f"SELECT coalesce(reason, 'accepted') AS reason, count(*) AS decks, CAST(sum(slides) AS BIGINT) AS slides FROM ({_REASONS}) r GROUP BY 1")
 
 
-def _required(slides: DataFrame) -> DataFrame:
-    return slides.select("deck_id", F.explode(F.array(F.lit("1-URGENT"), F.lit("5-LOW"), F.lit("ring"))).alias("section")).distinct()
+def _required(decks: DataFrame) -> DataFrame:
+    return decks.select("deck_id", F.explode(F.array(F.lit(" 1-URGENT"), F.lit("5-LOW"), F.lit("ring"), F.lit(" "))).alias("section")).distinct()
 
 
-def _quality(slides: DataFrame, elements: DataFrame) -> DataFrame:
-    return corpus.quality_parts(slides, elements, _required(slides))
+def _quality(decks: DataFrame, slides: DataFrame, elements: DataFrame) -> DataFrame:
+    return corpus.quality_parts(decks, slides, elements, _required(decks))
 
 
-_SCORES = SQL["linter_score"]
-_QUALITY = f"""SELECT p.deck_id, geometry, conciseness, coverage, CAST(1 AS DOUBLE) AS terms FROM (
-    SELECT s.deck_id, avg(coalesce(g.score, 1)) AS geometry, avg(CASE WHEN coalesce(b.n, 0) <= 6 AND coalesce(t.words, 0) <= 12 THEN 1 ELSE 0 END) AS conciseness FROM {{slides}} s
+_QUALITY = f"""SELECT d.deck_id, p.deck_id IS NULL AS degenerate, coalesce(geometry, 0) AS geometry, coalesce(conciseness, 0) AS conciseness, coalesce(coverage, 0) AS coverage, CASE WHEN p.deck_id IS NULL THEN 0 ELSE CAST(1 AS DOUBLE) END AS terms,
+      CASE WHEN p.deck_id IS NULL THEN 0 ELSE greatest(0, 1 - abs(p.n - d.target_slides) / CAST(greatest(1, d.target_slides) AS DOUBLE)) END AS count FROM {{decks}} d LEFT JOIN (
+    SELECT s.deck_id, count(*) AS n, avg(coalesce(g.score, 1)) AS geometry, avg(CASE WHEN coalesce(b.n, 0) <= 6 AND coalesce(t.words, 0) <= 12 THEN 1 ELSE 0 END) AS conciseness FROM {{slides}} s
       LEFT JOIN (SELECT slide_id, count(*) AS n FROM {{elements}} WHERE etype = 'text' GROUP BY slide_id) b ON s.slide_id = b.slide_id
       LEFT JOIN (SELECT slide_id, len(string_split(arg_min(text, pos), ' ')) AS words FROM {{elements}} WHERE etype = 'title' GROUP BY slide_id) t ON s.slide_id = t.slide_id
       LEFT JOIN (SELECT s.slide_id, greatest(CAST(0 AS DOUBLE), 1 - CAST(0.15 AS DOUBLE) * coalesce(n, 0)) AS score FROM (SELECT DISTINCT slide_id FROM {{elements}}) s
-        LEFT JOIN (SELECT slide_id, count(*) AS n FROM ({_ALL}) a GROUP BY slide_id) f ON s.slide_id = f.slide_id) g ON s.slide_id = g.slide_id GROUP BY s.deck_id) p
-    JOIN (SELECT deck_id, avg(CAST(hit AS INT)) AS coverage FROM (SELECT s.deck_id, need, bool_or(contains(lower(s.section), need) OR contains(coalesce(lower(t.title), ''), need)) AS hit
+        LEFT JOIN (SELECT slide_id, count(*) AS n FROM ({_ALL}) a GROUP BY slide_id) f ON s.slide_id = f.slide_id) g ON s.slide_id = g.slide_id GROUP BY s.deck_id) p ON d.deck_id = p.deck_id
+    LEFT JOIN (SELECT deck_id, avg(CAST(hit AS INT)) AS coverage FROM (SELECT s.deck_id, need, bool_or(contains(lower(s.section), need) OR contains(coalesce(lower(t.title), ''), need)) AS hit
       FROM {{slides}} s LEFT JOIN (SELECT slide_id, arg_min(text, pos) AS title FROM {{elements}} WHERE etype = 'title' GROUP BY slide_id) t ON s.slide_id = t.slide_id,
-        (VALUES ('1-urgent'), ('5-low'), ('ring')) v(need) GROUP BY s.deck_id, need) h GROUP BY deck_id) c ON p.deck_id = c.deck_id"""
-_PARTS = ", ".join(f"round({c}, 9) AS {c}" for c in ("geometry", "conciseness", "coverage"))
-query("deck_quality", "slides elements", lambda s, e: corpus.deck_quality(_quality(s, e)).withColumns({c: F.round(c, 9) for c in ("geometry", "conciseness", "coverage")}).withColumn("quality", F.round("quality", 6)), f"""SELECT deck_id, {_PARTS}, terms,
-    round(coverage * CAST(0.4 AS DOUBLE) + geometry * CAST(0.2 AS DOUBLE) + terms * CAST(0.15 AS DOUBLE) + conciseness * CAST(0.25 AS DOUBLE), 6) AS quality FROM ({_QUALITY}) q""")
-query("proxy_against_gold", "slides elements", lambda s, e: corpus.proxy_against_gold(_quality(s, e).withColumn("grp", F.col("deck_id") % 5), s, layout.cheats(e, s)).withColumns({c: F.round(c, 6) for c in ("proxy", "gold", "gap")}), f"""
+        (VALUES ('1-urgent'), ('5-low'), ('ring')) v(need) GROUP BY s.deck_id, need) h GROUP BY deck_id) c ON d.deck_id = c.deck_id"""
+_FOUR = ("geometry", "conciseness", "coverage", "count")
+_WEIGHED = " + ".join(f"round({k}, 4) * CAST({{{i}}} AS DOUBLE)" for i, k in enumerate(("coverage", "geometry", "terms", "conciseness")))
+query("deck_quality", "decks slides elements", lambda d, s, e: corpus.deck_quality(_quality(d, s, e)), f"""SELECT deck_id, degenerate, {", ".join(f"round({c}, 4) AS {c}" for c in _FOUR)}, terms,
+    round({_WEIGHED.format(0.4, 0.2, 0.15, 0.25)}, 4) AS quality FROM ({_QUALITY}) q""")
+query("proxy_against_gold", "decks slides elements", lambda d, s, e: corpus.proxy_against_gold(_quality(d, s, e).withColumn("grp", F.col("deck_id") % 5), s, layout.cheats(e, s)).withColumns({c: F.round(c, 6) for c in ("proxy", "gold", "gap")}), f"""
     SELECT grp, round(avg(proxy), 6) AS proxy, round(avg(gold), 6) AS gold, CAST(coalesce(sum(cheats), 0) AS BIGINT) AS cheats, round(avg(proxy) - avg(gold), 6) AS gap, avg(proxy) - avg(gold) > 0 AS over_optimised FROM (
-      SELECT q.deck_id % 5 AS grp, c.cheats, coverage * CAST(0.4 AS DOUBLE) + geometry * CAST(0.2 AS DOUBLE) + terms * CAST(0.15 AS DOUBLE) + conciseness * CAST(0.25 AS DOUBLE) AS proxy,
-        coverage * CAST(0.45 AS DOUBLE) + geometry * CAST(0.15 AS DOUBLE) + terms * CAST(0.15 AS DOUBLE) + conciseness * CAST(0.25 AS DOUBLE) AS gold FROM ({_QUALITY}) q
+      SELECT q.deck_id % 5 AS grp, c.cheats, round({_WEIGHED.format(0.4, 0.2, 0.15, 0.25)}, 4) AS proxy, round({_WEIGHED.format(0.45, 0.15, 0.15, 0.25)}, 4) AS gold FROM ({_QUALITY}) q
       LEFT JOIN (SELECT s.deck_id, count(*) AS cheats FROM ({_CHEATS}) x JOIN {{slides}} s ON x.slide_id = s.slide_id GROUP BY s.deck_id) c ON q.deck_id = c.deck_id) z GROUP BY grp""")
 
 

@@ -17,11 +17,23 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _KIND = pa.list_(pa.struct([("element_id", pa.string()), ("type", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("width", pa.float64()), ("height", pa.float64()), ("text", pa.string()), ("style", pa.map_(pa.string(), pa.string())), ("metadata", pa.map_(pa.string(), pa.string()))]))
 
 
+#: A text run, and no longer name that begins alike.
+_RUN = re.compile(r"<a:t(?:\s[^>]*)?>(.*?)</a:t>", re.DOTALL)
+
+
 def css(style: str | None) -> dict[str, str]:
     pairs = (p.split(":", 1) for p in (style or "").split(";") if ":" in p)
     return {k.strip(): v.strip() for k, v in pairs}
 
 
+def number(text: str | None) -> float | None:
+    """A length in pixels; null if it is none."""
+    try:
+        return float(re.sub(r"px$", "", (text or "").strip()))
+    except ValueError:
+        return None
+
+
 class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__()
@@ -33,8 +45,9 @@ class _Reader(HTMLParser):
         element = None
         name = a.get("data-element-id") or a.get("id")
         if "data-x" in a and name:
-            number = lambda k: float(re.sub(r"px$", "", a.get(k) or "0") or 0)
-            element = {"element_id": name, "type": a.get("data-type") or tag, "x": number("data-x"), "y": number("data-y"), "width": number("data-width"), "height": number("data-height"), "text": "", "style": css(a.get("style")), "metadata": {k[10:]: v or "" for k, v in a.items() if k.startswith("data-meta-")}}
+            style = css(a.get("style"))
+            of = lambda key, fallback: number(a[key] if key in a else style.get(fallback, "0"))
+            element = {"element_id": name, "type": a.get("data-type") or tag, "x": of("data-x", "left"), "y": of("data-y", "top"), "width": of("data-width", "width"), "height": of("data-height", "height"), "text": "", "style": style, "metadata": {k[10:]: v or "" for k, v in a.items() if k.startswith("data-meta-")}}
             self.found.append(element)
         if tag not in _VOID:
             self.open.append(element)
@@ -74,7 +87,7 @@ def read_pptx(content: bytes) -> list[list[str]]:
     """The texts of each slide of a PPTX archive; slides in the order of their names as text."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = sorted(n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n))
-        return [[unescape(t) for t in re.findall(r"<a:t[^>]*>(.*?)</a:t>", z.read(n).decode("utf-8", "replace"), re.DOTALL)] for n in names]
+        return [[unescape(re.sub(r"<.*?>", "", t, flags=re.DOTALL)) for t in _RUN.findall(z.read(n).decode("utf-8", "replace"))] for n in names]
 
 
 def pptx_outline(files: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from deckframe.functions import colors
 from deckframe.operators import judging, layout, simulate, text, vision
 
-FIELDS = {"slide_id": "long", "pos": "long", "etype": "string", "text": "string", "x": "double", "y": "double", "w": "double", "h": "double", "font": "double", "expected_x": "double", "expected_y": "double", "expected_font": "double", "align_group": "long", "font_group": "long", "color_group": "long", "r": "int", "g": "int", "b": "int", "er": "int", "eg": "int", "eb": "int", "capacity": "int", "measured_w": "double", "measured_h": "double", "hidden": "boolean", "opacity": "double", "fill": "boolean"}
+FIELDS = {"slide_id": "long", "pos": "long", "etype": "string", "text": "string", "x": "double", "y": "double", "w": "double", "h": "double", "font": "double", "expected_x": "double", "expected_y": "double", "expected_font": "double", "align_group": "long", "font_group": "long", "color_group": "long", "r": "int", "g": "int", "b": "int", "er": "int", "eg": "int", "eb": "int", "capacity": "int", "measured_w": "double", "measured_h": "double", "hidden": "boolean", "opacity": "double", "fill": "boolean", "br": "int", "bg": "int", "bb": "int"}
 
 
 def elements(spark, *rows):
@@ -53,14 +53,38 @@ def test_majority_colour_ties_go_to_the_first(spark):
 def test_colours(spark):
     df = spark.createDataFrame([("#ff8000",), ("rgb(1, 2, 300)",), ("3,4,5",), ("#12",), (None,)], "c string").select(colors.parse_rgb(F.col("c")).alias("v"))
     assert [tuple(r.v) if r.v else None for r in df.collect()] == [(255, 128, 0), (1, 2, 255), (3, 4, 5), None, None]
-    lab = spark.range(1).select(colors.lab(F.lit(255), F.lit(0), F.lit(0)).alias("l")).first().l
+    red = colors.with_lab(spark.createDataFrame([(255, 0, 0), (None, 0, 0)], "r int, g int, b int"), "c", "r", "g", "b").orderBy(F.col("r").desc_nulls_last()).select("c_l", "c_a", "c_b").collect()
+    lab = list(red[0])
+    assert tuple(red[1]) == (None, None, None)
     assert lab == pytest.approx([53.24, 80.09, 67.20], abs=0.02) and colors.lab_of((255, 0, 0)) == pytest.approx(lab)
 
 
 def test_cheats(spark):
-    df = elements(spark, box(0, 0, 100, 100, text="x", font=4.0, hidden=True), box(3000, 0, 10, 10), box(200, 200, 100, 100, text="covered"), box(200, 200, 100, 100, fill=True))
-    slides = spark.createDataFrame([(1, True)], "slide_id long, texture boolean")
-    assert {r.kind for r in layout.cheats(df, slides).collect()} == {"overflow_hidden", "tiny_text", "off_canvas", "covering_overlay", "texture_background"}
+    df = elements(
+        spark,
+        box(0, 0, 100, 100, text="x", font=4.0, hidden=True, r=250, g=250, b=250),
+        box(3000, 0, 10, 10),
+        box(200, 200, 100, 100, text="covered"),
+        box(200, 200, 100, 100, fill=True),
+        box(500, 500, 100, 100, fill=True),
+        box(500, 500, 100, 100, br=9, bg=9, bb=9),
+        box(1920, 700, 10, 10),
+        box(700, 700, 100, 20, text="dark", r=9, g=9, b=9, br=12, bg=9, bb=9),
+    )
+    slides = spark.createDataFrame([(1, True, 255, 255, 255)], "slide_id long, texture boolean, sr int, sg int, sb int")
+    found = sorted((r.kind, -1 if r.pos is None else r.pos, r.other) for r in layout.cheats(df, slides).collect())
+    assert found == [("covering_overlay", 2, 3), ("covering_overlay", 4, 5), ("low_contrast", 0, None), ("low_contrast", 7, None), ("off_canvas", 1, None), ("overflow_hidden", 0, None), ("texture_background", -1, None), ("tiny_text", 0, None)]
+
+
+def test_rendered_overflow_goes_down_and_right(spark):
+    columns = "slide_id long, deck_id long, pos long, x double, y double, x1 double, y1 double, w double, h double, no_autofit boolean"
+    at = lambda pos, x, y, w, h, fixed=False: (1, 1, pos, float(x), float(y), float(x + w), float(y + h), float(w), float(h), fixed)
+    boxes = spark.createDataFrame([at(0, 100, 100, 200, 50), at(1, 100, 400, 200, 50), at(2, 500, 100, 100, 50, True), at(3, 900, 100, 100, 50)], columns)
+    spans = spark.createDataFrame([(1, 110.0, 110.0, 290.0, 140.0), (1, 110.0, 160.0, 290.0, 190.0), (1, 110.0, 410.0, 250.0, 430.0), (1, 510.0, 110.0, 660.0, 130.0), (1, 910.0, 110.0, 1002.0, 130.0)], "slide_id long, x double, y double, x1 double, y1 double")
+    over = {r.pos: (r.v_over, r.h_over) for r in layout.box_overflow(boxes, spans).collect()}
+    assert over == {0: (40.0, 0.0), 1: (0.0, 0.0), 2: (0.0, 60.0), 3: (0.0, 2.0)}
+    hits = {r.pos: (r.collides, r.hard) for r in layout.overflow_hits(boxes, spans).collect()}
+    assert hits == {0: (False, False), 2: (False, True)}
 
 
 def test_injected_defects_are_found_and_snapping_takes_them_away(spark):
