@@ -1,4 +1,4 @@
-"""Controlled defects: injection, master snapping, repair, splits and quotas, over elements."""
+"""Master snapping, splits, samples and quotas, over elements and samples."""
 
 from __future__ import annotations
 
@@ -12,36 +12,6 @@ BODY_X, BODY_W, BODY_H, BODY_Y0, BODY_DY = 144.0, 1512.0, 72.0, 180.0, 92.0
 GRID, MARGIN = 24.0, 96.0
 
 
-def inject_overlap(elements: DataFrame, severity: float = 0.4) -> DataFrame:
-    """Move the first element of each slide onto the second so that they share about ``severity``; one row a slide with both."""
-    w = Window.partitionBy("slide_id").orderBy("pos")
-    front = elements.where("etype <> 'background'").withColumn("i", F.row_number().over(w)).where("i <= 2")
-    side = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
-    pairs = front.groupBy("slide_id").agg(F.count("*").alias("n"), *[side(i, c).alias(f"{c}{i}") for i in (1, 2) for c in ("pos", "x", "y", "w", "h")]).where("n = 2")
-    moved = F.col("x2") + F.col("w2") * (1 - severity)
-    return pairs.select("slide_id", F.col("pos1").alias("pos"), moved.alias("x"), F.col("y2").alias("y"), F.col("w1").alias("w"), F.col("h1").alias("h"))
-
-
-def inject_offset(elements: DataFrame, offset: float = 40.0, members: int = 3) -> DataFrame:
-    """Shift the middle element of the largest aligned column of a slide: slide_id, pos, x and expected_x.
-
-    A column is the elements of one type and rounded x; it needs ``members``; of equal
-    ones the one that starts first is taken.
-    """
-    key = ["slide_id", "etype", "col"]
-    cols = elements.withColumn("col", F.round(F.col("x") / 12))
-    sizes = cols.groupBy(*key).agg(F.count("*").alias("n"), F.min("pos").alias("first")).where(F.col("n") >= members)
-    best = sizes.withColumn("r", F.row_number().over(Window.partitionBy("slide_id").orderBy(F.col("n").desc(), "first"))).where("r = 1")
-    ranked = cols.join(best.select(*key, "n"), key).withColumn("i", F.row_number().over(Window.partitionBy("slide_id").orderBy("y", "pos")) - 1)
-    return ranked.where(F.col("i") == F.floor(F.col("n") / 2)).select("slide_id", "pos", (F.col("x") + offset).alias("x"), F.col("x").alias("expected_x"))
-
-
-def inject_margin(elements: DataFrame, left: float = 8.0) -> DataFrame:
-    """Move all elements of a slide so that the leftmost stands ``left`` pixels from the edge."""
-    least = F.min("x").over(Window.partitionBy("slide_id"))
-    return elements.select("slide_id", "pos", (F.col("x") - least + left).alias("x"), F.col("x").alias("expected_x"))
-
-
 def snap_to_master(elements: DataFrame) -> DataFrame:
     """Titles in the title slot, texts in body slots by rank of (y, pos), others on a grid within the page."""
     body = F.col("etype") == "text"
@@ -56,14 +26,6 @@ def snap_to_master(elements: DataFrame) -> DataFrame:
     return elements.withColumn("slot", slot).select("slide_id", "pos", "etype", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
 
 
-def repair(elements: DataFrame, margin: float = 32.0) -> DataFrame:
-    """Elements put back: to the expected place and font where there is one, within the margins, text cut to its capacity."""
-    x, y = F.coalesce("expected_x", "x"), F.coalesce("expected_y", "y")
-    inside = lambda v, size, limit: F.greatest(F.lit(margin), F.least(v, limit - margin - size))
-    text = F.when(F.col("capacity") > 0, F.substr(F.col("text"), F.lit(1), F.col("capacity").cast("int"))).otherwise(F.col("text"))
-    return elements.withColumn("x", inside(x, F.col("w"), WIDTH)).withColumn("y", inside(y, F.col("h"), HEIGHT)).withColumn("font", F.coalesce("expected_font", "font")).withColumn("text", text).withColumn("measured_w", F.lit(None).cast("double")).withColumn("measured_h", F.lit(None).cast("double"))
-
-
 def splits(samples: DataFrame, held_type: str = "G6", held_severity: float = 16.0) -> DataFrame:
     """ood_defect, ood_severity, or train, dev and test by (ord + 100 * severity) modulo 10 at 7, 2 and 1."""
     bucket = F.pmod(F.col("ord") + (F.col("severity") * 100).cast("long"), F.lit(10))
@@ -84,17 +46,6 @@ def stratified_sample(samples: DataFrame, keys: list[str], n: int, seed: int = 7
     return samples.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def assign_modalities(samples: DataFrame, image_share: float = 0.3, structure: float = 0.35, both: float = 0.35) -> DataFrame:
-    """By level: the first ceil(share * n) rows A, of the rest each C while it is behind its quota against B."""
-    each = Window.partitionBy("level")
-    n = F.count("*").over(each)
-    df = samples.withColumn("i", F.row_number().over(each.orderBy("ord"))).withColumn("first", F.ceil(image_share * n))
-    j = F.col("i") - F.col("first")
-    c_share = both / (structure + both)
-    turn = F.floor(j * c_share) > F.floor((j - 1) * c_share)
-    return df.withColumn("modality", F.when(F.col("i") <= F.col("first"), "A").when(turn, "C").otherwise("B")).drop("i", "first")
-
-
 def twins(samples: DataFrame) -> DataFrame:
     """Each sample with the next of its type, the last with the first; types of one sample have none."""
     w = Window.partitionBy("type").orderBy("ord")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deckframe.functions.texts import picture_type
+
 
 def suppress(detections: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Non-maximum suppression of each image whatever the class, as a fold over its boxes.
@@ -78,3 +80,26 @@ def recovery(pairs: DataFrame, least: float = 0.5) -> DataFrame:
 
     kind = pairs.schema["image"].dataType.simpleString()
     return pairs.groupBy("image").applyInPandas(match, f"image {kind}, n_true long, matched long, recall double, mean_iou double")
+
+
+def recovered(detections: DataFrame, width: int = 960) -> DataFrame:
+    """Of detections (slide_id, pos, label, x0, y0, x1, y1, img_w, img_h): elements in a frame of one width, the height by the image."""
+    s = width / F.col("img_w").cast("double")
+    size = lambda lo, hi: F.greatest(F.lit(0.0), F.col(hi) - F.col(lo))
+    box = {"x": F.col("x0") * s, "y": F.col("y0") * s, "w": size("x0", "x1") * s, "h": size("y0", "y1") * s}
+    return detections.select("slide_id", "pos", F.concat(F.lit("rec_"), F.col("pos").cast("string")).alias("element_id"), picture_type(F.col("label")).alias("etype"), *[F.round(v, 6).alias(k) for k, v in box.items()], F.lit(width).alias("width"), F.bround(F.col("img_h") * s).cast("int").alias("height"))
+
+
+def image_size(width: int, height: int, long_edge: int) -> tuple[int, int]:
+    """Width and height of an image whose longer side is ``long_edge``."""
+    if min(width, height) < 0 or max(width, height) <= 0 or long_edge <= 0:
+        raise ValueError("sizes must be positive")
+    scale = long_edge / max(width, height)
+    return max(1, round(width * scale)), max(1, round(height * scale))
+
+
+def in_pixels(elements: DataFrame, long_edge: int, width: int = 1920, height: int = 1080) -> DataFrame:
+    """Boxes in the pixels of an image of a size, whose real scales count."""
+    across, down = image_size(width, height, long_edge)
+    sx, sy = across / width, down / height
+    return elements.select("slide_id", "pos", F.lit(across).alias("image_width"), F.lit(down).alias("image_height"), *[F.round(F.col(c) * (sx if c in "xw" else sy), 6).alias(c) for c in "xywh"])

@@ -11,8 +11,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which ``sized`` lets a table be broadcast; keys of two or three
@@ -27,6 +28,9 @@ def work_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that every executor sees")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="deckframe-"))
         atexit.register(shutil.rmtree, _fallback[0], ignore_errors=True)
@@ -51,6 +55,27 @@ def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+#: Rows of a sorted range, at most about.
+RANGE_ROWS = 1 << 20
+
+
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, tag: str) -> DataFrame:
+    """``df`` with upto: the sum of ``value`` up to and with each row in the order, among the rows alike in ``by``; written.
+
+    Rows go to sorted ranges of bounded size. The sums of the ranges, as many as
+    there are tasks, are added up first; then each range is added up for itself.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(tasks, df.count() // RANGE_ROWS + 1)
+    dealt = stored(df.repartitionByRange(ranges, *by, *order).withColumn("range", F.spark_partition_id()), tag)
+    sums = dealt.groupBy(*by, "range").agg(F.sum(value).alias("words"))
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = stored(sums.select(*by, "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("earlier")), f"{tag}-sums")
+    within = Window.partitionBy(*by, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumn("upto", F.sum(value).over(within)).join(sized(sums), [*by, "range"])
+    return stored(summed.withColumn("upto", F.col("upto") + F.col("earlier")).drop("range", "earlier"), f"{tag}-upto")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names close to ``names`` that ``df`` does not have yet."""
     taken = {c.lower() for c in df.columns}

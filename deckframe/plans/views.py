@@ -41,6 +41,9 @@ VIEWS: dict[str, str] = {
             CAST(4 + (p.p_size % 11) * 2 AS DOUBLE) AS font,
             (p.p_partkey * 31) % 256 AS r, (p.p_partkey * 17) % 256 AS g, (p.p_partkey * 7) % 256 AS b
           FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {part} p ON l.l_partkey = p.p_partkey) q""",
+    "bullets": """
+        SELECT slide_id, deck_id, pos, etype, text, CASE WHEN etype = 'text' THEN CAST(96 + 500 * (slide_id % 2) AS DOUBLE) + CAST(pos % 3 AS DOUBLE) / 8 ELSE x END AS x, y, w, h, font,
+          expected_x, expected_y, expected_font, r, g, b FROM {elements}""",
     "slides": """
         SELECT o_orderkey AS slide_id, o_custkey AS deck_id,
           CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS slide_index,
@@ -58,6 +61,40 @@ VIEWS: dict[str, str] = {
           CASE WHEN l.l_suppkey % 2 = 0 THEN 'template' ELSE 'freeform' END AS template,
           CAST(512 * (1 + l.l_suppkey % 3) AS BIGINT) AS resolution, CASE WHEN l.l_partkey % 5 = 0 THEN l.l_linestatus = 'F' END AS repaired
         FROM {lineitem} l JOIN {supplier} s ON l.l_suppkey = s.s_suppkey""",
+    "records": """
+        SELECT ord, '{"task": "' || task || '", "sample_id": "s' || CAST(sample_id AS STRING) || '"' || CASE WHEN ord % 5 = 4 THEN '' ELSE ', "modality": "' || raw_modality || '"' END
+          || CASE ord % 3 WHEN 0 THEN ', "model": "m' || CAST(model AS STRING) || '"' WHEN 1 THEN ', "adapter": "m' || CAST(model AS STRING) || '"' ELSE '' END
+          || CASE ord % 4 WHEN 0 THEN ', "labels": ' || lab WHEN 2 THEN ', "label_types": [' || CASE WHEN expected IS NULL THEN '' ELSE '"' || expected || '"' END || ']' WHEN 3 THEN ', "labels": []' ELSE '' END
+          || CASE ord % 6 WHEN 0 THEN ', "output": {"defects": [' || d || ']}' WHEN 1 THEN ', "output": null, "parsed": {"defects": [' || d || '], "overall_score": 0.25}' WHEN 2 THEN ''
+            WHEN 3 THEN ', "output": {"findings": [' || f || '], "better": "a"}' WHEN 4 THEN ', "output": {"defects": [{"type": "G1", "present": false}, {"severity": 2.5}' || CASE WHEN predicted IS NULL THEN '' ELSE ', ' || d END || ']}' ELSE ', "output": {}' END
+          || CASE WHEN ord % 7 = 0 THEN ', "severity": ' || CAST(severity + 1 AS STRING) ELSE '' END || CASE ord % 3 WHEN 0 THEN meta WHEN 1 THEN ', "metadata": {"x": 1' || meta || '}' ELSE '' END
+          || CASE WHEN repaired IS NULL THEN '' WHEN repaired THEN ', "repair_passed": true' ELSE ', "repair_passed": false' END
+          || ', "payload": {"modality": "' || raw_modality || '", "model": "m' || CAST(model AS STRING) || '"' || CASE WHEN ord % 2 = 1 THEN ', "expected_labels": ' || lab ELSE '' END || CASE WHEN ord % 3 = 2 THEN ', "metadata": {"x": 1' || meta || '}' ELSE '' END || '}}' AS record
+        FROM (SELECT *, CASE WHEN expected IS NULL THEN '[{"type": "NO_DEFECT"}]' ELSE '[{"type": "' || expected || '", "severity": ' || CAST(severity AS STRING) || ', "target_element_ids": ["e1"]}]' END AS lab,
+            ', "resolution": ' || CAST(resolution AS STRING) || ', "template_condition": "' || template || '"' || CASE WHEN grid IS NULL THEN '' ELSE ', "severity_grid_value": ' || CAST(grid AS STRING) END AS meta,
+            CASE WHEN predicted IS NULL THEN '' ELSE '{"type": "' || predicted || '", "severity": "minor", "element_ids": ["e2"]}' END AS d,
+            CASE WHEN predicted IS NULL THEN '' ELSE '{"type": "' || predicted || '", "severity": "severe", "locator": {"element_id": "e3", "related_page_ids": ["p1", "p2"]}, "evidence": "x"}' END AS f FROM {probe}) q""",
+    "label_rows": """
+        SELECT sample_id, CASE WHEN n = 0 THEN 'NO_DEFECT' WHEN n <= 6 THEN 'G' || CAST(n AS STRING) ELSE 'S' || CAST(n - 6 AS STRING) END AS type, CASE WHEN n = 10 THEN 40 + severity * 3 ELSE severity END AS severity,
+          'e' || CAST(pos AS STRING) AS target, pos % 6 = 5 AS bare, CASE n WHEN 1 THEN '{"overflow_px": "' || CAST(severity / 3 AS STRING) || '"}' WHEN 2 THEN '{"iou": "0.12345"}' WHEN 3 THEN CASE WHEN pos % 2 = 0 THEN '{"offset_px": "16.0", "axis": "x"}' ELSE '{"offset_px": "1234.5"}' END
+            WHEN 4 THEN '{"delta_pt": "4.0", "severity_level": "' || CASE WHEN pos % 2 = 0 THEN 'severe' ELSE '' END || '"}' WHEN 5 THEN '{"delta_e": "24.04", "actual_color": "#cb2429"}' WHEN 6 THEN '{"bleed_px": "much", "side": "left"}' WHEN 8 THEN '{"swapped_indices": "[0, 1]"}'
+            WHEN 9 THEN '{"canonical": "the Platform", "variant": "O''Hare", "slide_id": "s' || CAST(pos AS STRING) || '"}' WHEN 10 THEN CASE WHEN pos % 2 = 0 THEN '{"max_words": "50", "target_words": "90"}' ELSE '{}' END
+            WHEN 11 THEN '{"missing_section": "validation"}' WHEN 12 THEN CASE WHEN pos % 2 = 0 THEN '{"diagram_claim": "two tiers"}' ELSE '{}' END ELSE '{}' END AS meta
+        FROM (SELECT l_orderkey AS sample_id, CAST(l_partkey % 13 AS BIGINT) AS n, CAST(4 * (1 + l_suppkey % 12) AS DOUBLE) AS severity,
+          CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS pos FROM {lineitem}) q""",
+    "artifacts": """
+        SELECT slide_id, pos, '{"deck_id": "d' || CAST(deck_id AS STRING) || '", "metadata": {"topic": "t", "required_sections": "a,b", "canonical_term": "x"}, "slides": [{"slide_id": "s' || CAST(slide_id AS STRING) || '", "metadata": {"missing_section": "y", "section": "'
+          || etype || '"}, "elements": [{"element_id": "e' || CAST(pos AS STRING) || '", "type": "' || etype || '", "text": "' || text || '", "metadata": {' || CASE WHEN pos % 2 = 0 THEN '"expected_color": "#ffffff", ' ELSE '' END || '"max_words": "50", "role": "body"}}]}]}' AS deck FROM {elements}""",
+    "task_records": """
+        SELECT o_orderkey AS ord, '{' || CASE o_orderkey % 3 WHEN 0 THEN '"id": "t ' || CAST(o_orderkey AS STRING) || '", ' WHEN 1 THEN '"sample_id": "", "id": "u/' || CAST(o_orderkey AS STRING) || '", ' ELSE '' END
+          || CASE o_orderkey % 4 WHEN 0 THEN '"task_subset": "", "task": "layout", ' WHEN 1 THEN '"subset": "qa", ' ELSE '' END
+          || CASE o_custkey % 5 WHEN 0 THEN '"deck": {"deck_id": "d"}, ' WHEN 1 THEN '"slides": [], "deck_path": "x.json", ' WHEN 2 THEN '"pptx_path": "p/a.pptx", "slide_path": "q", ' WHEN 3 THEN '"deck": null, "source_artifact_path": "z", ' ELSE '' END
+          || '"question": "' || o_orderpriority || '"}' AS record FROM {orders}""",
+    "exam_samples": """
+        SELECT ord, sample_id, CASE WHEN model = 0 THEN 'deck' ELSE 'page' END AS level, resolution <> 1024 AS has_image, expected IS NOT NULL AS has_defect, CASE WHEN resolution <> 1024 THEN 'img/' || CAST(ord AS STRING) || '.png' END AS image FROM {probe}""",
+    "answers": """
+        SELECT l_orderkey AS sample_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS n, CASE l_partkey % 4 WHEN 0 THEN 'low_contrast' WHEN 1 THEN 'overlapping' WHEN 2 THEN 'brand_colors' ELSE 'other' END AS deficiency,
+          l_suppkey % 3 > 0 AS strong, l_returnflag = 'R' AS response FROM {lineitem}""",
     "elicit": """
         SELECT l.l_orderkey * 8 + l.l_linenumber AS sample_id, CAST(l.l_suppkey % 6 AS BIGINT) AS model, CASE l.l_partkey % 3 WHEN 0 THEN 'C0' WHEN 1 THEN 'C3' ELSE 'NAMED' END AS cond,
           'G' || CAST(l.l_orderkey % 7 + 1 AS VARCHAR(2)) AS defect, l.l_linestatus = 'F' AS is_clean, l.l_returnflag = 'R' AS has_defect,
@@ -136,4 +173,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _plain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     names = set(re.findall(r"\{(\w+)\}", VIEWS[name]))
-    return spark.sql(VIEWS[name].replace("{", "{t_"), **{f"t_{n}": view(spark, sf_dir, n) for n in names})
+    text = re.sub(r"\{(\w+)\}|([{}])", lambda m: f"{{t_{m[1]}}}" if m[1] else m[2] * 2, VIEWS[name])  # other braces are text
+    return spark.sql(text, **{f"t_{n}": view(spark, sf_dir, n) for n in names})

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deckframe.functions.colors import lab_of
@@ -12,21 +10,10 @@ from deckframe.functions.stats import Z95, tail_sql
 from deckframe.functions.recover import recover_json
 from deckframe.operators import audits, contract, corpus, judging, layout, simulate, vision
 from deckframe.operators import text as wording
-from deckframe.plans.views import view, with_views
+from deckframe.registry import QUERIES, SQL, query
 from deckframe.sources import html_elements
 from deckframe.streaming import twins
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, views: str, function: Callable[..., DataFrame], sql: str | None = None) -> None:
-    """Register ``function`` over ``views`` (names, in the order of its arguments) and its SQL."""
-    QUERIES[name] = lambda spark, sf_dir: function(*(view(spark, sf_dir, v) for v in views.split()))
-    if sql:
-        SQL[name] = with_views(sql)
-
-
 # --- layout ---------------------------------------------------------------------------------------------------------
 
 _IOU = """greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))
@@ -328,14 +315,6 @@ query("severity_levels", "probe", lambda p: p.groupBy(contract.severity_level(F.
 
 # --- simulation -----------------------------------------------------------------------------------------------------
 
-query("inject_overlap", "elements", simulate.inject_overlap, """WITH f AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY pos) AS i FROM {elements} WHERE etype <> 'background')
-    SELECT a.slide_id, a.pos, b.x + b.w * (1 - CAST(0.4 AS DOUBLE)) AS x, b.y, a.w, a.h FROM f a JOIN f b ON a.slide_id = b.slide_id AND a.i = 1 AND b.i = 2""")
-query("inject_offset", "elements", lambda e: simulate.inject_offset(e, 40.0, 2), """
-    WITH c AS (SELECT *, round(x / 12) AS col FROM {elements}), s AS (SELECT slide_id, etype, col, count(*) AS n, min(pos) AS first FROM c GROUP BY ALL HAVING count(*) >= 2),
-    b AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY n DESC, first) AS r FROM s),
-    k AS (SELECT c.slide_id, c.pos, c.x, b.n, row_number() OVER (PARTITION BY c.slide_id ORDER BY c.y, c.pos) - 1 AS i FROM c JOIN b ON c.slide_id = b.slide_id AND c.etype = b.etype AND c.col = b.col WHERE b.r = 1)
-    SELECT slide_id, pos, x + 40 AS x, x AS expected_x FROM k WHERE i = n // 2""")
-query("inject_margin", "elements", simulate.inject_margin, "SELECT slide_id, pos, x - min(x) OVER (PARTITION BY slide_id) + 8 AS x, x AS expected_x FROM {elements}")
 _SNAP = """SELECT slide_id, pos, etype, CASE etype WHEN 'title' THEN 96 WHEN 'text' THEN 144 ELSE greatest(96, least(round_even(x / 24, 0) * 24, 1824 - w)) END AS x,
       CASE etype WHEN 'title' THEN 72 WHEN 'text' THEN 180 + 92 * (row_number() OVER (PARTITION BY slide_id, etype ORDER BY y, pos) - 1) ELSE greatest(96, least(round_even(y / 24, 0) * 24, 984 - h)) END AS y,
       CASE etype WHEN 'title' THEN 1728 WHEN 'text' THEN 1512 ELSE w END AS w, CASE WHEN etype IN ('title', 'text') THEN 72 ELSE h END AS h FROM {elements}"""
@@ -352,10 +331,6 @@ def _absorbed(elements: DataFrame) -> DataFrame:
 
 query("absorption", "elements", _absorbed, f"""WITH s AS ({_SNAP}), a AS (SELECT count(*) AS before FROM ({_PAIRS}) p WHERE iou >= CAST(0.05 AS DOUBLE)),
     b AS (SELECT count(*) AS after FROM ({_PAIRS.replace("{elements}", "s")}) p WHERE iou >= CAST(0.05 AS DOUBLE)) SELECT before, after, 1 - CAST(after AS DOUBLE) / nullif(before, 0) AS absorbed FROM a, b""")
-_FIXED = """(SELECT * REPLACE (greatest(32, least(coalesce(expected_x, x), 1888 - w)) AS x, greatest(32, least(coalesce(expected_y, y), 1048 - h)) AS y, coalesce(expected_font, font) AS font,
-      CASE WHEN capacity > 0 THEN substring(text, 1, capacity) ELSE text END AS text, CAST(NULL AS DOUBLE) AS measured_w, CAST(NULL AS DOUBLE) AS measured_h) FROM {elements})"""
-query("repair_pass", "elements", lambda e: layout.margin_findings(simulate.repair(e)).unionByName(layout.overflow_findings(simulate.repair(e))).groupBy("detector").agg(F.count("*").alias("n"), F.max("severity").alias("worst")), f"""
-    SELECT detector, count(*) AS n, max(severity) AS worst FROM ({FINDINGS["margin"].replace("{elements}", _FIXED + " m")} UNION ALL {FINDINGS["overflow"].replace("{elements}", _FIXED + " o")}) q GROUP BY detector""")
 _SAMPLES = "(SELECT ord, sample_id, expected AS type, severity, template, model AS level FROM {probe})"
 
 
@@ -367,9 +342,6 @@ query("split_assign", "probe", lambda p: simulate.splits(_samples(p)).groupBy("t
     WHEN (ord + CAST(severity * 100 AS BIGINT)) % 10 < 7 THEN 'train' WHEN (ord + CAST(severity * 100 AS BIGINT)) % 10 < 9 THEN 'dev' ELSE 'test' END AS split FROM {_SAMPLES} s) q GROUP BY ALL""")
 query("capped_subset", "probe", lambda p: simulate.capped(_samples(p), ["type", "template"], 20), f"SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY type, template ORDER BY ord) AS r FROM {_SAMPLES} s) q WHERE r <= 20")
 query("stratified_sample", "probe", lambda p: simulate.stratified_sample(_samples(p), ["type"], 12, id_col="ord"), f"""SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY md5('7#' || CAST(ord AS VARCHAR)), ord) AS r FROM {_SAMPLES} s) q WHERE r <= 12""")
-query("modality_quota", "probe", lambda p: simulate.assign_modalities(_samples(p)).groupBy("level", "modality").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord")), f"""
-    SELECT level, modality, count(*) AS n, min(ord) AS first_ord FROM (SELECT *, CASE WHEN i <= f THEN 'A' WHEN floor((i - f) * CAST(0.5 AS DOUBLE)) > floor((i - f - 1) * CAST(0.5 AS DOUBLE)) THEN 'C' ELSE 'B' END AS modality FROM (
-      SELECT *, row_number() OVER (PARTITION BY level ORDER BY ord) AS i, ceil(CAST(0.3 AS DOUBLE) * count(*) OVER (PARTITION BY level)) AS f FROM {_SAMPLES} s) q) r GROUP BY ALL""")
 query("twin_pairs", "probe", lambda p: simulate.twins(_samples(p)), f"""SELECT * EXCLUDE (n) FROM (SELECT *, coalesce(lead(sample_id) OVER w, first_value(sample_id) OVER w) AS partner, count(*) OVER (PARTITION BY type) AS n FROM {_SAMPLES} s WINDOW w AS (PARTITION BY type ORDER BY ord)) q WHERE n > 1""")
 query("unique_ids", "probe", lambda p: simulate.unique_ids(_samples(p).select("ord", F.concat_ws("_", "type", "template").alias("base"))), f"""SELECT ord, base, CASE WHEN i = 1 THEN base ELSE base || '_' || lpad(CAST(i AS VARCHAR), CAST(greatest(3, length(CAST(i AS VARCHAR))) AS INT), '0') END AS unique_id
     FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY ord) AS i FROM (SELECT ord, concat_ws('_', type, template) AS base FROM {_SAMPLES} s) b) q""")
@@ -478,3 +450,7 @@ query("finding_validity", "elements", lambda e: e.select("slide_id", "pos", corp
 query("previous_score", "rollouts", lambda r: corpus.next_in_order(r, "run", "n", "score"), "SELECT *, lag(score) OVER (PARTITION BY run ORDER BY n) AS previous FROM {rollouts}")
 query("issue_counts", "elements", lambda e: corpus.issue_counts(e.select(F.col("slide_id").alias("item"), F.array_compact(F.array(F.when(F.col("x") < 32, F.concat(F.lit("margin:"), F.col("pos"))), F.when(F.col("font") < 8, F.lit("font")))).alias("issues"))), """
     SELECT CASE WHEN x < 32 OR font < 8 THEN 'failed' ELSE 'ok' END AS kind, count(*) AS n FROM {elements} GROUP BY 1 UNION ALL SELECT 'margin', count(*) FROM {elements} WHERE x < 32 HAVING count(*) > 0 UNION ALL SELECT 'font', count(*) FROM {elements} WHERE font < 8 HAVING count(*) > 0""")
+
+# --- further queries register themselves ------------------------------------------------------------------------------
+
+from deckframe import inject_queries, record_queries, study_queries  # noqa: E402, F401

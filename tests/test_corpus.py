@@ -51,7 +51,5 @@ def test_seeded_samples_and_quotas(spark):
     a, b = (sorted(r.ord for r in simulate.stratified_sample(df, ["type"], 6, seed=3).collect()) for _ in range(2))
     assert a == b and len(a) == 19
     assert a != sorted(r.ord for r in simulate.stratified_sample(df, ["type"], 6, seed=4).collect())
-    n = {(r.level, r.modality): r["count"] for r in simulate.assign_modalities(df).groupBy("level", "modality").count().collect()}
-    assert n == {("L", "A"): 18, ("L", "B"): 21, ("L", "C"): 21, ("M", "A"): 1}
     twin = {r.sample_id: r.partner for r in simulate.twins(df).collect()}
     assert twin[0] == 3 and twin[57] == 0 and 99 not in twin

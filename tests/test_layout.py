@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deckframe.functions import colors
-from deckframe.operators import judging, layout, simulate, text, vision
+from deckframe.operators import inject, judging, layout, simulate, text, vision
 
 FIELDS = {"slide_id": "long", "pos": "long", "etype": "string", "text": "string", "x": "double", "y": "double", "w": "double", "h": "double", "font": "double", "expected_x": "double", "expected_y": "double", "expected_font": "double", "align_group": "long", "font_group": "long", "color_group": "long", "r": "int", "g": "int", "b": "int", "er": "int", "eg": "int", "eb": "int", "capacity": "int", "measured_w": "double", "measured_h": "double", "hidden": "boolean", "opacity": "double", "fill": "boolean", "br": "int", "bg": "int", "bb": "int"}
 
@@ -88,15 +88,17 @@ def test_rendered_overflow_goes_down_and_right(spark):
 
 
 def test_injected_defects_are_found_and_snapping_takes_them_away(spark):
-    df = elements(spark, *[box(144, 180 + 90 * i, 800, 60, etype="text", text="bullet") for i in range(3)])
-    moved = simulate.inject_offset(df).first()
-    assert (moved.pos, moved.x, moved.expected_x) == (1, 184, 144)
-    hit = simulate.inject_overlap(elements(spark, box(100, 100, 200, 100), box(900, 100, 200, 100))).first()
-    both = elements(spark, box(hit.x, hit.y, hit.w, hit.h), box(900, 100, 200, 100))
+    df = elements(spark, *[box(144, 180 + 90 * i, 800, 60, etype="text", text="bullet", align_group=1) for i in range(3)])
+    moved = inject.alignment_offset(df, 40.0).first()
+    assert (moved.pos, moved.x, moved.mode, moved.severity) == (1, 184, "internal", 40)
+    bent = inject.applied(df, inject.alignment_offset(df, 40.0), "x")
+    assert [(r.pos, r.severity) for r in layout.alignment_findings(bent).collect()] == [(1, 40.0)] and layout.alignment_findings(df).count() == 0
+    two = elements(spark, box(100, 100, 200, 100), box(900, 100, 200, 100))
+    hit = inject.overlap(two, 0.4).first()
+    assert hit.x == 940 and hit.severity == pytest.approx(160 / 240)
+    both = inject.applied(two, inject.overlap(two, 0.4), "x", "y")
     assert layout.overlapping(both).count() == 1
-    broken = elements(spark, *[box(144 + 40 * i, 180 + 20 * i, 800, 60, etype="text", text="bullet") for i in range(3)])
-    assert layout.overlapping(broken).count() == 3 and layout.overlapping(simulate.snap_to_master(broken)).count() == 0
-
+    assert layout.overlapping(simulate.snap_to_master(bent)).count() == 0
 
 def test_terms(spark):
     lines = ["the Platform is saturated", "the Platform refresh is due", "the Platform ships weekly", "the PlatformX adoption is slow"]
