@@ -106,6 +106,9 @@ VIEWS: dict[str, str] = {
           CASE l_suppkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'tie' WHEN 2 THEN 'b' ELSE 'a' END AS pick0,
           CASE l_partkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'tie' WHEN 2 THEN 'a' WHEN 3 THEN 'a' ELSE 'b' END AS pick1
         FROM {lineitem}""",
+    "trials": """
+        SELECT model, defect, pair, turn, pick, CASE WHEN turn = 0 THEN 'a' ELSE 'b' END AS expect FROM (SELECT CAST(l_suppkey % 4 AS BIGINT) AS model, 'G' || CAST(l_orderkey % 7 + 1 AS VARCHAR(2)) AS defect, l_orderkey AS pair,
+          CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) % 2 AS BIGINT) AS turn, CASE l_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'tie' WHEN 2 THEN 'b' WHEN 3 THEN 'b' ELSE 'a' END AS pick FROM {lineitem}) q""",
     "ratings": """
         SELECT l_orderkey AS sample_id, CAST(l_linenumber AS BIGINT) AS judge, CAST((l_partkey + l_suppkey) % 11 AS DOUBLE) / 10 AS score,
           CASE WHEN l_linenumber % 3 = 0 THEN 'api' ELSE 'human' END AS source,
