@@ -4,15 +4,19 @@ Headers alone, digest, size and id, are shuffled to find the payloads that occur
 more than once; of these the record of the largest id stays a response and the
 others become revisits without payload. Records are written with fresh headers by
 Spark's own text writer, whose line end is the end of a WARC record, so the archives
-go wherever Spark can write and a lost task leaves nothing behind. An archive holds
-about ``ARCHIVE_BYTES`` and is read as a whole by one task. Revisits are joined to
-the responses they refer to when the archives are read back.
+go wherever Spark can write and a lost task leaves nothing behind. Records are written
+by classes of size, so that an archive holds ``ARCHIVE_BYTES`` or one record, however
+large pages follow each other; it is read as a whole by one task. Up to a million
+repeated payloads only headers move; beyond that records meet their digest's entry by
+shuffle, payloads and all, once. Revisits are joined to the responses they refer to
+when the archives are read back.
 
 Defined results: null html is an empty payload; payloads below ``MIN_BYTES`` are
 never revisits; a null id is smaller than any other and has no header, and where all
 ids of a payload are null each record is a response; rows of one id and payload are
 one record written as often as given; control characters in a URL are
-percent-encoded, a null URL has no header; an empty table gives an empty result.
+percent-encoded, a null URL has no header; other columns play no part, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -81,10 +85,25 @@ def _record(date: str) -> Column:
 
 def write_archives(pages: DataFrame, folder: str, date: str = DATE) -> None:
     """Write a record for each row of ``pages`` (page_id, url, html)."""
-    records = resolved(pages)
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
-    each = max(1, int(ARCHIVE_BYTES // (mean + 700)))
-    records.select(_record(date).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", each).text(folder)
+    records = resolved(pages).select(_record(date).alias("value"), _size_class().alias("class"))
+    classes = sorted(r["class"] for r in pages.select(_size_class().alias("class")).distinct().collect())  # a dozen at most
+    for c in classes:
+        each = max(1, ARCHIVE_BYTES // _upto(c))
+        records.where(F.col("class") == c).select("value").write.option("lineSep", END).option("maxRecordsPerFile", each).text(f"{folder}/class={c}")
+
+
+#: Bytes of the smallest class of records, how much larger the next is, and what a record has beside payload and URL.
+LEAST, STEP, HEADERS = 4096, 8, 1024
+
+
+def _upto(size_class: int) -> int:
+    return LEAST * STEP**size_class
+
+
+def _size_class() -> Column:
+    """The first class whose size holds a record of ``html`` and ``url``, control characters of a URL written out."""
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 3 * F.coalesce(F.octet_length("url"), F.lit(0)).cast("long") + HEADERS
+    return F.greatest(F.lit(0), F.ceil(F.log(float(STEP), size / float(LEAST)))).cast("int")
 
 
 def _parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -103,6 +122,11 @@ def _parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
         at = end + 4
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
     """record_id, record_type, page_id, url, digest, size (of the payload in the record), refers_to (a record id), and the payload if asked for.
 
@@ -130,7 +154,10 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
+    if not _exists(spark, folder):  # no record was written
+        files = spark.createDataFrame([], "content binary")
+    else:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(folder).select("content")
     out = files.mapInArrow(run, "record_id string, record_type string, page_id long, url string, digest string, size long, refers_to string, payload binary")
     return out if payloads else out.drop("payload")
 

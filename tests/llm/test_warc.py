@@ -55,5 +55,17 @@ def test_payloads_come_back(spark, monkeypatch):
     assert next(r.url for r in back if r.page_id == 1) == "http://a/%0D%0AX: y"
 
 
+def test_a_run_of_large_pages_makes_many_archives(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 20)
+    rows = [(i, "http://small", f"s{i}") for i in range(3000)] + [(10_000 + i, "http://big/" + "u" * 5000, f"{i} " + "b" * 400_000) for i in range(12)] + [(20_000, "http://huge", "h" * 5_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder = str(tmp_path / "warc")
+    warc.write_archives(df, folder)
+    sizes = [p.stat().st_size for p in (tmp_path / "warc").rglob("part-*")]
+    assert sum(n > 1 << 20 for n in sizes) == 1 and max(sizes) < 5_002_000
+    back = warc.read_archives(spark, folder, payloads=True).collect()
+    assert {(r.page_id, bytes(r.payload).decode()) for r in back} == {(i, h) for i, _, h in rows}
+
+
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
