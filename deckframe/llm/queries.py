@@ -17,10 +17,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the boilerplate of its source, which stands for the host."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    df, before, gone = line_dedup.dedup_lines(docs)
-    return df.select("doc_id", "text", F.col(before).alias("n_lines"), F.col(gone).alias("n_removed"))
+    """Every page without the boilerplate of its host, and every document without that of its source."""
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), line_dedup.host_of(F.col("url")).alias("source"), F.col("html").alias("text"))
+    parts = []
+    for origin, rows in (("pages", pages), ("documents", _table(spark, sf_dir, "documents").select("doc_id", "source", "text"))):
+        df, before, gone = line_dedup.dedup_lines(rows)
+        parts.append(df.select(F.lit(origin).alias("origin"), "doc_id", "text", F.col(before).alias("n_lines"), F.col(gone).alias("n_removed")))
+    return parts[0].unionByName(parts[1])
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,17 +92,18 @@ _HAND = ", ".join(f"('{h}', '{p}', '{v}')" for v, h, p in url_rules.RULES)
 #: DuckDB SQL of those that SQL can express.
 SQL: dict[str, str] = {
     "op1_line_dedup": f"""
-        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
-        l AS (SELECT DISTINCT rid, source, line FROM (SELECT rid, source, unnest(string_split(text, chr(10))) AS line FROM d)
+        WITH d AS (SELECT row_number() OVER () AS rid, * FROM (SELECT 'documents' AS origin, doc_id, source, text FROM documents
+              UNION ALL SELECT 'pages', page_id, lower(nullif(regexp_extract(url, '^[^:/?#]*://([^/?#]*)', 1), '')), html FROM pages)),
+        l AS (SELECT DISTINCT rid, origin, source, line FROM (SELECT rid, origin, source, unnest(string_split(text, chr(10))) AS line FROM d)
               WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-        t AS (SELECT source, count(*) AS pages FROM d GROUP BY source HAVING count(*) >= {line_dedup.MIN_SITE_PAGES}),
-        b AS (SELECT l.source, l.line FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source GROUP BY l.source, l.line, t.pages
+        t AS (SELECT origin, source, count(*) AS pages FROM d GROUP BY origin, source HAVING count(*) >= {line_dedup.MIN_SITE_PAGES}),
+        b AS (SELECT l.origin, l.source, l.line FROM l JOIN t ON l.origin = t.origin AND l.source IS NOT DISTINCT FROM t.source GROUP BY l.origin, l.source, l.line, t.pages
               HAVING count(*) >= {line_dedup.MIN_LINE_PAGES} AND count(*) > CAST({line_dedup.MAX_RATIO} AS DOUBLE) * t.pages),
-        s AS (SELECT source, list(line) AS gone FROM b GROUP BY source),
-        k AS (SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS every,
+        s AS (SELECT origin, source, list(line) AS gone FROM b GROUP BY origin, source),
+        k AS (SELECT d.origin, d.doc_id, d.text, string_split(d.text, chr(10)) AS every,
                 list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(s.gone, []), x)) AS kept
-              FROM d LEFT JOIN s ON d.source IS NOT DISTINCT FROM s.source)
-        SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text,
+              FROM d LEFT JOIN s ON d.origin = s.origin AND d.source IS NOT DISTINCT FROM s.source)
+        SELECT origin, doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text,
           CAST(coalesce(len(every), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(every), 0) - coalesce(len(kept), 0) AS BIGINT) AS n_removed FROM k""",
     "op7_mixing": f"""
         WITH b AS (SELECT doc_id, source, CAST(coalesce(len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')), 0) AS BIGINT) AS size

@@ -4,11 +4,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from deckframe.llm import line_dedup
 
 
-def brute(rows, ratio=0.1, min_site=10, min_line=5):
+def brute(rows, ratio=line_dedup.MAX_RATIO, min_site=10, min_line=5):
     has = lambda x: re.search("[^\x20\x09-\x0d]", x)
     pages, counts = {}, {}
     for _, site, text in rows:
@@ -52,6 +53,15 @@ def test_against_brute_force(spark, monkeypatch, broadcast):
     assert sum(r[3] for r in got) > 200
 
 
+def test_pages_by_host(spark):
+    """The same line is boilerplate on one host and not on another; hosts are compared in lower case."""
+    rows = [(i, f"http://{'A.example' if i % 2 else 'a.EXAMPLE'}/{i}", f"menu\nown {i}") for i in range(20)] + [(100 + i, f"https://b.example/{i}", f"own {i}" + ("\nmenu" if i == 0 else "")) for i in range(40)] + [(200, None, "menu"), (201, "no scheme", "menu")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", line_dedup.host_of(F.col("url")))
+    out, _, gone = line_dedup.dedup_lines(df, "host", "html")
+    got = {r.page_id: (r.html, r[gone]) for r in out.collect()}
+    assert all(got[i] == (f"own {i}", 1) for i in range(20)) and got[100] == ("own 0\nmenu", 0) and got[200] == ("menu", 0)
+
+
 def test_empty_table_and_hosts(spark):
     out, _, _ = line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, source string, text string"))
     assert out.count() == 0
