@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deckframe.llm.substring_dedup import Hashed, _blocks, word_bounds
+from deckframe.llm.hashing import Hashed, blocks, word_bounds
 from deckframe.plans import sized, stored
 
 FOLDS = 5
@@ -89,7 +89,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, ends in _blocks(batch):
+            for i, j, data, ends in blocks(batch):
                 x = measure(data, ends)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), flat], ["doc_id", "x"])

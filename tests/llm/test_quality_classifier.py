@@ -33,6 +33,29 @@ def test_scores_are_the_log_density_difference():
     assert m.scores(x) == pytest.approx(want, rel=1e-9)
 
 
+def test_learning_against_numpy(spark):
+    """The model out of distributed sums is that of plain numpy on all rows at once."""
+    rnd = np.random.default_rng(5)
+    d = len(c.FEATURES)
+    label = rnd.integers(0, 2, 400)
+    x = np.column_stack([rnd.integers(1, 200, 400), rnd.normal(size=(400, d)) * rnd.uniform(0.5, 3, d) + label[:, None] * 0.7])
+    df = spark.createDataFrame([(row.tolist(), int(k)) for row, k in zip(x, label, strict=True)], "x array<double>, label int").repartition(7)
+    m = c.learn(df)
+    centre, spread = x[:, 1:].mean(axis=0), x[:, 1:].std(axis=0)
+    z = np.clip((x[:, 1:] - centre) / spread, -c.CLIP, c.CLIP) * (x[:, :1] / (x[:, :1] + c.FEW))
+    means = [z[label == k].mean(axis=0) for k in (0, 1)]
+    covs = [np.cov(z[label == k].T, bias=True) for k in (0, 1)]
+    n = [np.sum(label == k) for k in (0, 1)]
+    pooled = (n[0] * covs[0] + n[1] * covs[1]) / sum(n)
+    score = np.full(400, np.log(n[1] / n[0]))
+    for k, sign in ((0, -1), (1, 1)):
+        s = (1 - c.POOLED) * covs[k] + c.POOLED * pooled
+        s = (1 - c.IDENTITY) * s + c.IDENTITY * np.trace(s) / d * np.eye(d)
+        score += sign * (-0.5 * np.einsum("ij,jk,ik->i", z - means[k], np.linalg.inv(s), z - means[k]) - 0.5 * np.linalg.slogdet(s)[1])
+        assert m.means[k] == pytest.approx(means[k])
+    assert m.scores(x) == pytest.approx(1 / (1 + np.exp(-score / c.TEMPERATURE)), abs=1e-9)
+
+
 def test_edges(spark):
     texts = [None, "", " \n", "a", "Fine words stand here. " * 30, "$$$ ### " * 40, "é" * 10, "w " * 400000]
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, "no id", "x"), (3, "a", "x")]

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from deckframe.llm import substring_dedup
+from deckframe.llm import hashing, substring_dedup
 from deckframe.llm.substring_dedup import dedup_substrings
 
 
@@ -50,7 +50,7 @@ def corpus(seed):
 @pytest.mark.parametrize("gather", [1 << 21, 100])
 def test_against_brute_force(spark, monkeypatch, gather):
     monkeypatch.setattr(substring_dedup, "GATHER", gather)
-    monkeypatch.setattr(substring_dedup, "BLOCK", 3000)
+    monkeypatch.setattr(hashing, "BLOCK", 3000)
     rows = corpus(gather)
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, starts string, rank int").repartition(5)
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in dedup_substrings(df).collect()), key=repr)
