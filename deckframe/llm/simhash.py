@@ -1,9 +1,11 @@
 """SimHash near-dedup: fingerprints, pigeonhole blocks, Hamming distance, components.
 
-A fingerprint has 64 bits. Its bits are cut into ``BLOCKS`` blocks; two fingerprints
-at ``MAX_BITS`` differing bits or fewer agree on at least ``BLOCKS - MAX_BITS``
-blocks, so for one choice of that many blocks both have the same key. Fingerprints
-are first made distinct: exact copies, however many, are one row from then on.
+A fingerprint has 64 bits. Its bits are cut into blocks; two fingerprints at
+``MAX_BITS`` differing bits or fewer agree on all blocks but that many, so for one
+choice of the others both have the same key. There are as many blocks as keys need to
+be a few bits longer than the number of fingerprints (``blocks_for``), so chance
+neighbours stay few at any size. Fingerprints are first made distinct: exact copies,
+however many, are one row from then on.
 
 Keys that few fingerprints share are joined with themselves, and the distance is a
 condition of that join; a pair counts under its first common choice only. Keys that
@@ -13,7 +15,7 @@ forest of its links, which keeps the components and never lists the links. No ke
 meets in one task whole and none is left out.
 
 Defined results: null and blank texts have fingerprint zero and link like any
-other; null ids get the smallest id that their component has, or null; repeated
+other; a very long text is hashed whole, slice by slice; null ids get the smallest id that their component has, or null; repeated
 rows come back as often as they are given; an empty table gives an empty result;
 columns other than the two used play no part.
 """
@@ -31,12 +33,13 @@ from pyspark.sql import functions as F
 
 from deckframe.llm.components import components
 from deckframe.llm.jaccard import similar
-from deckframe.plans import fresh, stored
+from deckframe.plans import fresh, sized, stored
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
-BLOCKS = 5
+#: Blocks at least, and bits of a key beyond those that number the fingerprints.
+BLOCKS, SPARE_BITS = 5, 1
 #: Members from which a key is dealt to chunks, and the size of these.
 FEW = 32
 CHUNK = 2048
@@ -85,10 +88,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
 
-def _masks() -> list[int]:
-    cuts = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
+def blocks_for(n: int) -> int:
+    """The fewest blocks whose keys are ``SPARE_BITS`` bits longer than n needs."""
+    blocks = BLOCKS
+    while blocks < 12 and 64 * (blocks - MAX_BITS) / blocks < n.bit_length() + SPARE_BITS:
+        blocks += 1
+    return blocks
+
+
+def _masks(count: int) -> list[int]:
+    cuts = [round(i * 64 / count) for i in range(count + 1)]
     blocks = [((1 << b) - (1 << a)) for a, b in itertools.pairwise(cuts)]
-    return [_signed(sum(c)) for c in itertools.combinations(blocks, BLOCKS - MAX_BITS)]
+    return [_signed(sum(c)) for c in itertools.combinations(blocks, count - MAX_BITS)]
 
 
 def _forest(fps: np.ndarray, split: int) -> list[tuple[int, int]]:
@@ -130,7 +141,7 @@ def _chunk_links(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (u, v) between the distinct longs ``fp`` that join exactly what distance MAX_BITS joins."""
-    masks = _masks()
+    masks = _masks(blocks_for(fps.count()))
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
     blocks = fps.select("fp", F.inline(tables))
     sizes = stored(blocks.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "block-sizes")
@@ -183,9 +194,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: one row of each component stays, that with the smallest id."""
+    """The rows of ``docs`` without near duplicates: one row of each component stays, that with the smallest id.
+
+    Rows are marked by id and a hash of the text. While there are few marks they are
+    broadcast and no text moves; of rows alike in both, which are few or none, one stays.
+    """
     k, th = fresh(docs, "_key", "_text_hash")
     smallest = F.lit(-(1 << 63))
-    kept = near_duplicates(docs, id_col, text_col, similarity).where("keep").select(F.coalesce("doc_id", smallest).alias(k), F.col("th").alias(th)).distinct()
+    marks = near_duplicates(docs, id_col, text_col, similarity).where("keep").groupBy(F.coalesce("doc_id", smallest).alias(k), F.col("th").alias(th)).agg(F.count("*").alias("_n"))
+    marks = stored(marks, "kept")
     keyed = docs.withColumn(k, F.coalesce(F.col(id_col).cast("long"), smallest)).withColumn(th, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return keyed.join(kept, [k, th], "left_semi").dropDuplicates([k, th]).select(*docs.columns)
+    once, often = marks.where("_n = 1").select(k, th), marks.where("_n > 1").select(k, th)
+    out = keyed.join(sized(once), [k, th], "left_semi").select(*docs.columns)
+    if not often.head(1):
+        return out
+    return out.unionByName(keyed.join(sized(often), [k, th], "left_semi").dropDuplicates([k, th]).select(*docs.columns))

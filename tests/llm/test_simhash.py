@@ -56,8 +56,9 @@ def corpus(seed=5, n=400):
     return [(i * 7 % 1009, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("few", "chunk"), [(32, 2048), (1, 5)])
-def test_against_brute_force(spark, monkeypatch, few, chunk):
+@pytest.mark.parametrize(("few", "chunk", "spare"), [(32, 2048, 1), (1, 5, 1), (2, 9, 25)])
+def test_against_brute_force(spark, monkeypatch, few, chunk, spare):
+    monkeypatch.setattr(simhash, "SPARE_BITS", spare)
     monkeypatch.setattr(simhash, "FEW", few)
     monkeypatch.setattr(simhash, "CHUNK", chunk)
     rows = [*corpus(), (5000, None), (5001, ""), (5002, " \t"), (None, None), (5003, "Abc"), (5004, "abc"), (5003, "Abc"), (5005, "x " * 30000)]
@@ -102,3 +103,11 @@ def test_components(spark):
     loops = {a for a, b in edges if a == b and near[a] == {a}}
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: v for k, v in want.items() if k not in loops}
+
+
+def test_blocks_grow_with_the_fingerprints():
+    assert simhash.blocks_for(0) == simhash.blocks_for(1 << 21) == 5
+    assert [simhash.blocks_for(10**k) for k in (8, 9, 10, 12)] == [6, 6, 7, 9]
+    for count in (5, 7, 8):
+        masks = [unsigned(m) for m in simhash._masks(count)]
+        assert all(any(x & m == 0 for m in masks) for x in (1 | 1 << 31 | 1 << 63, 0b111, 1 << 12 | 1 << 13 | 1 << 14))
