@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deckframe.plans import sized
+
 #: Fixed value: the pattern of candidate terms, capitalised or camel-case words with an article or without.
 TERM = r"\b(?:the\s+)?[A-Z][a-z]{2,}(?:[A-Z][a-z]*)*[A-Za-z]*\b"
 MAX_EDIT, MIN_RATIO, MIN_SLIDES, MIN_LENGTH = 2, 0.8, 2, 4
@@ -51,7 +53,7 @@ def variants(found: DataFrame, glossary: DataFrame | None = None, min_slides: in
     scored = scored.where(F.col("same") | (F.col("ratio") >= MIN_RATIO))
     known = lambda c: F.lit(False)
     if glossary is not None:
-        g = F.broadcast(glossary.select("term").distinct())
+        g = sized(glossary.select("term").distinct())
         scored = scored.join(g.withColumnRenamed("term", "a").withColumn("ga", F.lit(True)), "a", "left").join(g.withColumnRenamed("term", "b").withColumn("gb", F.lit(True)), "b", "left")
         known = lambda c: F.coalesce(F.col(f"g{c}"), F.lit(False))
     wide = F.when((F.col("sa") > F.col("sb")) & (F.col("sa") >= min_slides), "a").when((F.col("sb") > F.col("sa")) & (F.col("sb") >= min_slides), "b")

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 _fallback: list[str] = []
+#: Tables that this process has written, with their sessions.
+_written: list[tuple[SparkSession, str]] = []
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -41,10 +43,24 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return it as read again."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clear)
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear() -> None:
+    """Delete the tables that this process has written; results that read them can't be read after it. Runs at the end of the process."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the JVM has gone, or the folder
+            return
+
+
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of ``df`` if it has at most ``max_rows`` rows.
 

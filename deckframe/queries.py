@@ -453,4 +453,4 @@ query("issue_counts", "elements", lambda e: corpus.issue_counts(e.select(F.col("
 
 # --- further queries register themselves ------------------------------------------------------------------------------
 
-from deckframe import inject_queries, record_queries, study_queries  # noqa: E402, F401
+from deckframe import inject_queries, record_queries, study_queries, manifest_queries  # noqa: E402, F401, I001

@@ -78,8 +78,8 @@ def html_elements(pages: DataFrame, html: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([read_html(x.as_py()) for x in b.column(html)], _KIND)], [*keep, "_elements"])
 
     fields = "element_id:string,type:string,x:double,y:double,width:double,height:double,text:string,style:map<string,string>,metadata:map<string,string>"
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html)
-    df = pages.select(*keep, html).mapInArrow(run, f"{kinds}, _elements array<struct<{fields}>>")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html]
+    df = pages.select(*keep, html).mapInArrow(run, ", ".join([*kinds, f"_elements array<struct<{fields}>>"]))
     return df.select(*keep, F.posexplode("_elements").alias("pos", "e")).select(*keep, "pos", "e.*")
 
 

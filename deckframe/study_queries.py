@@ -71,11 +71,12 @@ def _localized(elicit: DataFrame) -> DataFrame:
 
 
 def _split(columns: str) -> list[str]:
-    """Columns of a select list, cut at the commas outside brackets."""
-    out, depth = [""], 0
+    """Columns of a select list, cut at the commas outside brackets and texts."""
+    out, depth, text = [""], 0, False
     for ch in columns:
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and not depth:
+        text ^= ch == "'"
+        depth += 0 if text else (ch == "(") - (ch == ")")
+        if ch == "," and not depth and not text:
             out.append("")
         else:
             out[-1] += ch
