@@ -28,13 +28,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deckframe.plans import fresh, sized, stored
+from deckframe.plans import fresh, running, sized, stored
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_COPIES = 2
-#: Rows of a sorted range, at most about.
-RANGE_ROWS = 1 << 20
 #: Copies that finish this long before time 1 are taken without a look at the others.
 MARGIN = 1e-9
 
@@ -62,23 +60,6 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget:
     return df.select("source", "place", "source_size", "target")
 
 
-def running(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, tag: str) -> DataFrame:
-    """``df`` with upto: the sum of ``value`` up to and with each row in the order, among the rows alike in ``by``; written.
-
-    Rows go to sorted ranges of bounded size. The sums of the ranges, as many as
-    there are tasks, are added up first; then each range is added up for itself.
-    """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(tasks, df.count() // RANGE_ROWS + 1)
-    dealt = stored(df.repartitionByRange(ranges, *by, *order).withColumn("range", F.spark_partition_id()), tag)
-    sums = dealt.groupBy(*by, "range").agg(F.sum(value).alias("words"))
-    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = stored(sums.select(*by, "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("earlier")), f"{tag}-sums")
-    within = Window.partitionBy(*by, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = dealt.withColumn("upto", F.sum(value).over(within)).join(sized(sums), [*by, "range"])
-    return stored(summed.withColumn("upto", F.col("upto") + F.col("earlier")).drop("range", "earlier"), f"{tag}-upto")
-
-
 #: The shuffled order of the documents of a source; the row's number tells rows alike apart.
 _ORDER = ["key", "id", "size", "th"]
 
@@ -87,10 +68,11 @@ def _measured(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def _place(doc_id: Column, text: Column, th: Column) -> list[Column]:
+def _place(doc_id: Column, text: Column, th: Column, more: Column | None = None) -> list[Column]:
     own = doc_id.cast("long")
     key = F.md5(F.coalesce(own.cast("string"), F.lit("")))
-    return [key.alias("key"), F.coalesce(own, F.lit(-(1 << 63))).alias("id"), _measured(text).alias("size"), th.alias("th")]
+    size = _measured(text) if more is None else _measured(text) + more
+    return [key.alias("key"), F.coalesce(own, F.lit(-(1 << 63))).alias("id"), size.alias("size"), th.alias("th")]
 
 
 def _queue(docs: DataFrame, th: Column, weights: Sequence[float], budget: float, copies: int) -> tuple[DataFrame, DataFrame]:
@@ -144,11 +126,12 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget:
     counts = [f for i, w in enumerate(within) for f in (F.count_if(own == F.col(f"last{i}")).alias(f"all{i}"), F.count_if((own == F.col(f"last{i}")) & w).alias(f"in{i}"))]
     marks = stored(sources.join(last, "place").join(alike.agg(*counts), "place"), "mix-marks")
     names = fresh(docs, "size", "source_size", "target", "taken")
-    mark, measured, here, turns, part, n = fresh(docs, "_mark", "_order", "_here", "_turns", "_part", "_n")
+    mark, measured, turns, part, n = fresh(docs, "_mark", "_order", "_turns", "_part", "_n")
     m = sized(marks.select(F.struct(*marks.columns).alias(mark)))
     df = docs.join(m, F.col("source").eqNullSafe(F.col(mark)["source"]))
-    # a number that depends on the row keeps the filters below from being pushed here, where they would measure again
-    df = df.withColumn(measured, F.struct(*_place(F.col("doc_id"), F.col("text"), th))).withColumn(here, F.monotonically_increasing_id())
+    # never added; what depends on the row keeps filters and projections from being merged with this one, where each would measure again
+    never = F.when(F.monotonically_increasing_id() < 0, 1).otherwise(0)
+    df = df.withColumn(measured, F.struct(*_place(F.col("doc_id"), F.col("text"), th, never)))
     p, at = F.col(measured), F.col(mark)
     whole = [(p < at[f"last{i}"]) | ((p == at[f"last{i}"]) & (at[f"in{i}"] == at[f"all{i}"])) for i in range(copies)]
     some = [(p == at[f"last{i}"]) & (at[f"in{i}"] < at[f"all{i}"]) for i in range(copies)]
