@@ -20,11 +20,16 @@ def iou(a: str, b: str) -> Column:
     return F.when(union > 0, shared / F.when(union > 0, union)).otherwise(F.lit(0.0))
 
 
+#: Points of a text that says none.
+FONT = 24.0
+
+
 def capacity(given: Column, w: Column, h: Column, font: Column) -> Column:
     """Characters that fit: the given number if there is one, else characters a line times lines."""
+    font = F.coalesce(font, F.lit(FONT))
     a_line = F.greatest(F.lit(1), F.floor(w / F.greatest(F.lit(1.0), font * 0.55)))
     rows = F.greatest(F.lit(1), F.floor(h / F.greatest(F.lit(1.0), font * 1.25)))
-    return F.coalesce(F.greatest(F.lit(0), given), a_line * rows)
+    return F.when(given.isNotNull(), F.greatest(F.lit(0), given)).otherwise(a_line * rows)  # greatest passes over nulls
 
 
 def text_overflow(text: Column, given: Column, w: Column, h: Column, font: Column, measured_w: Column, measured_h: Column) -> Column:
@@ -32,4 +37,4 @@ def text_overflow(text: Column, given: Column, w: Column, h: Column, font: Colum
     has = lambda c: F.coalesce(c != 0, F.lit(False))
     over = lambda m, size: F.when(has(m), F.greatest(F.lit(0.0), m - size)).otherwise(F.lit(0.0))
     extra = F.greatest(F.lit(0), F.length(text) - capacity(given, w, h, font))
-    return F.when(has(measured_w) | has(measured_h), F.greatest(over(measured_w, w), over(measured_h, h))).otherwise(extra * font * 0.55)
+    return F.when(has(measured_w) | has(measured_h), F.greatest(over(measured_w, w), over(measured_h, h))).otherwise(extra * F.coalesce(font, F.lit(FONT)) * 0.55)

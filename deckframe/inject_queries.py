@@ -104,7 +104,7 @@ _APART = """SELECT slide_id, pos, list_reduce(others, lambda acc, o: {'ox': leas
         THEN least(greatest(CAST(16 AS DOUBLE), o.oy + o.oh + 16), greatest(CAST(16 AS DOUBLE), 1064 - h)) ELSE acc.oy END, 'ow': CAST(0 AS DOUBLE), 'oh': CAST(0 AS DOUBLE)}, {'ox': x, 'oy': y, 'ow': CAST(0 AS DOUBLE), 'oh': CAST(0 AS DOUBLE)}) AS spot FROM (
       SELECT a.slide_id, a.pos, a.x, a.y, a.w, a.h, list({'ox': b.x, 'oy': b.y, 'ow': b.w, 'oh': b.h} ORDER BY b.pos) AS others FROM {elements} a JOIN (%s) p ON a.slide_id = p.slide_id AND a.pos = p.pos
         JOIN {elements} b ON p.slide_id = b.slide_id AND p.other = b.pos WHERE p.iou >= CAST(0.05 AS DOUBLE) GROUP BY ALL) q""" % _PAIRS
-_CAPACITY = "coalesce(greatest(0, capacity), greatest(1, floor(w / greatest(1, font * CAST(0.55 AS DOUBLE)))) * greatest(1, floor(h / greatest(1, font * CAST(1.25 AS DOUBLE)))))"
+_CAPACITY = "coalesce(CASE WHEN capacity IS NOT NULL THEN greatest(0, capacity) END, greatest(1, floor(w / greatest(1, font * CAST(0.55 AS DOUBLE)))) * greatest(1, floor(h / greatest(1, font * CAST(1.25 AS DOUBLE)))))"
 _EDGE = lambda v, size, limit: f"CASE WHEN list_contains(flags, 'margin') THEN least(greatest({v}, 32), {limit} - {size}) ELSE {v} END"
 _PLACE = lambda n, new: f"CASE WHEN list_contains(flags, 'alignment') THEN coalesce(expected_{n}, {new}, {n}) ELSE coalesce({new}, {n}) END"
 

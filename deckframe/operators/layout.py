@@ -102,7 +102,8 @@ def _measured(df: DataFrame, colours: dict[str, tuple[str, str, str]], off: Colu
 
 
 def _brand(elements: DataFrame, palette: tuple = PALETTE) -> DataFrame:
-    nearest = F.least(*[distance("own", lab_of(p)) for p in palette])
+    offs = [distance("own", lab_of(p)) for p in palette]
+    nearest = F.least(*offs) if len(offs) > 1 else offs[0] if offs else F.lit(None).cast("double")
     off = F.coalesce(distance("own", "want"), nearest)
     return _measured(elements, {"own": ("r", "g", "b"), "want": ("er", "eg", "eb")}, off, "brand_off")
 
@@ -123,13 +124,13 @@ def color_group_findings(elements: DataFrame, least: float = MIN_COLOR_DELTA) ->
     return _found(off.where(F.col("off") >= least), "color_group", F.round("off", 6))
 
 
-def _row_wise(elements: DataFrame) -> DataFrame:
+def _row_wise(elements: DataFrame, palette: tuple = PALETTE) -> DataFrame:
     """Overflow, palette and margin findings, which look at one element alone, out of one scan."""
     c = F.col
     over = text_overflow(c("text"), c("capacity"), c("w"), c("h"), c("font"), c("measured_w"), c("measured_h"))
     text = c("etype").isin("title", "text", "bullet", "caption") | (F.length("text") > 0)
     found = lambda name, ok, value: F.when(ok, F.struct(F.lit(name).alias("detector"), value.cast("double").alias("severity")))
-    df = _brand(elements).select("slide_id", "pos", F.when(text, over).alias("over"), "brand_off", _into_margin().alias("into"))
+    df = _brand(elements, palette).select("slide_id", "pos", F.when(text, over).alias("over"), "brand_off", _into_margin().alias("into"))
     each = [found("overflow", c("over") >= MIN_OVERFLOW, c("over")), found("palette", c("brand_off") >= MIN_COLOR_DELTA, F.round("brand_off", 6)), found("margin", c("into") > 0, c("into"))]
     return df.select("slide_id", "pos", F.explode(F.array_compact(F.array(*each))).alias("f")).select("slide_id", "f.detector", "pos", "f.severity")
 
@@ -137,10 +138,10 @@ def _row_wise(elements: DataFrame) -> DataFrame:
 DETECTORS = (overflow_findings, overlap_findings, alignment_findings, font_findings, palette_findings, color_group_findings, margin_findings)
 
 
-def lint(elements: DataFrame) -> DataFrame:
+def lint(elements: DataFrame, palette: tuple = PALETTE) -> DataFrame:
     """The findings of all detectors, repeated ones included; what needs one element alone comes from one scan."""
     groups = (overlap_findings, alignment_findings, font_findings, color_group_findings)
-    return reduce(DataFrame.unionByName, (f(elements) for f in groups), _row_wise(elements))
+    return reduce(DataFrame.unionByName, (f(elements) for f in groups), _row_wise(elements, palette))
 
 
 def lint_types(elements: DataFrame, min_iou: float = MIN_IOU, margin: float = MARGIN) -> DataFrame:
@@ -152,9 +153,9 @@ def lint_types(elements: DataFrame, min_iou: float = MIN_IOU, margin: float = MA
     return slides.select("slide_id", F.coalesce("types", F.array().cast("array<string>")).alias("types"))
 
 
-def lint_scores(elements: DataFrame, each: float = 0.15) -> DataFrame:
+def lint_scores(elements: DataFrame, each: float = 0.15, palette: tuple = PALETTE) -> DataFrame:
     """slide_id, n_findings and score, for every slide that has elements."""
-    counts = lint(elements).groupBy("slide_id").agg(F.count("*").alias("n"))
+    counts = lint(elements, palette).groupBy("slide_id").agg(F.count("*").alias("n"))
     slides = elements.select("slide_id").distinct().join(counts, "slide_id", "left")
     n = F.coalesce("n", F.lit(0))
     return slides.select("slide_id", n.alias("n_findings"), F.greatest(F.lit(0.0), 1 - each * n).alias("score"))

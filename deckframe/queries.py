@@ -23,7 +23,7 @@ _PAIRS = f"""SELECT a.slide_id, a.pos, b.pos AS other, {_IOU} AS iou FROM {{elem
     WHERE a.{_FRONT} AND b.{_FRONT}"""
 _OVERFLOW = """CASE WHEN coalesce(measured_w, 0) <> 0 OR coalesce(measured_h, 0) <> 0
       THEN greatest(CASE WHEN measured_w <> 0 THEN greatest(0, measured_w - w) ELSE 0 END, CASE WHEN measured_h <> 0 THEN greatest(0, measured_h - h) ELSE 0 END)
-    ELSE greatest(0, length(text) - coalesce(greatest(0, capacity), greatest(1, floor(w / greatest(1, font * CAST(0.55 AS DOUBLE)))) * greatest(1, floor(h / greatest(1, font * CAST(1.25 AS DOUBLE))))))
+    ELSE greatest(0, length(text) - coalesce(CASE WHEN capacity IS NOT NULL THEN greatest(0, capacity) END, greatest(1, floor(w / greatest(1, font * CAST(0.55 AS DOUBLE)))) * greatest(1, floor(h / greatest(1, font * CAST(1.25 AS DOUBLE))))))
       * font * CAST(0.55 AS DOUBLE) END"""
 
 

@@ -25,11 +25,11 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def decks(spark: SparkSession, path: str) -> DataFrame:
-    """Deck files, or slide files as decks of one slide named by the file: deck_id, slide_index, slide_id, width, height, elements."""
+    """Deck files, or slide files as decks of one slide named by the file: deck_id, slide_index, slide_id, width, height, elements, slide_metadata."""
     raw = spark.read.option("multiLine", True).schema(DECK_FIELDS).json(path).withColumn("_file", F.regexp_replace("_metadata.file_name", r"\.[^.]*$", ""))
-    alone = F.array(F.struct("slide_id", "width", "height", "elements", F.lit(None).cast("variant").alias("metadata")))
+    alone = F.array(F.struct("slide_id", "width", "height", "elements", F.col("metadata").alias("metadata")))
     df = raw.select(F.coalesce("deck_id", "_file").alias("deck_id"), F.posexplode(F.coalesce("slides", alone)).alias("slide_index", "s"))
-    return df.select("deck_id", "slide_index", "s.slide_id", F.coalesce("s.width", F.lit(1920)).alias("width"), F.coalesce("s.height", F.lit(1080)).alias("height"), "s.elements")
+    return df.select("deck_id", "slide_index", "s.slide_id", F.coalesce("s.width", F.lit(1920)).alias("width"), F.coalesce("s.height", F.lit(1080)).alias("height"), "s.elements", F.col("s.metadata").alias("slide_metadata"))
 
 
 def arrow_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
