@@ -7,7 +7,9 @@ text, so candidates are as many as rows, however hot the band.
 
 Candidates' components are then compared exactly, on the sets themselves: what is
 linked afterwards has the similarity, and nothing else has. A component of more than
-``CHUNK`` characters is dealt to pairs of chunks, so that no task gets it whole.
+``CHUNK`` characters is dealt to pairs of chunks, so that no task gets it whole. Of
+equal texts one row is compared, that of the smallest id; the table that says which
+rows go where is narrow and broadcast while it is small, so only these rows move.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deckframe.llm.components import components
-from deckframe.plans import stored
+from deckframe.plans import sized, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -107,35 +109,45 @@ def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-def _candidates(texts: DataFrame) -> DataFrame:
-    """Links (u, v) between the hashes of texts that share a band."""
+def _bands(texts: DataFrame) -> DataFrame:
+    """Of texts (th, id, text): th, id, the length of the text and the keys of its bands; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = [band_keys(shingles(t.as_py())) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("th"), pa.array(keys, pa.list_(pa.int64()))], ["th", "keys"])
+            size = [len(t.as_py()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("th"), b.column("id"), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["th", "id", "size", "keys"])
+
+    return stored(texts.mapInArrow(run, "th long, id long, size long, keys array<long>"), "bands")
 
-    bands = stored(texts.mapInArrow(run, "th long, keys array<long>"), "bands").select("th", F.explode("keys").alias("key"))
-    least = bands.groupBy("key").agg(F.min("th").alias("u"), F.max("th").alias("most")).where("u < most").select("key", "u")
-    return bands.join(stored(least, "shared-bands"), "key").where("th <> u").select("u", F.col("th").alias("v"))
+
+def _candidates(bands: DataFrame) -> DataFrame:
+    """Links (u, v) between the hashes of texts that share a band."""
+    each = bands.select("th", F.explode("keys").alias("key"))
+    least = each.groupBy("key").agg(F.min("th").alias("u"), F.max("th").alias("most")).where("u < most").select("key", "u")
+    return each.join(stored(least, "shared-bands"), "key").where("th <> u").select("u", F.col("th").alias("v"))
 
 
-def similar(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def similar(docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
     """Links (u, v) between hashes of texts (xxhash64) that join exactly what the similarity joins."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text"))
-    groups = stored(components(_candidates(texts)), "candidates")
-    own = stored(texts.join(groups, texts["th"] == groups["node"]).groupBy("th", "root").agg(F.first("text").alias("text")), "candidate-texts")
-    parts = own.groupBy("root").agg(F.ceil(F.sum(F.length("text")) / CHUNK).cast("int").alias("parts"))
-    dealt = own.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("th"), F.col("parts")).cast("int"))
+    texts = docs.select(F.xxhash64(text).alias("th"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), text.alias("text"))
+    bands = _bands(texts)
+    groups = stored(components(_candidates(bands)).withColumnRenamed("node", "th"), "candidates")
+    own = bands.select("th", "id", "size").join(sized(groups), "th").groupBy("th", "root").agg(F.min("id").alias("id"), F.max("size").alias("size"))
+    own = stored(own, "candidate-texts")
+    parts = own.groupBy("root").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("parts"))
+    dealt = own.join(parts, "root").withColumn("parts", F.greatest("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("th"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # a chunk meets itself in each of its pairs
     dealt = dealt.where((F.col("part") != F.col("other")) | (F.col("parts") == 1))
-    dealt = dealt.select("root", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "th", "text")
+    marks = stored(dealt.select("th", "id", "root", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")), "candidate-chunks")
+    rows = texts.join(sized(marks), ["th", "id"]).select("root", "lo", "hi", "th", "text")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("th")  # rows alike in id and text
         th = pdf["th"].to_numpy(np.int64)
         pairs = forest([shingles(t) for t in pdf["text"]], similarity)
         return pd.DataFrame({"u": [th[x] for x, _ in pairs], "v": [th[y] for _, y in pairs]}, dtype="int64")
 
-    return dealt.groupBy("root", "lo", "hi").applyInPandas(compare, "u long, v long")
+    return rows.groupBy("root", "lo", "hi").applyInPandas(compare, "u long, v long")

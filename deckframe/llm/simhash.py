@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if similarity is not None:
         of = stored(rows.select("th", "fp").distinct(), "text-fps")
         u, v = (of.select(F.col("th").alias(c), F.col("fp").alias(f"{c}_fp")) for c in ("u", "v"))
-        close = stored(similar(docs, text_col, similarity), "similar").join(u, "u").join(v, "v")
+        close = stored(similar(docs, text_col, similarity, id_col), "similar").join(u, "u").join(v, "v")
         found = found.union(close.select("u_fp", "v_fp"))
     roots = components(found)
     whole = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
