@@ -68,12 +68,12 @@ def quality_parts(decks: DataFrame, slides: DataFrame, elements: DataFrame, requ
         found = term_findings.groupBy("deck_id").agg(F.count("*").alias("found"))
         out = out.join(found, "deck_id", "left").withColumn("terms", F.greatest(F.lit(0.0), 1 - EACH_TERM * F.coalesce("found", F.lit(0)))).drop("found")
     none = F.col("n_slides").isNull()
-    rounded = {c: F.when(none, 0.0).otherwise(F.round(c, 4)) for c in ("coverage", "count", "geometry", "terms", "conciseness")}
+    rounded = {c: F.when(none, 0.0).otherwise(F.round(c, 6)) for c in ("coverage", "count", "geometry", "terms", "conciseness")}
     return out.withColumns({**rounded, "degenerate": none}).select("deck_id", "degenerate", *rounded)
 
 
 def deck_quality(parts: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    return parts.withColumn("quality", F.round(sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0)), 4))
+    return parts.withColumn("quality", F.round(sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0)), 6))
 
 
 def replay(requests: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:

@@ -424,12 +424,12 @@ _QUALITY = f"""SELECT d.deck_id, p.deck_id IS NULL AS degenerate, coalesce(geome
       FROM {{slides}} s LEFT JOIN (SELECT slide_id, arg_min(text, pos) AS title FROM {{elements}} WHERE etype = 'title' GROUP BY slide_id) t ON s.slide_id = t.slide_id,
         (VALUES ('1-urgent'), ('5-low'), ('ring')) v(need) GROUP BY s.deck_id, need) h GROUP BY deck_id) c ON d.deck_id = c.deck_id"""
 _FOUR = ("geometry", "conciseness", "coverage", "count")
-_WEIGHED = " + ".join(f"round({k}, 4) * CAST({{{i}}} AS DOUBLE)" for i, k in enumerate(("coverage", "geometry", "terms", "conciseness")))
-query("deck_quality", "decks slides elements", lambda d, s, e: corpus.deck_quality(_quality(d, s, e)), f"""SELECT deck_id, degenerate, {", ".join(f"round({c}, 4) AS {c}" for c in _FOUR)}, terms,
-    round({_WEIGHED.format(0.4, 0.2, 0.15, 0.25)}, 4) AS quality FROM ({_QUALITY}) q""")
+_WEIGHED = " + ".join(f"round({k}, 6) * CAST({{{i}}} AS DOUBLE)" for i, k in enumerate(("coverage", "geometry", "terms", "conciseness")))
+query("deck_quality", "decks slides elements", lambda d, s, e: corpus.deck_quality(_quality(d, s, e)), f"""SELECT deck_id, degenerate, {", ".join(f"round({c}, 6) AS {c}" for c in _FOUR)}, terms,
+    round({_WEIGHED.format(0.4, 0.2, 0.15, 0.25)}, 6) AS quality FROM ({_QUALITY}) q""")
 query("proxy_against_gold", "decks slides elements", lambda d, s, e: corpus.proxy_against_gold(_quality(d, s, e).withColumn("grp", F.col("deck_id") % 5), s, layout.cheats(e, s)).withColumns({c: F.round(c, 6) for c in ("proxy", "gold", "gap")}), f"""
     SELECT grp, round(avg(proxy), 6) AS proxy, round(avg(gold), 6) AS gold, CAST(coalesce(sum(cheats), 0) AS BIGINT) AS cheats, round(avg(proxy) - avg(gold), 6) AS gap, avg(proxy) - avg(gold) > 0 AS over_optimised FROM (
-      SELECT q.deck_id % 5 AS grp, c.cheats, round({_WEIGHED.format(0.4, 0.2, 0.15, 0.25)}, 4) AS proxy, round({_WEIGHED.format(0.45, 0.15, 0.15, 0.25)}, 4) AS gold FROM ({_QUALITY}) q
+      SELECT q.deck_id % 5 AS grp, c.cheats, round({_WEIGHED.format(0.4, 0.2, 0.15, 0.25)}, 6) AS proxy, round({_WEIGHED.format(0.45, 0.15, 0.15, 0.25)}, 6) AS gold FROM ({_QUALITY}) q
       LEFT JOIN (SELECT s.deck_id, count(*) AS cheats FROM ({_CHEATS}) x JOIN {{slides}} s ON x.slide_id = s.slide_id GROUP BY s.deck_id) c ON q.deck_id = c.deck_id) z GROUP BY grp""")
 
 
