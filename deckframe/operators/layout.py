@@ -30,13 +30,17 @@ def overlapping(elements: DataFrame, min_iou: float = MIN_IOU) -> DataFrame:
     """Pairs of elements of a slide, background aside, that overlap: slide_id, pos, other, iou.
 
     The slide is the join key; the overlap of both sides' intervals is a residual
-    predicate that comes before the area is computed.
+    predicate that comes before the area is computed. The ratio must not be pushed into
+    the join as a predicate: there it is written out so often that the generated method
+    grows too large to be compiled. A value that depends on the row, and is never
+    taken, keeps it in a projection.
     """
     front = elements.where(~F.col("etype").isin("background", "canvas")).select("slide_id", "pos", "x", "y", "w", "h")
     a, b = front.alias("a"), front.alias("b")
     touch = (F.col("a.x") < F.col("b.x") + F.col("b.w")) & (F.col("b.x") < F.col("a.x") + F.col("a.w")) & (F.col("a.y") < F.col("b.y") + F.col("b.h")) & (F.col("b.y") < F.col("a.y") + F.col("a.h"))
     pairs = a.join(b, (F.col("a.slide_id") == F.col("b.slide_id")) & (F.col("a.pos") < F.col("b.pos")) & touch)
-    return pairs.select("a.slide_id", "a.pos", F.col("b.pos").alias("other"), iou("a", "b").alias("iou")).where(F.col("iou") >= min_iou)
+    share = F.when(F.monotonically_increasing_id() < 0, 0.0).otherwise(iou("a", "b"))
+    return pairs.select("a.slide_id", "a.pos", F.col("b.pos").alias("other"), share.alias("iou")).where(F.col("iou") >= min_iou)
 
 
 def overlap_findings(elements: DataFrame, min_iou: float = MIN_IOU) -> DataFrame:
