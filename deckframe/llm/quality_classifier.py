@@ -11,7 +11,8 @@ determinants, and of the log odds of the classes, over ``TEMPERATURE``.
 Rows learn only where the CRC-32 of the id as text is not 0 modulo ``FOLDS``; no
 label, language, source or id enters a score.
 
-Defined results: null and empty texts are measured as texts without words; null ids
+Defined results: null and empty texts are measured as texts without words, a very
+long text whole and alone; null ids
 are scored and count as not held out, and are never learned from; labels that are
 null, or rows that a label table repeats with both labels, take part as given;
 without a row of either class every score is 0.5, with one class alone it is that

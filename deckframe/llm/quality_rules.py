@@ -11,7 +11,7 @@ partial aggregate; scoring reads the weights, ``2 * BUCKETS`` numbers whatever t
 corpus, as one constant of the plan and never moves a text.
 
 Defined results: null or blank text has no words, fails the base rules and is not
-kept; null, repeated or unlabelled ids only decide membership of the trusted set;
+kept; a very long text is one row of hashes and is judged whole; null, repeated or unlabelled ids only decide membership of the trusted set;
 repeated rows are scored alike; without trusted documents every ratio is zero; an
 empty table gives an empty result; other columns pass through untouched.
 """
