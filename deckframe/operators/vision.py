@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deckframe.functions.texts import picture_type
 
+#: Pairs of boxes that are measured at once, at most about.
+MANY = 1 << 20
+
 
 def suppress(detections: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Non-maximum suppression of each image whatever the class, as a fold over its boxes.
@@ -63,23 +69,100 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[c]), c) for c in range(m) if owner[c] >= 0)
 
 
+def _touching(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of boxes of ``a`` and ``b`` (x0, y0, x1, y1; those of an image lie between its places in ``at_a`` and ``at_b``) that overlap, as their rows and overlaps, in order of ``a``.
+
+    Within an image with many pairs a box meets, of ``b`` by start, only those before
+    its own end and from the first on that ends after its own start.
+    """
+    n_a, n_b = np.diff(at_a), np.diff(at_b)
+    low, high, order = np.repeat(at_b[:-1], n_a), np.repeat(at_b[1:], n_a), np.arange(len(b))
+    for i in np.flatnonzero(n_a * n_b > MANY):
+        mine, theirs = slice(at_a[i], at_a[i + 1]), slice(at_b[i], at_b[i + 1])
+        order[theirs] = at_b[i] + np.argsort(b[theirs, 0], kind="stable")
+        starts, ends = b[order[theirs], 0], np.maximum.accumulate(np.nan_to_num(b[order[theirs], 2], nan=-np.inf))
+        low[mine] = at_b[i] + np.searchsorted(ends, a[mine, 0], "right")
+        high[mine] = np.maximum(low[mine], at_b[i] + np.searchsorted(starts, a[mine, 2], "left"))
+    upto = np.concatenate([[0], np.cumsum(high - low)])
+    area = lambda x: np.clip(x[:, 2:] - x[:, :2], 0, None).prod(axis=1)
+    of_a, of_b, row = area(a), area(b), 0
+    while row < len(a):
+        stop = max(row + 1, int(np.searchsorted(upto, upto[row] + MANY, "right")) - 1)
+        n = high[row:stop] - low[row:stop]
+        i = np.repeat(np.arange(row, stop), n)
+        j = order[np.arange(len(i)) + np.repeat(low[row:stop] - (upto[row:stop] - upto[row]), n)]
+        row = stop
+        inter = np.clip(np.minimum(a[i, 2:], b[j, 2:]) - np.maximum(a[i, :2], b[j, :2]), 0, None).prod(axis=1)
+        i, j, inter = i[inter > 0], j[inter > 0], inter[inter > 0]
+        yield i, j, inter / (of_a[i] + of_b[j] - inter)
+
+
+def _chosen(i: np.ndarray, j: np.ndarray, iou: np.ndarray) -> np.ndarray:
+    """Which of the edges (i, j, iou) the one-to-one matching of the largest total takes; each component is matched for itself."""
+    taken = (np.bincount(i)[i] == 1) & (np.bincount(j)[j] == 1) if len(i) else np.zeros(0, bool)
+    shared = np.flatnonzero(~taken)
+    by_i: dict[int, list[int]] = {}
+    by_j: dict[int, list[int]] = {}
+    ends = list(zip(i[shared].tolist(), j[shared].tolist(), strict=True))
+    for e, (x, y) in enumerate(ends):
+        by_i.setdefault(x, []).append(e)
+        by_j.setdefault(y, []).append(e)
+    seen_i: set[int] = set()
+    seen_j: set[int] = set()
+    for first in by_i:
+        if first in seen_i:
+            continue
+        seen_i.add(first)
+        todo, edges = [first], []
+        while todo:
+            for e in by_i[todo.pop()]:
+                edges.append(e)
+                if (y := ends[e][1]) not in seen_j:
+                    seen_j.add(y)
+                    fresh = [ends[o][0] for o in by_j[y] if ends[o][0] not in seen_i]
+                    seen_i.update(fresh)
+                    todo.extend(dict.fromkeys(fresh))
+        rows, columns = ({v: k for k, v in enumerate(sorted({ends[e][side] for e in edges}))} for side in (0, 1))
+        cost, edge = np.zeros((len(rows), len(columns))), {}
+        for e in edges:
+            at = rows[ends[e][0]], columns[ends[e][1]]
+            edge[at], cost[at] = shared[e], -iou[shared[e]]
+        taken[[edge[at] for at in assign(cost) if at in edge]] = True
+    return taken
+
+
 def recovery(pairs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Of boxes (image, side 'found' or 'true', ord, x0, y0, x1, y1): matched boxes, recall and mean overlap of each image."""
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "ord"])
-        side = {s: g[["x0", "y0", "x1", "y1"]].to_numpy(float) for s, g in pdf.groupby("side")}
-        a, b = side.get("found", np.zeros((0, 4))), side.get("true", np.zeros((0, 4)))
-        low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-        inter = np.clip(high - low, 0, None).prod(axis=2)
-        area = lambda x: np.clip(x[:, 2:] - x[:, :2], 0, None).prod(axis=1)
-        union = area(a)[:, None] + area(b)[None, :] - inter
-        iou = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
-        hits = [iou[i, j] for i, j in assign(-iou) if iou[i, j] >= least] if iou.size else []
-        return pd.DataFrame({"image": [pdf["image"].iloc[0]], "n_true": [len(b)], "matched": [len(hits)], "recall": [len(hits) / len(b) if len(b) else 0.0], "mean_iou": [float(np.mean(hits)) if hits else 0.0]})
+    """Of boxes (image, side 'found' or 'true', ord, x0, y0, x1, y1): matched boxes, recall and mean overlap of each image.
+
+    The images of a batch are measured at once. Boxes that overlap nothing add nothing
+    to a matching, so only components of overlapping boxes are searched, and those of
+    one pair not at all.
+    """
+    box = F.struct("ord", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, box))).alias(s)
+
+    def flat(boxes: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        n = pc.list_value_length(boxes).to_numpy(zero_copy_only=False)
+        values = boxes.flatten()
+        columns = [pc.fill_null(values.field(c), float("nan")).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")]
+        return np.column_stack(columns), np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (a, at_a), (b, at_b) = flat(batch.column("found")), flat(batch.column("true"))
+            i, j, iou = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *_touching(a, b, at_a, at_b), strict=True))
+            hit = _chosen(i, j, iou) & (iou >= least)
+            image = np.repeat(np.arange(batch.num_rows), np.diff(at_a))[i[hit]]
+            matched, n_true = np.bincount(image, minlength=batch.num_rows), np.diff(at_b)
+            if least <= 0:  # then pairs that do not overlap are matched as well
+                matched = np.minimum(np.diff(at_a), n_true)
+            total = np.bincount(image, weights=iou[hit], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("image"), pa.array(n_true), pa.array(matched), pa.array(matched / np.maximum(n_true, 1)), pa.array(total / np.maximum(matched, 1))], ["image", "n_true", "matched", "recall", "mean_iou"])
 
     kind = pairs.schema["image"].dataType.simpleString()
-    return pairs.groupBy("image").applyInPandas(match, f"image {kind}, n_true long, matched long, recall double, mean_iou double")
+    return pairs.groupBy("image").agg(side("found"), side("true")).mapInArrow(match, f"image {kind}, n_true long, matched long, recall double, mean_iou double")
 
 
 def recovered(detections: DataFrame, width: int = 960) -> DataFrame:
